@@ -1,0 +1,56 @@
+"""Joins that survive a key holding a large share of the rows."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A key is hot from one part in HOT_SHARE of the sampled rows on, so there are at most HOT_SHARE hot keys.
+HOT_SHARE = 1000
+SAMPLE_ROWS = 2_000_000
+MIN_HOT_ROWS = 100_000
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = MIN_HOT_ROWS) -> DataFrame | None:
+    """Keys that hold an outsized share of the rows, as a local frame of at most ``HOT_SHARE`` rows; None if there
+    are none.
+
+    Large inputs are sampled: a key missed by the sample costs time, never rows.
+    """
+    total = df.count()
+    if total < min_rows:
+        return None
+    share = min(1.0, SAMPLE_ROWS / total)
+    rows = df.select(*keys)
+    seen = rows if share == 1.0 else rows.sample(share, seed=7)
+    floor = max(min_rows * share, total * share / HOT_SHARE, 1)
+    found = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= floor)
+    local = found.drop("__n").limit(2 * HOT_SHARE).collect()
+    return df.sparkSession.createDataFrame(local, rows.schema) if local else None
+
+
+def left_join_unique(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], min_rows: int = MIN_HOT_ROWS
+) -> DataFrame:
+    """Left join with a right side that has each key at most once.
+
+    Rows of hot keys never meet in one partition: they stay where they are and look their key up in a broadcast of the
+    right side's hot rows, which are no more than the hot keys. All other rows take the shuffled join.
+    """
+    keys = list(keys)
+    hot = hot_keys(left, keys, min_rows)
+    if hot is None:
+        return left.join(right, keys, "left")
+    missing = F.lit(False)
+    for key in keys:
+        missing = missing | F.col(key).isNull()
+    marks = F.broadcast(hot.where(~missing).withColumn("__hot", F.lit(True)))
+    marked = left.where(~missing).join(marks, keys, "left")
+    hot_right = right.join(marks.drop("__hot"), keys, "left_semi")
+    cold = marked.where(F.col("__hot").isNull()).drop("__hot").join(right, keys, "left")
+    held = marked.where(F.col("__hot")).drop("__hot").join(F.broadcast(hot_right), keys, "left")
+    added = {f.name: F.lit(None).cast(f.dataType) for f in right.schema.fields if f.name not in keys}
+    keyless = left.where(missing).withColumns(added)  # NULL keys match nothing, so they need no join
+    return cold.unionByName(held).unionByName(keyless)

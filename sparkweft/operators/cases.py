@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sparkweft.operators.blocks import VectorBlock, matrix, score, take_block
+from sparkweft.operators.blocks import matrix, row_slices, score, take_block
 from sparkweft.operators.ordinal import with_group_ordinal
 from sparkweft.operators.similarity import best_per_row, grid, rank_top
+from sparkweft.operators.skew import left_join_unique
 
 # Fixed value: the class of items no case is close enough to.
 UNCLASSIFIED = "未分类"
@@ -62,55 +62,59 @@ def nearest_classes(
     )
     arrow_schema = to_arrow_schema(schema)
 
-    def best(ids: pa.Array, vectors: np.ndarray, cases: np.ndarray, sample_vectors: np.ndarray, owner: np.ndarray):
-        scores = _class_scores(vectors, sample_vectors, owner, len(cases))
-        rows, cols = best_per_row(scores, cases, top_k)
-        return [ids.take(pa.array(rows)), pa.array(cases[cols], pa.int64()), pa.array(scores[rows, cols])]
-
-    class_table = names.limit(max_library_block + 1).collect()
-    block = take_block(samples, "embedding", max_library_block) if len(class_table) <= max_library_block else None
+    class_rows = names.limit(max_library_block + 1).collect()
+    block = take_block(samples, "embedding", max_library_block) if len(class_rows) <= max_library_block else None
     if block is not None:
-        cases = np.array(sorted(row["case_no"] for row in class_table), dtype=np.int64)
-        owner = np.searchsorted(cases, block.columns["case_no"].astype(np.int64))
-        held = items.sparkSession.sparkContext.broadcast((cases, VectorBlock({}, block.vectors), owner))
+        cases = np.array(sorted(row["case_no"] for row in class_rows), dtype=np.int64)
+        owner = np.searchsorted(cases, block.columns["case_no"])
+        held = items.sparkSession.sparkContext.broadcast((cases, block.vectors, owner))
 
-        def classify_batches(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-            known, sample_block, sample_owner = held.value
+        def nearest(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
             for batch in batches:
-                if batch.num_rows and len(known):
-                    found = best(
-                        batch.column(item), matrix(batch.column(vector)), known, sample_block.vectors, sample_owner
-                    )
-                    yield pa.RecordBatch.from_arrays(found, schema=arrow_schema)
+                yield from _best_classes(batch.column(item), batch.column(vector), *held.value, top_k, arrow_schema)
 
-        partial = items.mapInArrow(classify_batches, schema)
+        partial = items.mapInArrow(nearest, schema)
     else:
-        partial = _grid_classes(items, library, item, vector, top_k, schema, max_library_block, item_block)
-    scored = partial.groupBy(item, "case_no").agg(F.max("similarity").alias("similarity"))
-    ranked = rank_top(scored, [item], ["similarity desc", "case_no"], top_k)
-    return ranked.join(names, "case_no", "left").select(item, "case_no", "case_name", "similarity", "rank")
-
 
-def _grid_classes(items, library, item, vector, top_k, schema, library_rows, item_rows) -> DataFrame:
-    """Best classes of every item within every library block. The block that holds a class's best sample ranks the
-    class at least as high as it ranks overall, so the best ``top_k`` of each block are enough."""
-    arrow_schema = to_arrow_schema(schema)
-
-    def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return arrow_schema.empty_table()
-        cases = np.unique(right.column("case_no").to_numpy())
-        present = right.filter(right.column("embedding").is_valid())
-        owner = np.searchsorted(cases, present.column("case_no").to_numpy())
-        scores = _class_scores(matrix(left.column(vector)), matrix(present.column("embedding")), owner, len(cases))
+        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows or not right.num_rows:
+                return arrow_schema.empty_table()
+            known = np.unique(right.column("case_no").to_numpy())
+            present = right.filter(right.column("embedding").is_valid())
+            owned = np.searchsorted(known, present.column("case_no").to_numpy())
+            found = _best_classes(
+                left.column(item).combine_chunks(), left.column(vector), known, matrix(present.column("embedding")),
+                owned, top_k, arrow_schema,
+            )
+            return pa.Table.from_batches(found, schema=arrow_schema)
+
+        cases = library.select(F.concat_ws("-", "case_no", "idx").alias("sample"), "case_no", "embedding")
+        partial = grid(items, cases, item, "sample", item_block, max_library_block, meet, schema)
+        # The block that holds a class's best sample ranks the class at least as high as it ranks overall, so the
+        # best classes of each block are enough.
+        partial = partial.groupBy(item, "case_no").agg(F.max("similarity").alias("similarity"))
+    ranked = rank_top(partial, [item], ["similarity desc", "case_no"], top_k)
+    return left_join_unique(ranked, names, ["case_no"]).select(item, "case_no", "case_name", "similarity", "rank")
+
+
+def _best_classes(
+    ids: pa.Array,
+    vectors: pa.Array | pa.ChunkedArray,
+    cases: np.ndarray,
+    samples: np.ndarray,
+    owner: np.ndarray,
+    top_k: int,
+    schema: pa.Schema,
+) -> Iterator[pa.RecordBatch]:
+    """Best classes of each item, in slices that bound the score matrix."""
+    if not len(cases):
+        return
+    items = matrix(vectors)
+    for part in row_slices(len(ids), max(len(samples), len(cases))):
+        scores = _class_scores(items[part], samples, owner, len(cases))
         rows, cols = best_per_row(scores, cases, top_k)
-        ids = left.column(item).combine_chunks().take(pa.array(rows))
-        return pa.Table.from_arrays(
-            [ids, pa.array(cases[cols], pa.int64()), pa.array(scores[rows, cols])], schema=arrow_schema
-        )
-
-    cases = library.select(F.concat_ws("-", "case_no", "idx").alias("sample"), "case_no", "embedding")
-    return grid(items, cases, item, "sample", item_rows, library_rows, work, schema)
+        found = [ids.slice(part.start).take(pa.array(rows)), pa.array(cases[cols]), pa.array(scores[rows, cols])]
+        yield pa.RecordBatch.from_arrays(found, schema=schema)
 
 
 def classify(

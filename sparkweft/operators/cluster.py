@@ -13,12 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sparkweft.operators.blocks import VectorBlock, matrix, score, take_block
+from sparkweft.operators.blocks import VectorBlock, matrix, row_slices, score, take_block
+from sparkweft.operators.ordinal import with_ordinal
 from sparkweft.staging import stage_path
 
 LEADER_BLOCK = 4096
 DEFAULT_THRESHOLD = 0.85
 
+_PLACE = "__place"
+_RANGES = 1000  # place ranges looked at to fill one block
+
 
 def pick_leaders(vectors: np.ndarray, threshold: float) -> np.ndarray:
     """Row numbers that open a cluster when the rows are scanned in order."""
@@ -66,16 +70,14 @@ def leader_clusters(
     settled: list[str] = []
     clusters = 0
     while (last := _block_end(open_rows, block_rows)) is not None:
-        block = take_block(open_rows.where(F.col(_PLACE) <= last).drop(key), vector, block_rows)
+        block = take_block(open_rows.where(F.col(_PLACE) <= last), vector, block_rows)
         if block is None:
             raise ValueError("block_rows vectors of this dimension are too large to broadcast; lower block_rows")
         in_order = np.argsort(block.columns[_PLACE])
         rows = in_order[pick_leaders(block.vectors[in_order], threshold)]
+        leaders = VectorBlock({name: values[rows] for name, values in block.columns.items()}, block.vectors[rows])
         path = stage_path(spark)
-        matched = _join_leaders(
-            open_rows, block.columns[_PLACE][rows], block.vectors[rows], key, vector, threshold, clusters, schema
-        )
-        names = open_rows.where(F.col(_PLACE).isin([int(n) for n in block.columns[_PLACE][rows]]))
+        matched = _join_leaders(open_rows, leaders, key, vector, threshold, clusters, schema)
         matched.withColumn("settled", F.col("cluster_id").isNotNull()).write.partitionBy("settled").parquet(path)
         clusters += len(rows)
         settled.append(f"{path}/settled=true")
@@ -98,6 +100,50 @@ def _block_end(open_rows: DataFrame, block_rows: int) -> int | None:
     return end
 
 
+def _join_leaders(
+    open_rows: DataFrame,
+    leaders: VectorBlock,
+    key: str,
+    vector: str,
+    threshold: float,
+    first_cluster: int,
+    schema: T.StructType,
+) -> DataFrame:
+    """Open rows with the first leader they match, NULL when there is none."""
+    held = open_rows.sparkSession.sparkContext.broadcast((leaders.columns, leaders.vectors))
+    arrow_schema = to_arrow_schema(schema)
+
+    def join(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        columns, leader_vectors = held.value
+        leader_keys = columns[key].tolist()
+        own = {place: i for i, place in enumerate(columns[_PLACE].tolist())}
+        for whole in batches:
+            for part in row_slices(whole.num_rows, len(leader_keys)):
+                batch = whole.slice(part.start, part.stop - part.start)
+                scores = score(matrix(batch.column(vector)), leader_vectors, "cosine")
+                hits = scores >= threshold
+                places = batch.column(_PLACE)
+                for row, place in enumerate(places.to_pylist()):
+                    if place in own:  # a leader belongs to itself, also when its vector has no length
+                        hits[row] = False
+                        hits[row, own[place]] = True
+                found, first = hits.any(axis=1), hits.argmax(axis=1)
+                chosen = [leader_keys[col] if hit else None for col, hit in zip(first, found, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        places,
+                        batch.column(vector),
+                        batch.column(key),
+                        pa.array(first_cluster + first, mask=~found, type=pa.int64()),
+                        pa.array(chosen, type=arrow_schema.field("leader").type),
+                        pa.array(scores[np.arange(len(first)), first], mask=~found, type=pa.float64()),
+                    ],
+                    schema=arrow_schema,
+                )
+
+    return open_rows.select(_PLACE, vector, key).mapInArrow(join, schema)
+
+
 def cluster_sizes(clusters: DataFrame, cluster: str = "cluster_id") -> DataFrame:
     """Members per cluster."""
     return clusters.groupBy(cluster).agg(F.count(F.lit(1)).alias("members"))

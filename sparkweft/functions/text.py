@@ -155,3 +155,11 @@ def with_scheme(path: Column, scheme: str = "hdfs://") -> Column:
     clean = trim_ws(path)
     rooted = F.when(clean.startswith("/"), clean).otherwise(F.concat(F.lit("/"), clean))
     return F.when(clean.startswith(scheme), clean).otherwise(F.concat(F.lit(scheme), rooted))
+
+
+def request_pairs(text: Column) -> Column:
+    """All ``(dict, key)`` structs of the first entries of ``"keys": [{"key": …, "dict": …}]`` in a text, in order."""
+    entry = r'"keys":\s*\[\s*\{\s*"key":\s*"([^"]+)"\s*,\s*"dict":\s*"([^"]+)"'
+    dicts = F.regexp_extract_all(text, F.lit(entry), F.lit(2))
+    keys = F.regexp_extract_all(text, F.lit(entry), F.lit(1))
+    return F.zip_with(dicts, keys, lambda d, k: F.struct(d.alias("dict"), k.alias("key")))

@@ -112,8 +112,10 @@ def feature_diff_counts(diff: DataFrame) -> DataFrame:
     )
 
 
-def parse_failures(features: DataFrame) -> DataFrame:
-    """One row: valid and failed lines of :func:`extract_features`."""
+def parse_failures(features: DataFrame, **more: Column) -> DataFrame:
+    """One row: valid and failed lines of :func:`extract_features`, and any further aggregates."""
     return features.agg(
-        F.count_if("parse_ok").alias("valid_lines"), F.count_if(~F.col("parse_ok")).alias("failed_lines")
+        F.count_if("parse_ok").alias("valid_lines"),
+        F.count_if(~F.col("parse_ok")).alias("failed_lines"),
+        *[measure.alias(name) for name, measure in more.items()],
     )

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparkweft.functions.binding import let
 from sparkweft.functions.text import correct_text
 
 # Known misreadings and the right words.
@@ -24,8 +25,9 @@ def quad_to_box(point: Column, corrections: Mapping[str, str] = CORRECTIONS) ->
     The two lowest and two highest coordinates of each axis are averaged. ``x``/``y`` are the left and top edge,
     ``w``/``h`` the right and bottom edge, ``c`` the confidence to three decimals (half up).
     """
-    xs = F.array_sort(F.transform(point["text_region"], lambda corner: F.get(corner, F.lit(0)).cast("double")))
-    ys = F.array_sort(F.transform(point["text_region"], lambda corner: F.get(corner, F.lit(1)).cast("double")))
+
+    def axis(number: int) -> Column:
+        return F.sort_array(F.transform(point["text_region"], lambda corner: F.get(corner, F.lit(number)).cast("double")))
 
     def low(values: Column) -> Column:
         return (F.element_at(values, 1) + F.element_at(values, 2)) / 2
@@ -33,14 +35,17 @@ def quad_to_box(point: Column, corrections: Mapping[str, str] = CORRECTIONS) ->
     def high(values: Column) -> Column:
         return (F.element_at(values, -1) + F.element_at(values, -2)) / 2
 
-    return F.struct(
-        high(ys).alias("h"),
-        correct_text(point["text"], corrections).alias("text"),
-        high(xs).alias("w"),
-        low(xs).alias("x"),
-        low(ys).alias("y"),
-        F.round(point["confidence"].cast("double"), 3).alias("c"),
-    )
+    def box(xs: Column, ys: Column) -> Column:
+        return F.struct(
+            high(ys).alias("h"),
+            correct_text(point["text"], corrections).alias("text"),
+            high(xs).alias("w"),
+            low(xs).alias("x"),
+            low(ys).alias("y"),
+            F.round(point["confidence"].cast("double"), 3).alias("c"),
+        )
+
+    return let(axis(0), lambda xs: let(axis(1), lambda ys: box(xs, ys)))
 
 
 def page_boxes(points: Column, corrections: Mapping[str, str] = CORRECTIONS) -> Column:

@@ -1,8 +1,8 @@
 """Strict JSON parsing and the feature-line rules.
 
-``from_json`` accepts text after the first object. Parsing ``[<line>, <end mark>]`` as an array instead makes the
-parser read the line to its end: a line is valid exactly when the array has two elements and the second one is the
-end mark. Duplicate names keep the last value.
+``from_json`` accepts text after the first object. Parsing ``[<line>,null,null,null]`` as an array instead makes the
+parser read the line to its end, and a line is one valid object exactly when the array has four elements (unless the
+line itself holds ``,null,null,null]`` outside a text). Duplicate names keep the last value.
 """
 
 from __future__ import annotations
@@ -15,13 +15,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkweft.functions.binding import let, only_if
 from sparkweft.functions.text import trim_ws
 
 # Fixed value: the prefix that marks a wanted member of a feature line.
 MEMBER_PREFIX = "merge_field\t"
 
-_END = "__line_end"
 _STRICT = {"allowSingleQuotes": "false"}
+_END_MARK = ",null,null,null]"
+_ELEMENTS = 4
 
 
 def parse_object(text: Column, fields: T.StructType) -> Column:
@@ -29,11 +31,8 @@ def parse_object(text: Column, fields: T.StructType) -> Column:
 
     A field whose value does not fit its type is NULL and does not spoil the others.
     """
-    element = T.StructType([*fields.fields, T.StructField(_END, T.BooleanType())])
-    wrapped = F.concat(F.lit("["), text, F.lit(',{"' + _END + '":true}]'))
-    parsed = F.from_json(wrapped, T.ArrayType(element), _STRICT)
-    whole = (F.size(parsed) == 2) & F.coalesce(F.element_at(parsed, -1)[_END], F.lit(False))
-    return F.when(whole, F.get(parsed, F.lit(0)))
+    parsed = F.from_json(F.concat(F.lit("["), text, F.lit(_END_MARK)), T.ArrayType(fields), _STRICT)
+    return F.get(only_if(parsed, lambda elements: F.size(elements) == _ELEMENTS), F.lit(0))
 
 
 def _text_fields(names: Sequence[str]) -> T.StructType:
@@ -100,20 +99,28 @@ def params_struct(line: Column, names: Sequence[str]) -> Column:
     double quotes. An empty object counts as none. Values that are not text come out as JSON text.
     """
     fields = _text_fields(names)
-    clean = trim_ws(line)
     as_map = T.MapType(T.StringType(), T.StringType())
-    entries = F.size(parse_object(clean, T.StructType([T.StructField("params", as_map)]))["params"])
-    in_line = F.coalesce(entries >= 0, F.lit(False))
-    from_line = parse_object(clean, T.StructType([T.StructField("params", fields)]))["params"]
-
-    quoted = F.regexp_extract(clean, r'(?U)"params"\s*:\s*(\{.*\})', 1)
-    bare = F.regexp_extract(clean, r"(?U)\bparams\s*[:=]\s*(\{.*\})", 1)
-    found = F.coalesce(F.nullif(quoted, F.lit("")), F.nullif(bare, F.lit("")))
-    swapped = F.replace(found, F.lit("'"), F.lit('"'))
-    from_text = F.coalesce(parse_object(found, fields), parse_object(swapped, fields))
-    return F.when(in_line & (entries > 0), from_line).when(
-        ~in_line & ~F.coalesce(found.rlike(r"^\{\s*\}$"), F.lit(False)), from_text
-    )
+    in_line = T.StructType([T.StructField("params", fields)])
+    in_line_map = T.StructType([T.StructField("params", as_map)])
+
+    def of_line(clean: Column) -> Column:
+        quoted = F.regexp_extract(clean, r'(?U)"params"\s*:\s*(\{.*\})', 1)
+        bare = F.regexp_extract(clean, r"(?U)\bparams\s*[:=]\s*(\{.*\})", 1)
+        from_text = let(F.coalesce(F.nullif(quoted, F.lit("")), F.nullif(bare, F.lit(""))), of_text)
+        not_empty = F.size(parse_object(clean, in_line_map)["params"]) > 0
+        return let(
+            parse_object(clean, in_line)["params"],
+            lambda found: F.when(F.coalesce(*[found[name] for name in names]).isNotNull(), found)
+            .when(found.isNotNull(), F.when(not_empty, found))
+            .otherwise(from_text),
+        )
+
+    def of_text(found: Column) -> Column:
+        swapped = F.replace(found, F.lit("'"), F.lit('"'))
+        parsed = F.coalesce(parse_object(found, fields), parse_object(swapped, fields))
+        return F.when(~F.coalesce(found.rlike(r"^\{\s*\}$"), F.lit(True)), parsed)
+
+    return let(trim_ws(line), of_line)
 
 
 def unfenced(text: Column) -> Column:

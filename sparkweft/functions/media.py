@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkweft.functions.binding import let
 from sparkweft.functions.json_text import parse_object
 
 # Tier names by the length of the short side, highest first.
@@ -37,18 +38,22 @@ def probe_size(probe: Column) -> Column:
 
     ``status`` is ``ok``, ``bad json``, ``no stream`` or ``bad size``; the sizes are NULL unless it is ``ok``.
     """
-    streams = parse_object(probe, _PROBE)["streams"]
-    first = F.get(streams, F.lit(0))
-    width = F.coalesce(first["width"], F.lit(0))
-    height = F.coalesce(first["height"], F.lit(0))
-    status = (
-        F.when(parse_object(probe, _PROBE).isNull(), "bad json")
-        .when(F.coalesce(F.size(streams), F.lit(0)) <= 0, "no stream")
-        .when((width <= 0) | (height <= 0), "bad size")
-        .otherwise("ok")
-    )
-    return F.struct(
-        F.when(status == "ok", width).alias("width"),
-        F.when(status == "ok", height).alias("height"),
-        status.alias("status"),
-    )
+
+    def of_document(document: Column) -> Column:
+        streams = document["streams"]
+        first = F.get(streams, F.lit(0))
+        width = F.coalesce(first["width"], F.lit(0))
+        height = F.coalesce(first["height"], F.lit(0))
+        status = (
+            F.when(document.isNull(), "bad json")
+            .when(F.coalesce(F.size(streams), F.lit(0)) <= 0, "no stream")
+            .when((width <= 0) | (height <= 0), "bad size")
+            .otherwise("ok")
+        )
+        return F.struct(
+            F.when(status == "ok", width).alias("width"),
+            F.when(status == "ok", height).alias("height"),
+            status.alias("status"),
+        )
+
+    return let(parse_object(probe, _PROBE), of_document)

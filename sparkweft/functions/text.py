@@ -44,14 +44,18 @@ def cell_at(cells: Column, position: int, default: str | None = "") -> Column:
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
-def first_capture(text: Column, pattern: str, group: int = 1) -> Column:
-    """First capture of ``pattern``; NULL when the text does not match."""
-    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
+def _command_pattern(name: str) -> str:
+    return rf"{re.escape(name)}=([^{WHITESPACE}]+)"
+
+
+def has_command(text: Column, name: str = "cmd") -> Column:
+    """Whether there is a token after ``name=``."""
+    return text.rlike(_command_pattern(name))
 
 
 def command_value(text: Column, name: str = "cmd") -> Column:
-    """The token after ``name=`` up to white space; NULL when absent."""
-    return first_capture(text, rf"{re.escape(name)}=([^{WHITESPACE}]+)")
+    """The token after ``name=`` up to white space; ``''`` when absent."""
+    return F.regexp_extract(text, _command_pattern(name), 1)
 
 
 def contains_marker(text: Column, marker: str) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparkweft.functions.binding import let
+
 METHODS = ("cosine", "dot", "euclidean")
 
 
@@ -45,6 +47,7 @@ def norm(vector: Column) -> Column:
 
 def unit(vector: Column) -> Column:
     """Vector scaled to length one; NULL for a zero vector."""
-    size = norm(vector)
-    scaled = F.transform(vector, lambda x: (x.cast("double") / size).cast("float"))
-    return F.when(size > 0, scaled)
+    return let(
+        norm(vector),
+        lambda size: F.when(size > 0, F.transform(vector, lambda x: (x.cast("double") / size).cast("float"))),
+    )

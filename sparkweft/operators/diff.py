@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkweft.functions.binding import where_once
 from sparkweft.functions.json_text import feature_fields, parse_object, wanted_members
 
 ONLY_LEFT, ONLY_RIGHT, BOTH = "only_in_1", "only_in_2", "in_both"
@@ -71,7 +72,7 @@ def feature_diff(left: DataFrame, right: DataFrame, order: str | None = None) ->
     """
 
     def side(df: DataFrame, number: int) -> DataFrame:
-        return df.where("parse_ok").select(
+        return where_once(df, lambda row: row["parse_ok"]).select(
             "key", F.lit(number).alias("__s"), "merge_fields", _prefer(order).alias("__o")
         )
 

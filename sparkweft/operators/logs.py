@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkweft.functions.binding import where_once
 from sparkweft.functions.formats import duration_text, rate
 from sparkweft.functions.json_text import params_struct, parse_object
-from sparkweft.functions.text import command_value, utf8_bytes
+from sparkweft.functions.text import command_value, has_command, utf8_bytes
 from sparkweft.operators.dedupe import keep_last
 from sparkweft.operators.ordinal import with_ordinal
 from sparkweft.operators.rows import project_defaults
@@ -79,8 +80,7 @@ def batch_statistics(records: DataFrame, *group: str) -> DataFrame:
 
 def command_values(lines: DataFrame, value: str = "value", name: str = "cmd") -> DataFrame:
     """Command token of every line that has one, as ``value``, next to the other columns."""
-    kept = [c for c in lines.columns if c != value]
-    return lines.select(*kept, command_value(F.col(value), name).alias(value)).where(F.col(value).isNotNull())
+    return lines.where(has_command(F.col(value), name)).withColumn(value, command_value(F.col(value), name))
 
 
 def params_records(
@@ -95,7 +95,8 @@ def params_records(
     Absent fields are ``''``. ``first_position`` gives the output order. Records without key are one group.
     """
     wanted = list(dict.fromkeys([*fields, key]))
-    parsed = lines.select(order, params_struct(F.col(value), wanted).alias("params")).where("params is not null")
+    params = lines.select(order, params_struct(F.col(value), wanted).alias("params"))
+    parsed = where_once(params, lambda row: row["params"].isNotNull())
     last = keep_last(parsed, F.col("params")[key], order)
     return project_defaults(
         last.select(F.struct("params.*", F.col("first_position").cast("string").alias("first_position")).alias("r")),
@@ -120,7 +121,8 @@ def estimate_storage(df: DataFrame, text: Column, items: int | None = None) -> D
 
 def token_usage(responses: DataFrame, *group: str, value: str = "value") -> DataFrame:
     """Token counts, seconds and token rates of response documents; a line that is no JSON object adds nothing."""
-    meta = responses.select(*group, parse_object(F.col(value), _META).alias("m")).where("m is not null")
+    parsed = responses.select(*group, parse_object(F.col(value), _META).alias("m"))
+    meta = where_once(parsed, lambda row: row["m"].isNotNull())
 
     def total(field: str) -> Column:
         return F.coalesce(F.sum(F.col("m")[field]), F.lit(0))
@@ -158,8 +160,8 @@ def fold_pieces(lines: DataFrame, answer: str, order: str, value: str = "value",
     ``part`` rows that cover ``piece_rows`` values of the whole-number ``order`` column each, in order, so an endless
     answer is never gathered in one place; usual answers have one part. Adds ``pieces`` and ``finished``.
     """
-    parsed = lines.select(answer, order, parse_object(F.col(value), _PIECE).alias("p")).where("p is not null")
-    pieces = parsed.select(
+    parsed = lines.select(answer, order, parse_object(F.col(value), _PIECE).alias("p"))
+    pieces = where_once(parsed, lambda row: row["p"].isNotNull()).select(
         answer,
         order,
         F.coalesce("p.response", "p.message.content", F.lit("")).alias("text"),
@@ -168,7 +170,7 @@ def fold_pieces(lines: DataFrame, answer: str, order: str, value: str = "value",
     ends = pieces.where("done").groupBy(answer).agg(F.min(order).alias("__end"))
     kept = left_join_unique(pieces, ends, [answer]).where(F.col("__end").isNull() | (F.col(order) <= F.col("__end")))
     part = F.floor(F.col(order) / piece_rows).alias("part")
-    ordered = F.array_sort(F.collect_list(F.struct(order, "text")))
+    ordered = F.sort_array(F.collect_list(F.struct(order, "text")))
     return kept.groupBy(answer, part).agg(
         F.array_join(F.transform(ordered, lambda item: item["text"]), "").alias("text"),
         F.count(F.lit(1)).alias("pieces"),

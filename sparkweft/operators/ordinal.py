@@ -93,7 +93,7 @@ def member_lists(
     part = F.floor((F.col("__n") - 1) / list_rows).alias("part")
     lists = numbered.groupBy(group, part).agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("__n", F.col(member).alias("m")))), lambda item: item["m"]
+            F.sort_array(F.collect_list(F.struct("__n", F.col(member).alias("m")))), lambda item: item["m"]
         ).alias(name)
     )
     return lists

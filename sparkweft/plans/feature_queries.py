@@ -198,7 +198,7 @@ def feature_diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LINE_SIDES = """
     with a as (select unnest(string_split(text, chr(10))) as value from documents),
-    b as (select case when length(value) % 5 = 0 then upper(value) else value end as value from a),
+    b as (select case when length(value) % 5 = 0 then value || '!' else value end as value from a),
     sides as (
       select coalesce(x.value, y.value) as value,
              case when y.value is null then 'only_in_1' when x.value is null then 'only_in_2' else 'in_both' end as side
@@ -208,7 +208,8 @@ _LINE_SIDES = """
 
 def _line_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = document_lines(spark, sf_dir).select("value")
-    changed = lines.select(F.when(F.length("value") % 5 == 0, F.upper("value")).otherwise(F.col("value")).alias("value"))
+    longer = F.concat("value", F.lit("!"))
+    changed = lines.select(F.when(F.length("value") % 5 == 0, longer).otherwise(F.col("value")).alias("value"))
     return line_diff(lines, changed)
 
 

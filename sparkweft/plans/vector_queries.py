@@ -135,7 +135,8 @@ def leader_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def kmeans_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k-means clusters of all vectors; labels are not comparable with SQL."""
-    return kmeans(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), restarts=3, max_iter=50)
+    groups = kmeans(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), restarts=3, max_iter=50)
+    return groups.withColumn("cluster_id", F.col("cluster_id").cast("long"))
 
 
 def library(spark: SparkSession, sf_dir: str) -> DataFrame:

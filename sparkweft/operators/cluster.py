@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -21,6 +23,7 @@ LEADER_BLOCK = 4096
 DEFAULT_THRESHOLD = 0.85
 
 _PLACE = "__place"
+_PARALLEL_RUNS = 4
 _RANGES = 1000  # place ranges looked at to fill one block
 
 
@@ -171,14 +174,16 @@ def kmeans(
     k = default_k(usable.count()) if k is None else k
     if k == 1:
         return usable.select(key, F.lit(0).alias("cluster_id"))
-    points = usable.select(key, array_to_vector(vector).alias("features")).persist()
+    points = usable.select(key, array_to_vector(vector).alias("features"))
+
+    def fit(run: int) -> KMeansModel:
+        return KMeans(k=k, seed=seed + run, maxIter=max_iter).fit(held)
+
+    held = points.persist()
     try:
-        best: KMeansModel | None = None
-        for run in range(restarts):
-            model = KMeans(k=k, seed=seed + run, maxIter=max_iter).fit(points)
-            if best is None or model.summary.trainingCost < best.summary.trainingCost:
-                best = model
+        with ThreadPoolExecutor(min(restarts, _PARALLEL_RUNS)) as pool:  # each run is a series of small jobs
+            models = list(pool.map(inheritable_thread_target(fit), range(restarts)))
     finally:
-        points.unpersist()
-    located = usable.select(key, array_to_vector(vector).alias("features"))
-    return best.transform(located).select(key, F.col("prediction").alias("cluster_id"))
+        held.unpersist()
+    best = min(models, key=lambda model: model.summary.trainingCost)
+    return best.transform(points).select(key, F.col("prediction").alias("cluster_id"))

@@ -57,11 +57,6 @@ def extract_features(
     )
 
 
-def _prefer(order: str | None) -> Column:
-    """What decides between rows of one key: the order column, else the member list itself."""
-    return F.col(order) if order else F.col("merge_fields")
-
-
 def feature_diff(left: DataFrame, right: DataFrame, order: str | None = None) -> DataFrame:
     """Key-by-key comparison of two frames of :func:`extract_features`.
 
@@ -73,14 +68,14 @@ def feature_diff(left: DataFrame, right: DataFrame, order: str | None = None) ->
 
     def side(df: DataFrame, number: int) -> DataFrame:
         return where_once(df, lambda row: row["parse_ok"]).select(
-            "key", F.lit(number).alias("__s"), "merge_fields", _prefer(order).alias("__o")
+            "key", F.lit(number).alias("__s"), "merge_fields", *([F.col(order).alias("__o")] if order else [])
         )
 
     first, second = F.col("__s") == 1, F.col("__s") == 2
 
     def survivor(mine: Column) -> Column:
-        lowest = F.min(F.when(mine, F.struct(F.col("__o").alias("o"), F.col("merge_fields").alias("m"))))
-        return lowest["m"]
+        members = F.when(mine, F.col("merge_fields"))
+        return F.min_by(members, F.when(mine, F.col("__o"))) if order else F.min(members)
 
     merged = side(left, 1).unionAll(side(right, 2)).groupBy("key").agg(
         survivor(first).alias("backup_merge_fields"),

@@ -14,11 +14,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkweft.operators.skew import left_join_unique
 from sparkweft.staging import stage
 
-_PART, _POS, _TIE, _SEQ, _BEFORE, _COUNT = (
-    "__part", "__pos", "__tie", "__seq", "__before", "__count",
+_PART, _POS, _TIE, _SEQ, _BEFORE, _COUNT, _GROUP, _FIRST = (
+    "__part", "__pos", "__tie", "__seq", "__before", "__count", "__group", "__first",
 )
 _POSITION_BITS = (1 << 33) - 1  # monotonically_increasing_id keeps the row number in its low 33 bits
 
@@ -28,10 +27,8 @@ def _hashable(data_type: T.DataType) -> bool:
     return "map<" not in text and "variant" not in text
 
 
-def with_ordinal(
-    df: DataFrame, order_by: Sequence[str | Column], name: str = "ordinal", start: int = 1
-) -> DataFrame:
-    """Number all rows ``start, start+1, …`` in the order of ``order_by``.
+def _place(df: DataFrame, order_by: Sequence[str | Column]) -> DataFrame:
+    """Rows in range-partitioned order, written with their partition and their position in it.
 
     Rows that tie on the order key are told apart by a hash of the row and then by input position, so a key shared by
     a large part of the rows still spreads over many partitions.
@@ -41,7 +38,7 @@ def with_ordinal(
         _SEQ, F.monotonically_increasing_id()
     )
     order = [F.col(c) if isinstance(c, str) else c for c in order_by] + [F.col(_TIE), F.col(_SEQ)]
-    placed = stage(
+    return stage(
         tied.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .select(
@@ -50,6 +47,13 @@ def with_ordinal(
             F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_BITS)).alias(_POS),
         )
     )
+
+
+def with_ordinal(
+    df: DataFrame, order_by: Sequence[str | Column], name: str = "ordinal", start: int = 1
+) -> DataFrame:
+    """Number all rows ``start, start+1, …`` in the order of ``order_by``."""
+    placed = _place(df, order_by)
     before = W.orderBy(_PART).rowsBetween(W.unboundedPreceding, -1)  # one row per partition
     offsets = (
         placed.groupBy(_PART)
@@ -64,13 +68,20 @@ def with_ordinal(
 def with_group_ordinal(
     df: DataFrame, group: Sequence[str], order_by: Sequence[str], name: str = "ordinal", start: int = 1
 ) -> DataFrame:
-    """Number the rows of each group; a group of any size is spread over the cluster."""
-    numbered = with_ordinal(df, [*group, *order_by], "__global")
-    numbered = numbered.withColumn("__group", F.struct(*group))  # as a struct, NULL equals NULL
-    firsts = numbered.groupBy("__group").agg(F.min("__global").alias("__first"))
-    return left_join_unique(numbered, firsts, ["__group"]).select(
-        *df.columns, (F.col("__global") - F.col("__first") + F.lit(start)).alias(name)
+    """Number the rows of each group.
+
+    A group may lie in many partitions. Each of its pieces is numbered from the piece's first position and the sizes
+    of the pieces before, so rows are joined to pieces, which are never larger than a partition.
+    """
+    placed = _place(df, [*group, *order_by]).withColumn(_GROUP, F.struct(*group))  # as a struct, NULL equals NULL
+    before = W.partitionBy(_GROUP).orderBy(_PART).rowsBetween(W.unboundedPreceding, -1)  # one row per piece
+    pieces = (
+        placed.groupBy(_PART, _GROUP)
+        .agg(F.min(_POS).alias(_FIRST), F.count(F.lit(1)).alias(_COUNT))
+        .select(_PART, _GROUP, _FIRST, F.coalesce(F.sum(_COUNT).over(before), F.lit(0)).alias(_BEFORE))
     )
+    number = F.col(_POS) - F.col(_FIRST) + F.col(_BEFORE) + F.lit(start)
+    return placed.join(pieces, [_PART, _GROUP]).select(*df.columns, number.cast("long").alias(name))
 
 
 def with_chunk_id(df: DataFrame, order_by: Sequence[str | Column], chunk_size: int = 1000) -> DataFrame:

@@ -50,7 +50,7 @@ def chart_points(documents: DataFrame, ticker: str, value: str = "value") -> Dat
 
 
 def trailing_mean(
-    df: DataFrame, series: str, order: str, value: str, width: int = DEFAULT_WIDTH, block_rows: int = 100_000
+    df: DataFrame, series: str, order: str, value: str, width: int = DEFAULT_WIDTH, block_rows: int = 20_000
 ) -> DataFrame:
     """Every non-NULL point with the mean of the last ``width`` points of its series, NULL while there are fewer.
 
@@ -62,8 +62,9 @@ def trailing_mean(
     own = F.floor(F.col("__n") / block_rows)
     reach = F.floor((F.col("__n") + F.lit(width - 1)) / block_rows)
     placed = numbered.withColumn("__own", own).withColumn("__block", F.explode(F.sequence(own, reach)))
-    frame = W.partitionBy("__block", series).orderBy("__n").rowsBetween(1 - width, 0)
-    mean = F.when(F.count(F.lit(1)).over(frame) == width, F.avg(value).over(frame))
+    ordered = W.partitionBy("__block", series).orderBy("__n")
+    enough = F.lag("__n", width - 1).over(ordered).isNotNull() if width > 1 else F.lit(True)
+    mean = F.when(enough, F.avg(value).over(ordered.rowsBetween(1 - width, 0)))
     return placed.withColumn("trailing_mean", mean).where(F.col("__own") == F.col("__block")).select(
         *df.columns, "trailing_mean"
     )

@@ -16,7 +16,7 @@ from sparkweft.operators.diff import (
     line_diff_counts,
     parse_failures,
 )
-from sparkweft.plans.registry import query, table
+from sparkweft.plans.registry import query, spread_table, table
 from sparkweft.plans.table_queries import document_lines
 
 IDENTITY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
@@ -28,7 +28,7 @@ def feature_lines(spark: SparkSession, sf_dir: str, changed: bool = False) -> Da
     Members come from the flags, with repeats and with members of other kinds. Some lines are broken, have trailing
     text, a NULL key or no member list. The changed version renames some keys and alters some members.
     """
-    item = table(spark, sf_dir, "lineitem")
+    item = spread_table(spark, sf_dir, "lineitem").select(*IDENTITY, "l_returnflag", "l_linestatus")
     key = F.concat_ws("-", "l_orderkey", "l_linenumber")
     third = F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit("O")), (F.col("l_linenumber") % 3 + 1).cast("int"))
     flag = F.col("l_returnflag")

@@ -25,7 +25,7 @@ from sparkweft.operators.logs import (
 )
 from sparkweft.operators.rows import with_prefix
 from sparkweft.operators.series import series_signals, trailing_mean
-from sparkweft.plans.registry import query, table
+from sparkweft.plans.registry import query, spread_table, table
 
 
 @query(
@@ -137,7 +137,7 @@ def params_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(style == 2, F.concat(F.lit("　INFO params="), params, F.lit(" tail")))
         .otherwise(F.concat(F.lit("INFO params: "), F.replace(params, quote, F.lit("'"))))
     )
-    return params_records(table(spark, sf_dir, "events").select("event_id", line.alias("value")), "event_id")
+    return params_records(spread_table(spark, sf_dir, "events").select("event_id", line.alias("value")), "event_id")
 
 
 def batch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,7 +325,7 @@ def fenced_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```\nBye")))
         .otherwise(F.concat(F.lit("\n  "), body))
     )
-    parsed = table(spark, sf_dir, "orders").select("o_orderkey", parse_answer(answer, TRIP_ANSWER).alias("a"))
+    parsed = spread_table(spark, sf_dir, "orders").select("o_orderkey", parse_answer(answer, TRIP_ANSWER).alias("a"))
     trips = parsed.select(
         "o_orderkey", *[F.col(f"a.{name}") for name in TRIP_FIELDS], F.posexplode_outer("a.vehicles").alias("no", "v")
     )
@@ -348,7 +348,7 @@ def trailing_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean of the last 170 values of each kind, NULL values left out."""
     close = F.when(F.col("event_id") % 23 != 0, F.col("value")).alias("value")
     events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", close)
-    means = trailing_mean(events, "event_type", "ts", "value", block_rows=50_000)
+    means = trailing_mean(events, "event_type", "ts", "value", block_rows=5000)
     return means.drop("ts").withColumn("trailing_mean", F.round("trailing_mean", 6))
 
 
@@ -402,7 +402,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0.98765).alias("confidence"),
         F.array(corner(x + 9, y + 9), corner(x, y), corner(x + 9, y), corner(x, y + 9)).alias("text_region"),
     )
-    return table(spark, sf_dir, "lineitem").select(
+    return spread_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", F.array(first, second).alias("points")
     )
 
@@ -424,7 +424,8 @@ def box_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of quadrilaterals, with misread words corrected."""
     boxes = pages(spark, sf_dir).withColumn("boxes", page_boxes(F.col("points"))).drop("points")
     keys = [name for name in boxes.columns if name != "boxes"]
-    return boxes.select(*keys, F.posexplode("boxes").alias("no", "box")).select(
+    # The outer form keeps the optimizer from computing the boxes a second time to test for empty pages.
+    return boxes.select(*keys, F.posexplode_outer("boxes").alias("no", "box")).select(
         *keys, F.col("no").cast("long").alias("no"), "box.text", "box.x", "box.y", "box.w", "box.h", "box.c"
     )
 
@@ -474,5 +475,5 @@ def media_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 6, '{"streams": [{"height": 720}]}')
         .otherwise(F.format_string('{"streams": [{"width": %d, "height": %d, "codec": "c"}, {"width": 1}]}', width, height))
     )
-    sized = table(spark, sf_dir, "orders").select("o_orderkey", probe_size(probe).alias("s")).select("o_orderkey", "s.*")
+    sized = spread_table(spark, sf_dir, "orders").select("o_orderkey", probe_size(probe).alias("s")).select("o_orderkey", "s.*")
     return sized.withColumn("tier", quality_tier(F.col("width"), F.col("height")))

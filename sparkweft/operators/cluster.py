@@ -182,7 +182,7 @@ def kmeans(
     held = points.persist()
     try:
         with ThreadPoolExecutor(min(restarts, _PARALLEL_RUNS)) as pool:  # each run is a series of small jobs
-            models = list(pool.map(inheritable_thread_target(fit), range(restarts)))
+            models = list(pool.map(inheritable_thread_target(vectors.sparkSession)(fit), range(restarts)))
     finally:
         held.unpersist()
     best = min(models, key=lambda model: model.summary.trainingCost)

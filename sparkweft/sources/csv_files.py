@@ -7,6 +7,7 @@ blocks, keeps an empty cell apart from a missing one and keeps surplus cells, bu
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -21,6 +22,13 @@ from sparkweft.sources.paths import require_path
 _NEVER = "\x01\x02\x01"
 
 
+def charset(encoding: str) -> str:
+    """Spark's name of a Python encoding. Names beyond ISO-8859-1, ASCII and UTF need a session with
+    ``spark.sql.legacy.javaCharsets``, which :func:`sparkweft.build_session` sets."""
+    name = codecs.lookup(encoding).name
+    return name.replace("iso8859", "iso-8859").replace("ascii", "us-ascii").replace("-le", "le").replace("-be", "be")
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
@@ -38,7 +46,7 @@ def read_csv(
     reader = spark.read.options(
         header=True,
         sep=delimiter,
-        encoding=encoding,
+        encoding=charset(encoding),
         multiLine=multi_line,
         quote='"',
         escape='"',
@@ -47,12 +55,16 @@ def read_csv(
     return reader.csv(path)
 
 
+def _record_lines(spark: SparkSession, path: str, encoding: str, header: bool) -> DataFrame:
+    """Non-blank lines as ``value``, with ``header`` without the first line of every file."""
+    options = {"header": header, "sep": _NEVER, "quote": "", "encoding": charset(encoding)}
+    return spark.read.options(**options).schema("value string").csv(path)
+
+
 def headers(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8") -> list[str]:
     """Column names as written; an empty file is an error."""
     require_path(spark, path)
-    first = (
-        spark.read.options(header=False, sep=_NEVER, quote="", encoding=encoding).schema("value string").csv(path).head()
-    )
+    first = _record_lines(spark, path, encoding, header=False).head()
     if first is None:
         raise ValueError(f"no header in {path}")
     names = spark.range(1).select(csv_cells(F.lit(first.value), delimiter).alias("names")).head()
@@ -67,9 +79,7 @@ def read_csv_records(
     When a name repeats, its last column wins.
     """
     names = headers(spark, path, delimiter, encoding)
-    lines = (
-        spark.read.options(header=True, sep=_NEVER, quote="", encoding=encoding).schema("value string").csv(path)
-    )
+    lines = _record_lines(spark, path, encoding, header=True)
     cells = lines.select(csv_cells(F.col("value"), delimiter).alias("cells"))
     last = {name: i for i, name in enumerate(names)}
     surplus = F.when(
@@ -83,7 +93,7 @@ def read_csv_records(
 def read_csv_arrays(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8") -> DataFrame:
     """Every record, the header too, as one array of its cells, however many there are."""
     require_path(spark, path)
-    lines = spark.read.options(header=False, sep=_NEVER, quote="", encoding=encoding).schema("value string").csv(path)
+    lines = _record_lines(spark, path, encoding, header=False)
     return lines.select(csv_cells(F.col("value"), delimiter).alias("cells"))
 
 

@@ -56,14 +56,23 @@ def check_dimension(left: np.ndarray, right: np.ndarray) -> None:
         raise ValueError(f"vectors differ in dimension: {left.shape[1]} and {right.shape[1]}")
 
 
-def score(left: np.ndarray, right: np.ndarray, method: str) -> np.ndarray:
+def raw_score(left: np.ndarray, right: np.ndarray, method: str) -> np.ndarray:
     """Scores of every left row against every right row, higher is closer (euclidean distance is negated)."""
     check_dimension(left, right)
     products = left @ right.T
     if method == "euclidean":
-        squares = (left * left).sum(1)[:, None] + (right * right).sum(1)[None, :] - 2 * products
-        products = -np.sqrt(np.maximum(squares, 0.0))
-    return np.round(products, SCORE_DIGITS)
+        products *= -2
+        products += (left * left).sum(1)[:, None]
+        products += (right * right).sum(1)[None, :]
+        np.sqrt(np.maximum(products, 0.0, out=products), out=products)
+        np.negative(products, out=products)
+    return products
+
+
+def score(left: np.ndarray, right: np.ndarray, method: str) -> np.ndarray:
+    """:func:`raw_score` rounded for comparison."""
+    products = raw_score(left, right, method)
+    return np.round(products, SCORE_DIGITS, out=products)
 
 
 def row_slices(rows: int, width: int) -> Iterator[slice]:

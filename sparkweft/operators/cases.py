@@ -112,7 +112,7 @@ def _best_classes(
     items = matrix(vectors)
     for part in row_slices(len(ids), max(len(samples), len(cases))):
         scores = _class_scores(items[part], samples, owner, len(cases))
-        rows, cols = best_per_row(scores, cases, top_k)
+        rows, cols = best_per_row(scores, top_k)
         found = [ids.slice(part.start).take(pa.array(rows)), pa.array(cases[cols]), pa.array(scores[rows, cols])]
         yield pa.RecordBatch.from_arrays(found, schema=schema)
 

@@ -18,54 +18,69 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from sparkweft.functions.vectors import check_method
-from sparkweft.operators.blocks import key_array, matrix, row_slices, score, take_block, with_block
+from sparkweft.operators.blocks import SCORE_DIGITS, key_array, matrix, raw_score, row_slices, take_block, with_block
 
 MAX_QUERY_BLOCK = 4096
 CANDIDATE_BLOCK = 32_768
 
+_FEW = 4  # times k: more hits per query than this are cut to k before they are sorted
 
-def best_per_row(scores: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers of the k best columns of each row; ties go to the lowest ``order``."""
-    if scores.shape[1] > k:
-        floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-        rows, cols = np.nonzero(scores >= floor[:, None])
+
+def best_per_row(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column numbers of the k best columns of each row; ties go to the lowest column."""
+    width = scores.shape[1]
+    if width > k:
+        floor = np.partition(scores, width - k, axis=1)[:, width - k, None]
+        above, level = scores > floor, scores == floor
+        room = k - above.sum(axis=1, keepdims=True)
+        rows, cols = np.nonzero(above | (level & (np.cumsum(level, axis=1) <= room)))
     else:
         rows, cols = np.nonzero(np.ones(scores.shape, dtype=bool))
-    sort = np.lexsort((order[cols], -scores[rows, cols], rows))
-    rows, cols = rows[sort], cols[sort]
-    keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
-    return rows[keep], cols[keep]
-
-
-def _places(keys: np.ndarray) -> np.ndarray:
-    """Rank of every key in key order."""
-    return np.argsort(np.argsort(keys, kind="stable"), kind="stable")
+    sort = np.lexsort((cols, -scores[rows, cols], rows))
+    return rows[sort], cols[sort]
 
 
 class _Best:
     """Running best k candidates of each query within one task."""
 
-    def __init__(self, queries: pa.Table | tuple[np.ndarray, np.ndarray], k: int, method: str) -> None:
+    def __init__(self, queries: tuple[np.ndarray, np.ndarray], k: int, method: str) -> None:
         self.keys, self.vectors = queries
         self.k, self.method = k, method
         self.query = np.empty(0, dtype=np.int64)
         self.candidate: np.ndarray | None = None
         self.scores = np.empty(0)
+        self.floor = np.full(len(self.keys), -np.inf)  # score of the k-th best so far
+        self.last = np.empty(0)  # and its key
 
     def add(self, keys: np.ndarray, vectors: np.ndarray) -> None:
         for part in row_slices(len(keys), len(self.keys)):
-            found = score(self.vectors, vectors[part], self.method)
-            rows, cols = best_per_row(found, _places(keys[part]), self.k)
-            self._merge(rows, keys[part][cols], found[rows, cols])
+            order = part.start + np.argsort(keys[part], kind="stable")
+            found = raw_score(self.vectors, vectors[order], self.method)
+            rows, cols = np.nonzero(found >= self.floor[:, None] - 10.0**-SCORE_DIGITS)
+            if len(self.last):  # a tie with the k-th best counts only for a lower key
+                lower = np.searchsorted(keys[order], self.last)
+                better = np.round(found[rows, cols], SCORE_DIGITS) > self.floor[rows]
+                better |= cols < lower[rows]
+                rows, cols = rows[better], cols[better]
+            if len(rows) > _FEW * self.k * len(self.keys):
+                rows, cols = best_per_row(np.round(found, SCORE_DIGITS, out=found), self.k)
+            self._merge(rows, keys[order][cols], np.round(found[rows, cols], SCORE_DIGITS))
 
     def _merge(self, rows: np.ndarray, keys: np.ndarray, scores: np.ndarray) -> None:
         query = np.concatenate([self.query, rows])
         candidate = keys if self.candidate is None else np.concatenate([self.candidate, keys])
         value = np.concatenate([self.scores, scores])
-        sort = np.lexsort((_places(candidate), -value, query))
+        place = np.argsort(np.argsort(candidate, kind="stable"), kind="stable")
+        sort = np.lexsort((place, -value, query))
         query, candidate, value = query[sort], candidate[sort], value[sort]
-        keep = np.arange(len(query)) - np.searchsorted(query, query, side="left") < self.k
+        rank = np.arange(len(query)) - np.searchsorted(query, query, side="left")
+        keep = rank < self.k
         self.query, self.candidate, self.scores = query[keep], candidate[keep], value[keep]
+        last = rank == self.k - 1
+        self.floor[query[last]] = value[last]
+        if not len(self.last) and len(candidate):
+            self.last = np.full(len(self.keys), candidate[0], dtype=candidate.dtype)
+        self.last[query[last]] = candidate[last]
 
     def arrays(self, schema: pa.Schema) -> list[pa.Array]:
         if self.candidate is None:

@@ -14,9 +14,14 @@ PROBE_LINE = 100
 
 
 def sample_has_member(lines: DataFrame, sample_lines: int | None = SAMPLE_LINES, value: str = "value") -> bool:
-    """Whether one of the first lines has a wanted member; ``sample_lines=None`` looks at all lines."""
-    looked_at = lines if sample_lines is None else lines.limit(sample_lines)
-    return not looked_at.where(has_wanted_member(F.col(value))).isEmpty()
+    """Whether one of the first lines has a wanted member; ``sample_lines=None`` looks at all lines.
+
+    The sample is taken one partition after the other, so a gate in front of a large job opens few files, and only
+    the answers reach the driver.
+    """
+    if sample_lines is None:
+        return not lines.where(has_wanted_member(F.col(value))).isEmpty()
+    return any(row["found"] for row in lines.select(has_wanted_member(F.col(value)).alias("found")).take(sample_lines))
 
 
 def member_facts(lines: DataFrame, path: str, value: str = "value") -> DataFrame:

@@ -92,6 +92,11 @@ def feature_diff(left: DataFrame, right: DataFrame, order: str | None = None) ->
     return merged.withColumn("status", status)
 
 
+def diff_examples(diff: DataFrame, n: int = 5) -> DataFrame:
+    """A few keys whose lists differ."""
+    return diff.where("status = 'diff'").limit(n)
+
+
 def feature_diff_counts(diff: DataFrame) -> DataFrame:
     """One row: keys, discarded repeats and status counts of a feature diff."""
     has_left, has_right = F.col("backup_rows") > 0, F.col("data_rows") > 0

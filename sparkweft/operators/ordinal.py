@@ -7,8 +7,9 @@ partition.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -92,6 +93,11 @@ def with_chunk_id(df: DataFrame, order_by: Sequence[str | Column], chunk_size: i
     return numbered.withColumn("chunk_id", F.floor((F.col("ordinal") - 1) / chunk_size))
 
 
+def map_chunks(chunks: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """Run ``work`` on every chunk of :func:`with_chunk_id` as a pandas frame; chunks are bounded by their size."""
+    return chunks.groupBy("chunk_id").applyInPandas(work, schema)
+
+
 def member_lists(
     df: DataFrame, group: str, member: str, list_rows: int = 10_000, name: str = "members"
 ) -> DataFrame:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweft.functions.json_text import has_wanted_member, rewrite_members
-from sparkweft.functions.text import file_parent, parent_name
+from sparkweft.functions.json_text import rewrite_members
+from sparkweft.functions.text import parent_name
 from sparkweft.operators.audit import SAMPLE_LINES, audit_paths, nth_line, probe_marker, sample_has_member
 from sparkweft.operators.cases import classify
 from sparkweft.operators.cluster import DEFAULT_THRESHOLD, leader_clusters
@@ -24,6 +26,8 @@ from sparkweft.sources.paths import path_state
 from sparkweft.sources.text_files import PLACE, read_lines, read_positional
 from sparkweft.staging import stage
 
+_PARALLEL_DIRECTORIES = 8
+
 BACKUP_SEGMENT, DATA_SEGMENT = "data_backup", "data"
 
 
@@ -81,29 +85,25 @@ def compare_lines(spark: SparkSession, path1: str, path2: str, output_dir: str |
 def audit_directories(
     spark: SparkSession, paths: Sequence[str], sample_lines: int | None = SAMPLE_LINES
 ) -> DataFrame:
-    """``path``, ``task_name``, ``path_exists`` and three-valued ``has_field`` of every path, in one job.
+    """``path``, ``task_name``, ``path_exists`` and three-valued ``has_field`` of every path.
 
     ``has_field`` looks at ``sample_lines`` lines of each directory, at all of them with None. It is NULL where there
-    are no lines to look at.
+    are no files to look at.
     """
     states = [(path, *path_state(spark, path)) for path in dict.fromkeys(paths)]
-    requested = spark.createDataFrame([(p, full, state) for p, full, state in states], "path string, full string, state string")
-    checked = None
-    for path, full, state in states:
-        if state == "directory":
-            lines = read_lines(spark, full)
-            lines = lines if sample_lines is None else lines.limit(sample_lines)
-            found = lines.select(F.lit(path).alias("path"), has_wanted_member(F.col("value")).alias("found"))
-            checked = found if checked is None else checked.unionAll(found)
-    there = requested.where("state <> 'missing'").select("path")
-    if checked is None:
-        facts = there.withColumn("has_field", F.lit(None).cast("boolean"))
-    else:
-        # A directory with files but no line has been looked at and has no member.
-        looked = requested.where("state = 'directory'").select("path", F.lit(False).alias("found"))
-        any_found = checked.unionAll(looked).groupBy("path").agg(F.bool_or("found").alias("has_field"))
-        facts = there.join(any_found, "path", "left")
-    audited = audit_paths(requested.select("path"), facts)
+    filled = [(path, full) for path, full, state in states if state == "directory"]
+
+    def sampled(place: tuple[str, str]) -> tuple[str, bool]:
+        return place[0], sample_has_member(read_lines(spark, place[1]), sample_lines)
+
+    # One small job per directory with a sample, one scan of it without; either way one answer per directory.
+    with ThreadPoolExecutor(_PARALLEL_DIRECTORIES) as pool:
+        found = dict(pool.map(inheritable_thread_target(spark)(sampled), filled))
+    requested = spark.createDataFrame([(path,) for path, _, _ in states], "path string")
+    facts = spark.createDataFrame(
+        [(path, found.get(path)) for path, _, state in states if state != "missing"], "path string, has_field boolean"
+    )
+    audited = audit_paths(requested, facts)
     return audited.select("path", parent_name(F.col("path")).alias("task_name"), "path_exists", "has_field")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkweft.functions import json_text
-from sparkweft.operators.diff import extract_features, feature_diff, feature_diff_counts, parse_failures
+from sparkweft.operators.diff import diff_examples, extract_features, feature_diff, feature_diff_counts, parse_failures
 from sparkweft.operators.logs import params_records
 
 M = "merge_field\t"
@@ -107,6 +107,7 @@ def test_diff_compares_lists_not_joined_text(spark):
         "a": "diff", "b": "same", "c": "same", "only": "only_in_backup", "new": "only_in_data",
     }
     assert got["c"]["backup_rows"] == 2
+    assert [r["key"] for r in diff_examples(feature_diff(left, right, order="n")).collect()] == ["a"]
     counts = feature_diff_counts(feature_diff(left, right, order="n")).head()
     assert (counts["backup_keys"], counts["data_keys"], counts["backup_repeats"]) == (4, 4, 1)
 

@@ -48,6 +48,15 @@ def test_chunks(spark, size):
     assert {r["id"]: r["chunk_id"] for r in got} == {i: i // size for i in range(11)}
 
 
+def test_work_on_chunks(spark):
+    def total(rows):
+        return rows.groupby("chunk_id", as_index=False)["id"].sum()
+
+    chunks = ordinal.with_chunk_id(spark.range(5), ["id"], 2)
+    got = ordinal.map_chunks(chunks, total, "chunk_id long, id long").collect()
+    assert {r["chunk_id"]: r["id"] for r in got} == {0: 1, 1: 5, 2: 4}
+
+
 def test_chunk_size_must_be_positive(spark):
     with pytest.raises(ValueError):
         ordinal.with_chunk_id(spark.range(3), ["id"], 0)

@@ -20,10 +20,17 @@ from sparkweft.operators.encode import encode
 from sparkweft.operators.logs import params_records
 from sparkweft.operators.ordinal import with_ordinal
 from sparkweft.operators.rows import reorder_columns
-from sparkweft.sinks.files import stable_part_names, write_csv, write_feature_diff, write_gzip_text, write_line_diff
+from sparkweft.sinks.files import (
+    stable_part_names,
+    write_csv,
+    write_feature_diff,
+    write_gzip_text,
+    write_line_diff,
+    write_ragged_csv,
+)
 from sparkweft.sources.inventory import directory_summary, list_directory, read_pictures
 from sparkweft.sources.paths import path_state
-from sparkweft.sources.text_files import PLACE, read_lines, read_positional
+from sparkweft.sources.text_files import PLACE, RECORD_FIELDS, RECORD_ORDER, read_lines, read_positional
 from sparkweft.staging import stage
 
 _PARALLEL_DIRECTORIES = 8
@@ -145,12 +152,15 @@ def export_params(spark: SparkSession, log_path: str, output_dir: str) -> DataFr
 
 
 def reorder_positional(
-    spark: SparkSession, input_path: str, output_dir: str, names: Sequence[str], wanted: Sequence[str]
+    spark: SparkSession,
+    input_path: str,
+    output_dir: str,
+    names: Sequence[str] = RECORD_FIELDS,
+    wanted: Sequence[str] = RECORD_ORDER,
 ) -> None:
-    """Positional tab-separated records as CSV with the wanted columns first; surplus cells are joined in the last
-    column ``overflow`` by tabs."""
-    rows = reorder_columns(read_positional(spark, input_path, list(names)), wanted, strict=True)
-    write_csv(rows.withColumn("overflow", F.array_join("overflow", "\t")), output_dir)
+    """Positional tab-separated records as CSV: wanted columns first, then the others, then surplus cells."""
+    rows = reorder_columns(read_positional(spark, input_path, names), wanted, strict=True)
+    write_ragged_csv(rows, output_dir)
 
 
 def cluster_pictures(

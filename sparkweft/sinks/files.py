@@ -8,7 +8,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweft.functions.text import zero_pad
+from sparkweft.functions.text import csv_cell, csv_line, zero_pad
 from sparkweft.operators.diff import BOTH, ONLY_LEFT, ONLY_RIGHT
 from sparkweft.operators.ordinal import member_lists
 from sparkweft.sources.paths import list_files, rename_file
@@ -27,6 +27,20 @@ def write_csv(df: DataFrame, path: str, delimiter: str = ",") -> None:
     ).csv(path)
 
 
+def write_ragged_csv(df: DataFrame, path: str, overflow: str = "overflow") -> None:
+    """Headed CSV whose rows end with the surplus cells of an array column, which has no header."""
+    names = [name for name in df.columns if name != overflow]
+    surplus = F.transform(overflow, lambda cell: F.concat(F.lit(","), csv_cell(cell)))
+    record = F.concat(csv_line([F.col(name) for name in names]), F.array_join(surplus, ""))
+    header = ",".join(names)
+    # Records are complete already: a separator no text holds and no quote make the CSV writer a line writer that
+    # puts the header on top of every file.
+    df.select(record.alias(header)).write.mode("overwrite").options(
+        header=True, sep="\x01\x02\x01", quote="", escape="\0", emptyValue="",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    ).csv(path)
+
+
 def write_quoted_csv(df: DataFrame, path: str) -> None:
     """Headed CSV with every value in quotes, inner quotes doubled."""
     df.write.mode("overwrite").options(header=True, quoteAll=True, escape='"').csv(path)

@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkweft.functions.json_text import parse_object
 from sparkweft.functions.text import split_pair, trim_ws
 from sparkweft.operators.rows import split_positional
 
+# The cells of a positional trip record, by position.
+RECORD_FIELDS = (
+    "estimate_id", "supplier_name", "driver_id", "driver_last_name", "car_type", "car_number", "product_type",
+    "start_date", "end_date", "summary_order_count", "driver_cancel_count", "online_duration",
+    "peak_online_duration", "ok_server_day_count", "serve_duration", "income_amount", "reward_amount", "images",
+    "performance_order_count", "source_type", "city_name", "activity_name", "city_illegal", "platform",
+    "week_number", "platform_income_total", "base_fare", "reward", "other", "channel_reward", "placeholder",
+)
+# The sheet order: images first, then the other fields up to the platform.
+RECORD_ORDER = ("images", *(name for name in RECORD_FIELDS[:24] if name != "images"))
+
 PLACE = ("src_file", "src_block", "src_seq")
 
 
@@ -48,8 +62,6 @@ def read_records(spark: SparkSession, path: str, separator: str) -> DataFrame:
 
 def read_name_lists(spark: SparkSession, path: str, list_field: str = "dict_list") -> DataFrame:
     """Distinct names in JSON objects written back to back with a blank line between; broken objects are skipped."""
-    from pyspark.sql import types as T
-
     pieces = read_records(spark, path, "}\n\n{").select(trim_ws(F.col("value")).alias("value"))
     opened = F.when(F.col("value").startswith("{"), F.col("value")).otherwise(F.concat(F.lit("{"), F.col("value")))
     closed = F.when(opened.endswith("}"), opened).otherwise(F.concat(opened, F.lit("}")))
@@ -82,7 +94,9 @@ def split_pairs(lines: DataFrame, value: str = "value") -> DataFrame:
     return parts.select(*kept, F.get("__p", F.lit(0)).alias("dict"), F.get("__p", F.lit(1)).alias("key"))
 
 
-def read_positional(spark: SparkSession, path: str, names: list[str], delimiter: str = "\t") -> DataFrame:
+def read_positional(
+    spark: SparkSession, path: str, names: Sequence[str] = RECORD_FIELDS, delimiter: str = "\t"
+) -> DataFrame:
     """Records without header, cells named by position (see :func:`split_positional`)."""
     return split_positional(read_lines(spark, path), names, delimiter)
 

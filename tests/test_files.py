@@ -352,9 +352,13 @@ def test_params_job(spark, tmp_path):
 
 
 def test_reorder_job(spark, tmp_path):
-    path = write(tmp_path / "in.tsv", "1\t2,2\t3\t4\t5\n\n6\n")
+    path = write(tmp_path / "in.tsv", '1\t2,2\t3\t4\t"5" \\\n\n6\n')
     jobs.reorder_positional(spark, path, str(tmp_path / "out"), ["a", "b", "c"], ["c", "a"])
-    assert read_all(tmp_path / "out") == 'c,a,b,overflow\n3,1,"2,2",4\t5\n,6,,\n'
+    assert read_all(tmp_path / "out") == 'c,a,b\n3,1,"2,2",4,"""5"" \\"\n,6,\n'
+    jobs.reorder_positional(spark, path, str(tmp_path / "full"))
+    header, first = read_all(tmp_path / "full").splitlines()[:2]
+    assert header.startswith("images,estimate_id,supplier_name") and header.endswith(",channel_reward,placeholder")
+    assert len(next(csv.reader([first]))) == 31
 
 
 def test_picture_jobs(spark, tmp_path):

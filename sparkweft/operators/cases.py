@@ -58,6 +58,7 @@ def nearest_classes(
             items.schema[item],
             T.StructField("case_no", T.LongType()),
             T.StructField("similarity", T.DoubleType()),
+            T.StructField("rank", T.LongType()),
         ]
     )
     arrow_schema = to_arrow_schema(schema)
@@ -73,7 +74,8 @@ def nearest_classes(
             for batch in batches:
                 yield from _best_classes(batch.column(item), batch.column(vector), *held.value, top_k, arrow_schema)
 
-        partial = items.mapInArrow(nearest, schema)
+        # Each item's classes are ranked where the item is; the class names are bounded by the check above.
+        ranked = items.mapInArrow(nearest, schema).join(F.broadcast(names), "case_no", "left")
     else:
 
         def meet(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -92,9 +94,10 @@ def nearest_classes(
         partial = grid(items, cases, item, "sample", item_block, max_library_block, meet, schema)
         # The block that holds a class's best sample ranks the class at least as high as it ranks overall, so the
         # best classes of each block are enough.
-        partial = partial.groupBy(item, "case_no").agg(F.max("similarity").alias("similarity"))
-    ranked = rank_top(partial, [item], ["similarity desc", "case_no"], top_k)
-    return left_join_unique(ranked, names, ["case_no"]).select(item, "case_no", "case_name", "similarity", "rank")
+        scored = partial.groupBy(item, "case_no").agg(F.max("similarity").alias("similarity"))
+        best = rank_top(scored, [item], ["similarity desc", "case_no"], top_k)
+        ranked = left_join_unique(best, names, ["case_no"])
+    return ranked.select(item, "case_no", "case_name", "similarity", "rank")
 
 
 def _best_classes(
@@ -113,7 +116,13 @@ def _best_classes(
     for part in row_slices(len(ids), max(len(samples), len(cases))):
         scores = _class_scores(items[part], samples, owner, len(cases))
         rows, cols = best_per_row(scores, top_k)
-        found = [ids.slice(part.start).take(pa.array(rows)), pa.array(cases[cols]), pa.array(scores[rows, cols])]
+        ranks = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") + 1
+        found = [
+            ids.slice(part.start).take(pa.array(rows)),
+            pa.array(cases[cols]),
+            pa.array(scores[rows, cols]),
+            pa.array(ranks),
+        ]
         yield pa.RecordBatch.from_arrays(found, schema=schema)
 
 
@@ -123,9 +132,10 @@ def classify(
     """``item`` and ``case_name``: the nearest class, or ``UNCLASSIFIED`` below the threshold, without a vector or
     with an empty library."""
     nearest = nearest_classes(items, library, 1, item, vector)
-    close = F.coalesce(F.col("similarity") >= threshold, F.lit(False))
-    return items.select(item).join(nearest, item, "left").select(
-        item, F.when(close, F.col("case_name")).otherwise(UNCLASSIFIED).alias("case_name"), "similarity"
+    close = F.when(F.col("similarity") >= threshold, F.col("case_name")).otherwise(UNCLASSIFIED)
+    without = items if library.isEmpty() else items.where(F.col(vector).isNull())
+    return nearest.select(item, close.alias("case_name"), "similarity").unionAll(
+        without.select(item, F.lit(UNCLASSIFIED), F.lit(None).cast("double"))
     )
 
 

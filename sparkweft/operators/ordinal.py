@@ -31,16 +31,18 @@ def _hashable(data_type: T.DataType) -> bool:
 def _place(df: DataFrame, order_by: Sequence[str | Column]) -> DataFrame:
     """Rows in range-partitioned order, written with their partition and their position in it.
 
-    Rows that tie on the order key are told apart by a hash of the row and then by input position, so a key shared by
-    a large part of the rows still spreads over many partitions.
+    Rows that tie on the order key are told apart by a hash of the row and equal rows by their place in the task, so
+    a key shared by a large part of the rows still spreads over many partitions. The place is taken after a local
+    sort: a task that runs again, with its rows in another order, then sends equal rows to the same partitions.
     """
     hashed = [F.col(f.name) for f in df.schema.fields if _hashable(f.dataType)]
-    tied = df.withColumn(_TIE, F.xxhash64(*hashed) if hashed else F.lit(0)).withColumn(
-        _SEQ, F.monotonically_increasing_id()
-    )
-    order = [F.col(c) if isinstance(c, str) else c for c in order_by] + [F.col(_TIE), F.col(_SEQ)]
+    keys = [F.col(c) if isinstance(c, str) else c for c in order_by] + [F.col(_TIE)]
+    tied = df.withColumn(_TIE, F.xxhash64(*hashed) if hashed else F.lit(0))
+    order = [*keys, F.col(_SEQ)]
     return stage(
-        tied.repartitionByRange(*order)
+        tied.sortWithinPartitions(*keys)
+        .withColumn(_SEQ, F.monotonically_increasing_id())
+        .repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .select(
             *df.columns,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ def sample_rows(df: DataFrame, n: int = DEFAULT_SIZE, key: list[str] | None = No
     if n < 0:
         raise ValueError("n must not be negative")
     if seed is None:
-        seed = int(df.sparkSession.range(1).select(F.floor(F.rand() * 2**31).alias("s")).head()["s"])
+        seed = random.randrange(2**31)
     keys = [F.col(c).cast("string") for c in key or df.columns]
     hashed = df.withColumn("__h", F.md5(F.concat_ws("|", *keys, F.lit(str(seed)))))
     bucket = F.substring("__h", 1, _PREFIX)

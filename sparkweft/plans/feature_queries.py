@@ -79,8 +79,8 @@ _SQL_LINES = """
             from lineitem))
 """
 _KEY = "l_orderkey::varchar || '-' || l_linenumber::varchar"
-_PLAIN = _SQL_LINES.format(name="plain", flag="l_returnflag", key=_KEY)
-_CHANGED = _SQL_LINES.format(
+PLAIN_SQL = _SQL_LINES.format(name="plain", flag="l_returnflag", key=_KEY)
+CHANGED_SQL = _SQL_LINES.format(
     name="changed",
     flag="case when l_suppkey % 7 = 0 then '中' else l_returnflag end",
     key=f"case when l_suppkey % 13 = 0 then 'new-' else '' end || {_KEY}",
@@ -89,7 +89,7 @@ _CHANGED = _SQL_LINES.format(
 
 @query(
     f"""
-    with {_CHANGED}
+    with {CHANGED_SQL}
     select l_orderkey, l_linenumber::bigint as l_linenumber, l_partkey, l_suppkey, l_extendedprice,
            case when not parse_ok then line
                 else '{{"key": ' || case when shown_key is null then 'null' else '"' || shown_key || '"' end ||
@@ -112,7 +112,7 @@ def feature_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""
-    with {_PLAIN}
+    with {PLAIN_SQL}
     select l_orderkey, l_linenumber::bigint as l_linenumber, l_partkey, l_suppkey, l_extendedprice,
            case when parse_ok then coalesce(shown_key, sha256(line)) end as key,
            case when parse_ok then array_to_string(list_transform(members, lambda m: 'merge_field' || chr(9) || m), '|')
@@ -134,7 +134,7 @@ def feature_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""
-    with {_PLAIN}
+    with {PLAIN_SQL}
     select count(*) filter (where parse_ok) as valid_lines, count(*) filter (where not parse_ok) as failed_lines,
            count(*) filter (where parse_ok and kind <> 1) as member_lines
     from plain
@@ -146,8 +146,8 @@ def feature_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_failures(extract_features(lines), member_lines=F.count_if("has_member"))
 
 
-_DIFF_SQL = f"""
-    with {_PLAIN}, {_CHANGED},
+DIFF_SQL = f"""
+    with {PLAIN_SQL}, {CHANGED_SQL},
     b as (select coalesce(shown_key, sha256(line)) as key,
                  min(list_transform(members, lambda m: 'merge_field' || chr(9) || m)) as fields, count(*) as n
           from plain where parse_ok group by 1),
@@ -170,7 +170,7 @@ def _diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feature_diff(before, after)
 
 
-@query(_DIFF_SQL + "select * from diff")
+@query(DIFF_SQL + "select * from diff")
 def feature_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two versions of the feature lines compared key by key."""
     return _diff(spark, sf_dir).withColumns(
@@ -179,7 +179,7 @@ def feature_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    _DIFF_SQL
+    DIFF_SQL
     + """
     select count(*) filter (where backup_rows > 0) as backup_keys, count(*) filter (where data_rows > 0) as data_keys,
            count(*) filter (where data_rows > 0) - count(*) filter (where backup_rows > 0) as key_difference,
@@ -196,7 +196,7 @@ def feature_diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feature_diff_counts(_diff(spark, sf_dir))
 
 
-_LINE_SIDES = """
+LINE_SIDES_SQL = """
     with a as (select unnest(string_split(text, chr(10))) as value from documents),
     b as (select case when length(value) % 5 = 0 then value || '!' else value end as value from a),
     sides as (
@@ -213,14 +213,14 @@ def _line_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_diff(lines, changed)
 
 
-@query(_LINE_SIDES + "select value, side from sides")
+@query(LINE_SIDES_SQL + "select value, side from sides")
 def line_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct lines of two versions of the documents, by side."""
     return _line_sides(spark, sf_dir)
 
 
 @query(
-    _LINE_SIDES
+    LINE_SIDES_SQL
     + """
     select count(*) filter (where side <> 'only_in_2') as distinct_1, count(*) filter (where side <> 'only_in_1') as distinct_2,
            count(*) filter (where side = 'only_in_1') as only_in_1, count(*) filter (where side = 'only_in_2') as only_in_2,

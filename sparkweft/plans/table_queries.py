@@ -140,6 +140,17 @@ def column_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reorder_columns(rows, ["priority", "unknown", "status"])
 
 
+def ragged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tab-separated line per order with one, three, four or six cells, and a blank line after each."""
+    tab, key = F.lit("\t"), F.col("o_orderkey").cast("string")
+    kind = F.col("o_orderkey") % 4
+    two = F.concat(key, tab, F.col("o_custkey").cast("string"), tab, F.col("o_orderstatus"))
+    four = F.concat(two, tab, F.col("o_orderpriority"))
+    line = F.when(kind == 1, key).when(kind == 0, two).when(kind == 2, four)
+    line = line.otherwise(F.concat(four, tab, F.lit("extra"), tab))
+    return table(spark, sf_dir, "orders").select(F.explode(F.array(line, F.lit("\t \t"))).alias("value"))
+
+
 @query(
     """
     select o_orderkey::varchar as order_key,
@@ -152,14 +163,7 @@ def column_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ragged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tab-separated rows with too few, exactly enough and too many cells, and blank lines between."""
-    tab, key = F.lit("\t"), F.col("o_orderkey").cast("string")
-    kind = F.col("o_orderkey") % 4
-    two = F.concat(key, tab, F.col("o_custkey").cast("string"), tab, F.col("o_orderstatus"))
-    four = F.concat(two, tab, F.col("o_orderpriority"))
-    line = F.when(kind == 1, key).when(kind == 0, two).when(kind == 2, four)
-    line = line.otherwise(F.concat(four, tab, F.lit("extra"), tab))
-    lines = table(spark, sf_dir, "orders").select(F.explode(F.array(line, F.lit("\t \t"))).alias("value"))
-    rows = split_positional(lines, NAMES)
+    rows = split_positional(ragged_lines(spark, sf_dir), NAMES)
     return rows.withColumn("overflow", F.array_join("overflow", "|"))
 
 

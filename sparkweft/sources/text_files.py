@@ -101,7 +101,9 @@ def read_positional(
     return split_positional(read_lines(spark, path), names, delimiter)
 
 
-def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """JSON vector documents ``{dimension, embedding}`` with their file, one document per file or per line."""
-    documents = spark.read.schema("dimension int, embedding array<float>").option("multiLine", True).json(path)
-    return documents.select("dimension", "embedding", F.col("_metadata.file_path").alias("src_file"))
+def read_vectors(spark: SparkSession, path: str, others: str = "", one_per_file: bool = False) -> DataFrame:
+    """JSON vector documents ``{dimension, embedding}`` with their file: one per line, or ``one_per_file`` over any
+    number of lines. ``others`` is the schema of further fields, as text."""
+    schema = ", ".join(filter(None, [others, "dimension int, embedding array<float>"]))
+    documents = spark.read.schema(schema).option("multiLine", one_per_file).json(path)
+    return documents.select("*", F.col("_metadata.file_path").alias("src_file"))

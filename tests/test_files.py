@@ -160,10 +160,12 @@ def test_pairs_and_positional(spark, tmp_path):
 
 
 def test_vectors_round_trip(spark, tmp_path):
-    df = spark.createDataFrame([([1.0, 0.5],)], "embedding array<float>")
+    df = spark.createDataFrame([(i, [1.0, i / 2]) for i in range(9)], "i long, embedding array<float>").coalesce(1)
     sinks.write_vectors(df, str(tmp_path / "v"))
-    row = text_files.read_vectors(spark, str(tmp_path / "v")).head()
-    assert row["dimension"] == 2 and row["embedding"] == [1.0, 0.5]
+    back = text_files.read_vectors(spark, str(tmp_path / "v"), others="i long")
+    assert sorted((r["i"], r["dimension"], r["embedding"]) for r in back.collect()) == [(i, 2, [1.0, i / 2]) for i in range(9)]
+    path = write(tmp_path / "one.json", json.dumps({"dimension": 2, "embedding": [1.0, 0.5]}, indent=2))
+    assert text_files.read_vectors(spark, path, one_per_file=True).head()["embedding"] == [1.0, 0.5]
 
 
 def test_library_in_both_layouts(spark, tmp_path):

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from sparkweft.operators.blocks import matrix, row_slices, score, take_block
-from sparkweft.operators.ordinal import with_group_ordinal
+from sparkweft.operators.ordinal import with_group_ordinal, with_ordinal
 from sparkweft.operators.similarity import best_per_row, grid, rank_top
 from sparkweft.operators.skew import left_join_unique
 
@@ -151,10 +151,9 @@ def add_cases(library: DataFrame, samples: DataFrame, order_by: str = "path") ->
     usable = samples.where("embedding is not null")
     numbered = with_group_ordinal(usable, ["case_name"], [order_by], "__n", start=0)
     fresh = usable.select("case_name").distinct().join(known, "case_name", "left_anti")
-    fresh = with_group_ordinal(fresh.withColumn("__all", F.lit(1)), ["__all"], ["case_name"], "__m", start=0)
-    fresh = fresh.select("case_name", (F.col("__m") + F.lit(last + 1)).alias("case_no"), F.lit(0).alias("next_idx"))
+    fresh = with_ordinal(fresh, ["case_name"], "__m", start=0).select("case_name", (F.col("__m") + F.lit(last + 1)).alias("case_no"), F.lit(0).alias("next_idx"))
     places = known.select("case_name", "case_no", "next_idx").unionByName(fresh)
-    added = numbered.join(places, "case_name").select(
+    added = left_join_unique(numbered, places, ["case_name"]).select(
         "case_no", "case_name", (F.col("next_idx") + F.col("__n")).cast("long").alias("idx"), "path", "embedding",
         "description",
     )

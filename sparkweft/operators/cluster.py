@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
-from pyspark import inheritable_thread_target
+from pyspark import Broadcast, inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sparkweft.operators.blocks import VectorBlock, matrix, row_slices, score, take_block
+from sparkweft.operators.blocks import matrix, row_slices, score, take_block
 from sparkweft.operators.ordinal import with_ordinal
 from sparkweft.staging import stage_path
 
@@ -78,10 +78,12 @@ def leader_clusters(
             raise ValueError("block_rows vectors of this dimension are too large to broadcast; lower block_rows")
         in_order = np.argsort(block.columns[_PLACE])
         rows = in_order[pick_leaders(block.vectors[in_order], threshold)]
-        leaders = VectorBlock({name: values[rows] for name, values in block.columns.items()}, block.vectors[rows])
+        leaders = {name: values[rows] for name, values in block.columns.items()}
+        held = spark.sparkContext.broadcast((leaders, block.vectors[rows]))
         path = stage_path(spark)
-        matched = _join_leaders(open_rows, leaders, key, vector, threshold, clusters, schema)
+        matched = _join_leaders(open_rows, held, key, vector, threshold, clusters, schema)
         matched.withColumn("settled", F.col("cluster_id").isNotNull()).write.partitionBy("settled").parquet(path)
+        held.destroy()  # the round is written, nothing computes it again
         clusters += len(rows)
         settled.append(f"{path}/settled=true")
         open_rows = reader.parquet(path).where(~F.col("settled")).select(key, vector, _PLACE)
@@ -105,15 +107,14 @@ def _block_end(open_rows: DataFrame, block_rows: int) -> int | None:
 
 def _join_leaders(
     open_rows: DataFrame,
-    leaders: VectorBlock,
+    held: Broadcast,
     key: str,
     vector: str,
     threshold: float,
     first_cluster: int,
     schema: T.StructType,
 ) -> DataFrame:
-    """Open rows with the first leader they match, NULL when there is none."""
-    held = open_rows.sparkSession.sparkContext.broadcast((leaders.columns, leaders.vectors))
+    """Open rows with the first of the broadcast leaders they match, NULL when there is none."""
     arrow_schema = to_arrow_schema(schema)
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:

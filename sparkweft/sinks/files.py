@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweft.functions.text import csv_cell, csv_line, zero_pad
+from sparkweft.functions.text import csv_cell, csv_line
 from sparkweft.operators.diff import BOTH, ONLY_LEFT, ONLY_RIGHT
 from sparkweft.operators.ordinal import member_lists
 from sparkweft.sources.paths import list_files, rename_file
@@ -73,11 +72,6 @@ def stable_part_names(spark: SparkSession, directory: str) -> list[str]:
     return sorted(renamed)
 
 
-def part_name(number) -> "F.Column":
-    """``part-NNNNN.gz`` of a number column."""
-    return F.concat(F.lit("part-"), zero_pad(number), F.lit(".gz"))
-
-
 def write_line_diff(diff: DataFrame, path: str, value: str = "value") -> None:
     """``only_in_1``, ``only_in_2`` and ``in_both`` below ``path``, written in one pass as ``side=…`` folders."""
     diff.select(value, "side").write.mode("overwrite").partitionBy("side").text(path)
@@ -123,8 +117,3 @@ def group_documents(df: DataFrame, group: str, member: str, list_rows: int = 10_
 def write_group_documents(df: DataFrame, group: str, member: str, path: str, list_rows: int = 10_000) -> None:
     """Write :func:`group_documents`."""
     write_text(group_documents(df, group, member, list_rows), path)
-
-
-def files_for(total_bytes: int, file_bytes: int = 256 << 20) -> int:
-    """Number of files of about ``file_bytes`` each."""
-    return max(1, math.ceil(total_bytes / file_bytes))

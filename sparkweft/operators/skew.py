@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 # A key is hot from one part in HOT_SHARE of the sampled rows on, so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1000
 SAMPLE_ROWS = 2_000_000
-MIN_HOT_ROWS = 100_000
+MIN_HOT_ROWS = 1_000_000  # fewer rows of one key are no burden for one task
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = MIN_HOT_ROWS) -> DataFrame | None:

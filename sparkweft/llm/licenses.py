@@ -1,6 +1,6 @@
 """License scan: sparse TF-IDF cosine of lines and whole files to license templates, and inheritance along directories.
 
-Terms are weighted by how few templates hold them, a term in no template most. Only a passage with one of the anchor terms
+Terms are weighted by how few templates hold them, a term in no template most; function words are no terms. Only a passage with one of the anchor terms
 can reach the least cosine: anchors are chosen so that, for every template, all other terms together stay below it. So the
 search for anchors, a pattern that Spark's own functions run over whole texts, loses nothing, and only lines with an anchor
 are split into terms. A file without a license of its own gets that of the nearest directory above it that has a license
@@ -43,8 +43,15 @@ TEMPLATES = (
 )
 
 
+# Function words, which are no terms.
+STOP_WORDS = frozenset(
+    "a also an and any are as at be but by can do either for from has have if in is it its may met no not of on or other so such "
+    "that the their them then there these this those to under use was were which will with without you your".split()
+)
+
+
 def terms(text: str) -> list[str]:
-    return re.findall(TERM, text.lower())
+    return [t for t in re.findall(TERM, text.lower()) if t not in STOP_WORDS]
 
 
 class Model:
@@ -64,7 +71,7 @@ class Model:
             self.vectors.append({term: v / length for term, v in raw.items()})
         for vector in self.vectors:
             rest = 1.0 - sum(v * v for term, v in vector.items() if term in anchors)
-            for term in sorted(vector, key=lambda t: (len(t) < 3, held[t], t)):
+            for term in sorted(vector, key=lambda t: (len(t) < 2, held[t] == 1 and len(t) < 4, -len(t), t)):
                 if rest < (least - 1e-3) ** 2:
                     break
                 if term not in anchors:
@@ -86,6 +93,7 @@ def direct_licenses(texts: DataFrame, model: Model) -> DataFrame:
     whole = F.array(F.struct(F.col("text").alias("t"), F.lit(True).alias("whole")))
     passages = texts.where(_has_anchor(F.col("text"), model)).select("id", F.posexplode(F.concat(lines, whole)).alias("at", "p"))
     found = passages.select("id", "at", "p.whole", F.explode(F.regexp_extract_all(F.lower("p.t"), F.lit(f"({TERM})"), 1)).alias("term"))
+    found = found.where(~F.col("term").isin(*sorted(STOP_WORDS)))
     counts = found.groupBy("id", "at", "whole", "term").agg(F.count(F.lit(1)).alias("n"))
     idf = F.broadcast(spark.createDataFrame(sorted(model.idf.items()), "term string, idf double"))
     weights = counts.join(idf, "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(model.unseen)))

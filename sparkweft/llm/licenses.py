@@ -92,20 +92,22 @@ def direct_licenses(texts: DataFrame, model: Model) -> DataFrame:
     lines = F.transform(F.filter(F.split("text", "\n", -1), lambda line: _has_anchor(line, model)), lambda line: F.struct(line.alias("t"), F.lit(False).alias("whole")))
     whole = F.array(F.struct(F.col("text").alias("t"), F.lit(True).alias("whole")))
     passages = texts.where(_has_anchor(F.col("text"), model)).select("id", F.posexplode(F.concat(lines, whole)).alias("at", "p"))
+    passages = passages.repartition("id", "at")  # terms of a passage are then summed where they are found
     found = passages.select("id", "at", "p.whole", F.explode(F.regexp_extract_all(F.lower("p.t"), F.lit(f"({TERM})"), 1)).alias("term"))
     found = found.where(~F.col("term").isin(*sorted(STOP_WORDS)))
     counts = found.groupBy("id", "at", "whole", "term").agg(F.count(F.lit(1)).alias("n"))
-    idf = F.broadcast(spark.createDataFrame(sorted(model.idf.items()), "term string, idf double"))
-    weights = counts.join(idf, "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(model.unseen)))
-    weights = stage(weights.select("id", "at", "whole", "term", "w"))
-    lengths = weights.groupBy("id", "at", "whole").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    table = [(i, model.names[i], term, v) for i, vector in enumerate(model.vectors) for term, v in vector.items()]
-    vectors = F.broadcast(spark.createDataFrame(table, "number int, license string, term string, v double"))
-    dots = weights.join(vectors, "term").groupBy("id", "at", "number", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    near = dots.join(lengths, ["id", "at"]).withColumn("cosine", F.round(F.col("dot") / F.col("length"), 9))
-    near = near.where(F.col("cosine") >= model.least)
-    best = F.max_by(F.struct("license", "cosine"), F.struct("cosine", (-F.col("number")).alias("order"))).alias("best")
-    return near.groupBy("id").agg(best, F.bool_or("whole").alias("whole")).select("id", "best.license", "best.cosine", "whole")
+    table = [(t, idf, [v.get(t, 0.0) for v in model.vectors]) for t, idf in sorted(model.idf.items())]
+    known = F.broadcast(spark.createDataFrame(table, "term string, idf double, v array<double>"))
+    weights = counts.join(known, "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(model.unseen)))
+    dots = [F.sum(F.col("w") * F.col("v")[i]).alias(f"d{i}") for i in range(len(model.vectors))]
+    sums = weights.groupBy("id", "at", "whole").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"), *dots)
+    cosines = [
+        F.struct(F.round(F.col(f"d{i}") / F.col("length"), 9).alias("cosine"), F.lit(-i).alias("order"), F.lit(name).alias("license"))
+        for i, name in enumerate(model.names)
+    ]
+    near = sums.select("id", "whole", F.array_max(F.array(*cosines)).alias("best")).where(F.col("best.cosine") >= model.least)
+    best = near.groupBy("id").agg(F.max("best").alias("best"), F.bool_or("whole").alias("whole"))
+    return best.select("id", "best.license", "best.cosine", "whole")
 
 
 def parent(path: Column) -> Column:

@@ -9,6 +9,8 @@ their length by Spark and look their place up in the plan.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
@@ -30,20 +32,45 @@ EXACT_BELOW = 512  # pieces up to this length are planned by their exact length
 MOST_PARTS = 3
 GREEDY_GAP = 0.01  # share of a window that a greedily filled one may leave empty
 BUCKET_ROWS = 20_000
-_CACHED_WORDS = 200_000
+_CACHED_WORDS = 400_000
+
+
+# Letters that the tokenizer lower-cases and maps one by one, and marks it splits off them.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|*#$%&)]*)")
 
 
 class _Words(dict):
-    """Ids of words, as bytes, by word. The tokenizer works within white space, so a text's ids are those of its words."""
+    """Ids of words, as bytes, by word; words whose ids were found before are looked up."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
+        first = (json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        # Only a tokenizer that drops white space and never looks across it has the ids of a text in its words.
+        self.within_words = first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert"))
+        self.mapped: dict[str, str] = {}
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _char(self, char: str) -> str:
+        if char not in self.mapped:
+            self.mapped[char] = "".join(part for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(char))
+        return self.mapped[char]
 
     def __missing__(self, word: str) -> bytes:
-        found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        plain = _PLAIN.fullmatch(word)
+        if plain is None:
+            found = self._ids(word)
+        elif plain[2]:
+            found = self[plain[1]] + self[plain[2]]
+        elif not word.islower():
+            found = self[word.lower()]
+        else:  # one piece for the model; the steps before it cost more than the model
+            piece = word if word.isascii() else "".join(map(self._char, word))
+            found = np.array([t.id for t in self.tokenizer.model.tokenize(piece)], dtype="<u4").tobytes()
         if len(word) <= 64:
             if len(self) > _CACHED_WORDS:
                 self.clear()
@@ -51,12 +78,16 @@ class _Words(dict):
             self[word] = found
         return found
 
+    def of_text(self, text: str) -> bytes:
+        if not self.within_words:
+            return self._ids(text)
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+
 
 def token_ids(text: str | None, path: str) -> np.ndarray:
     """Ids of a whole text and the end id; a null text has the end id only."""
     words = per_process(f"words {path}", lambda: _Words(path))
-    joined = b"".join(map(words.__getitem__, (text or "").replace("\n", " ").split(" ")))
-    return np.append(np.frombuffer(joined, dtype="<u4"), np.uint32(END_ID))
+    return np.append(np.frombuffer(words.of_text(text or ""), dtype="<u4"), np.uint32(END_ID))
 
 
 _PIECES = "array<struct<start:bigint,length:bigint,doc_tokens:bigint,ids_crc32:bigint,ids:binary>>"

@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -130,9 +131,11 @@ def inherited(files: DataFrame, owners: DataFrame) -> DataFrame:
     return of.join(stage(nearest), "directory").select("id", "n.license", "n.origin")
 
 
-def scan_licenses(df: DataFrame, path: Column, text: str = "text", model: Model | None = None) -> DataFrame:
+def scan_licenses(
+    df: DataFrame, path: Column, text: str = "text", carry: Sequence[str] | None = None, model: Model | None = None
+) -> DataFrame:
     """Every row with ``path``, ``license``, ``cosine``, ``evidence`` (``file``, ``header``, ``inherited`` or ``none``) and
-    ``origin`` (the directory an inherited license comes from).
+    ``origin`` (the directory an inherited license comes from). ``carry`` names the columns to keep, all of them if None.
 
     A text that as a whole is close to a template is a license file and speaks for its directory; a line that is gives the
     text a header of its own. Of several license files in a directory the one with the greatest cosine, then the name that
@@ -140,7 +143,7 @@ def scan_licenses(df: DataFrame, path: Column, text: str = "text", model: Model
     templates go to the first. Repeated rows are scanned each. No rows give no rows. Columns named like results are replaced.
     """
     model = model or Model()
-    names = others(df, "path", "license", "cosine", "evidence", "origin")
+    names = [c for c in others(df, "path", "license", "cosine", "evidence", "origin") if carry is None or c in carry]
     held = F.struct(*[column(c) for c in names], F.lit(0).alias("__filler"))
     rows = stage(
         df.select(held.alias("row"), path.alias("path"), F.monotonically_increasing_id().alias("id"),

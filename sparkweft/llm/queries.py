@@ -61,7 +61,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files below a directory for each source and language."""
     path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("und")), F.col("doc_id").cast("string"))
     rows = _documents(spark, sf_dir).select("doc_id", "text", path.alias("at"))
-    return licenses.scan_licenses(rows, F.col("at")).select("doc_id", "path", "license", "cosine", "evidence", "origin")
+    return licenses.scan_licenses(rows, F.col("at"), carry=["doc_id"]).select("doc_id", "path", "license", "cosine", "evidence", "origin")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

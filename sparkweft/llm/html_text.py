@@ -29,6 +29,8 @@ DROPPED = frozenset(
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SCOPES = frozenset("html body div article section main table td th caption ul ol dl blockquote figure details".split())
+CONTAINERS = frozenset("div section article main body #root".split())
+ROWS = frozenset("td th tr thead tbody tfoot table li ul ol dl dt dd".split())
 CLOSES = {  # an opening element ends an open one of these
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"},
@@ -191,8 +193,10 @@ def main_text(html: str | None) -> str:
     containers: dict[int, Node] = {}
     for owner, line, linked in blocks:
         points, share, node = _points(line, linked), 1.0, owner
-        if node.tag not in ("div", "section", "article", "main", "body", "td", "#root"):
-            node = node.parent or node  # a paragraph's points go to what it stands in
+        if node.tag not in CONTAINERS:  # a paragraph's points go to what it stands in, those of a cell or item further up
+            node = node.parent or node
+        while node.parent is not None and node.tag in ROWS and (node is owner or node.tag not in ("td", "th")):
+            node = node.parent
         depth = 0
         while node is not None:
             node.chars += len(line)

@@ -12,22 +12,11 @@ import time
 from sparkweft.plans.catalog import QUERIES
 from sparkweft.session import build_session
 
-# The headline queries: one or more per family of operators.
-HEADLINE = (
-    "csv_line_parse", "chunk_ids", "ragged_rows", "fixed_projection", "status_filter_except", "lines_intersect",
-    "sample_exact", "driver_summary", "key_lookup", "feature_filter", "feature_extract", "feature_reconcile",
-    "feature_diff_summary", "line_reconcile", "path_audit", "nth_line_probe", "dict_key_extract", "keep_last_rows",
-    "params_extract", "log_stats", "log_records", "storage_estimate", "token_totals", "answer_fold", "fenced_json",
-    "trailing_means", "series_signal", "box_convert", "media_tier", "vector_similarity", "vector_topk",
-    "leader_groups", "kmeans_groups", "case_nearest", "case_changes",
-)
-
-
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     chosen = os.environ.get("BENCH_QUERIES")
-    names = list(QUERIES) if chosen == "all" else chosen.split(",") if chosen else list(HEADLINE)
+    names = chosen.split(",") if chosen else list(QUERIES)
     spark = build_session("bench", f"local[{cpus}]", int(cpus) * 2, **{"spark.driver.memory": "16g"})
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{sf_dir}/region.parquet").count()  # start-up is not part of the first query

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from contextlib import suppress
 
 import pandas as pd
 from pyspark.sql import Column
@@ -62,26 +63,29 @@ def has_wanted_member(line: Column, list_field: str = "fieldvalues", prefix: str
     return F.coalesce(F.exists(members, lambda member: F.coalesce(member.startswith(prefix), F.lit(False))), F.lit(False))
 
 
+def _object_of(line: str) -> dict | None:
+    with suppress(ValueError, RecursionError):
+        found = json.loads(line)
+        return found if type(found) is dict else None
+    return None
+
+
 def keep_wanted_members(line: str | None, list_field: str, prefix: str) -> str | None:
-    """Rewrite one line with only its wanted members; a line that is no JSON object comes back unchanged."""
-    if not line:
-        return line
-    try:
-        record = json.loads(line)
-    except (ValueError, RecursionError):
-        return line
-    if not isinstance(record, dict):
+    """One line with its member list cut to the wanted texts, each once; any line but a JSON object stays as it is."""
+    record = _object_of(line) if line else None
+    if record is None:
         return line
-    if isinstance(record.get(list_field), list):
-        wanted = (m for m in record[list_field] if isinstance(m, str) and m.startswith(prefix))
-        record[list_field] = list(dict.fromkeys(wanted))
+    match record.get(list_field):
+        case [*members]:
+            texts = dict.fromkeys(m for m in members if isinstance(m, str))
+            record |= {list_field: [m for m in texts if m.startswith(prefix)]}
     return json.dumps(record, ensure_ascii=False)
 
 
 def rewrite_members(line: Column, list_field: str = "fieldvalues", prefix: str = MEMBER_PREFIX) -> Column:
     """Whole line with its member list filtered, in Arrow batches.
 
-    The other fields keep their order and number text, which no built-in expression does.
+    The other fields keep their order, which no built-in expression does; numbers come out as Python writes them.
     """
 
     @F.pandas_udf(T.StringType())

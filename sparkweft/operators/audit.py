@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 from sparkweft.functions.json_text import has_wanted_member
 from sparkweft.functions.text import contains_marker
 
-SAMPLE_LINES = 500
 PROBE_LINE = 100
 
 
-def sample_has_member(lines: DataFrame, sample_lines: int | None = SAMPLE_LINES, value: str = "value") -> bool:
-    """Whether one of the first lines has a wanted member; ``sample_lines=None`` looks at all lines.
+def sample_has_member(lines: DataFrame, sample_lines: int | None = None, value: str = "value") -> bool:
+    """Whether a line has a wanted member. All lines are looked at, unless the caller asks for the first ``sample_lines``.
 
     The sample is taken one partition after the other, so a gate in front of a large job opens few files, and only
     the answers reach the driver.

@@ -14,7 +14,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from sparkweft.operators.blocks import matrix, row_slices, score, take_block
 from sparkweft.operators.ordinal import with_group_ordinal, with_ordinal
 from sparkweft.operators.similarity import best_per_row, grid, rank_top
-from sparkweft.operators.skew import left_join_unique
 
 # Fixed value: the class of items no case is close enough to.
 UNCLASSIFIED = "未分类"
@@ -96,7 +95,7 @@ def nearest_classes(
         # best classes of each block are enough.
         scored = partial.groupBy(item, "case_no").agg(F.max("similarity").alias("similarity"))
         best = rank_top(scored, [item], ["similarity desc", "case_no"], top_k)
-        ranked = left_join_unique(best, names, ["case_no"])
+        ranked = best.join(names, "case_no", "left")
     return ranked.select(item, "case_no", "case_name", "similarity", "rank")
 
 
@@ -153,7 +152,7 @@ def add_cases(library: DataFrame, samples: DataFrame, order_by: str = "path") ->
     fresh = usable.select("case_name").distinct().join(known, "case_name", "left_anti")
     fresh = with_ordinal(fresh, ["case_name"], "__m", start=0).select("case_name", (F.col("__m") + F.lit(last + 1)).alias("case_no"), F.lit(0).alias("next_idx"))
     places = known.select("case_name", "case_no", "next_idx").unionByName(fresh)
-    added = left_join_unique(numbered, places, ["case_name"]).select(
+    added = numbered.join(places, "case_name", "left").select(
         "case_no", "case_name", (F.col("next_idx") + F.col("__n")).cast("long").alias("idx"), "path", "embedding",
         "description",
     )
@@ -162,7 +161,7 @@ def add_cases(library: DataFrame, samples: DataFrame, order_by: str = "path") ->
 
 def remove_class(library: DataFrame, case_name: str) -> DataFrame:
     """Library without a class."""
-    return library.where(F.col("case_name") != case_name)
+    return library.where(~F.col("case_name").eqNullSafe(F.lit(case_name)))
 
 
 def has_case(library: DataFrame, case_name: str, idx: int | None = None) -> bool:
@@ -173,9 +172,9 @@ def has_case(library: DataFrame, case_name: str, idx: int | None = None) -> bool
 
 def remove_sample(library: DataFrame, case_name: str, idx: int) -> DataFrame:
     """Library without one sample; later samples of the class move up. A class without samples is gone."""
-    mine = F.col("case_name") == case_name
+    mine = F.col("case_name").eqNullSafe(F.lit(case_name))
     moved: Column = F.when(mine & (F.col("idx") > idx), F.col("idx") - 1).otherwise(F.col("idx"))
-    return library.where(~(mine & (F.col("idx") == idx))).withColumn("idx", moved)
+    return library.where(~(mine & F.col("idx").eqNullSafe(F.lit(idx)))).withColumn("idx", moved)
 
 
 def list_classes(library: DataFrame) -> DataFrame:

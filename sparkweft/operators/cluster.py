@@ -74,8 +74,12 @@ def leader_clusters(
     clusters = 0
     while (last := _block_end(open_rows, block_rows)) is not None:
         block = take_block(open_rows.where(F.col(_PLACE) <= last), vector, block_rows)
+        while block is None and block_rows > 1:  # wide vectors: a smaller block holds as many components
+            block_rows //= 2
+            last = _block_end(open_rows, block_rows)
+            block = take_block(open_rows.where(F.col(_PLACE) <= last), vector, block_rows)
         if block is None:
-            raise ValueError("block_rows vectors of this dimension are too large to broadcast; lower block_rows")
+            raise ValueError("one vector has more components than a block may hold")
         in_order = np.argsort(block.columns[_PLACE])
         rows = in_order[pick_leaders(block.vectors[in_order], threshold)]
         leaders = {name: values[rows] for name, values in block.columns.items()}

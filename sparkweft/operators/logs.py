@@ -13,7 +13,7 @@ from sparkweft.functions.text import command_value, has_command, utf8_bytes
 from sparkweft.operators.dedupe import keep_last
 from sparkweft.operators.ordinal import with_ordinal
 from sparkweft.operators.rows import project_defaults
-from sparkweft.operators.skew import left_join_unique
+from sparkweft.operators.ordinal import with_group_ordinal
 
 # Fixed value: the log text of a finished batch, with its number of images and its seconds.
 BATCH_PATTERN = r"并发调用ocr模型效率：(\d+)张图片，耗时([\d.]+)"
@@ -156,9 +156,9 @@ _PIECE = T.StructType(
 def fold_pieces(lines: DataFrame, answer: str, order: str, value: str = "value", piece_rows: int = 1000) -> DataFrame:
     """Answers put together from pieces, one JSON document per line, up to the first piece that is ``done``.
 
-    A piece is ``response`` or ``message.content``; lines that do not parse are skipped. An answer is given in
-    ``part`` rows that cover ``piece_rows`` values of the whole-number ``order`` column each, in order, so an endless
-    answer is never gathered in one place; usual answers have one part. Adds ``pieces`` and ``finished``.
+    A piece is ``response`` or ``message.content``; lines that do not parse are skipped. An answer of more than
+    ``piece_rows`` pieces is given in ``part`` rows of so many pieces each, counted from 0 in the order of the pieces, so an
+    endless answer is never gathered in one place. ``pieces`` and ``finished`` are those of the whole answer.
     """
     parsed = lines.select(answer, order, parse_object(F.col(value), _PIECE).alias("p"))
     pieces = where_once(parsed, lambda row: row["p"].isNotNull()).select(
@@ -168,11 +168,13 @@ def fold_pieces(lines: DataFrame, answer: str, order: str, value: str = "value",
         F.coalesce("p.done", F.lit(False)).alias("done"),
     )
     ends = pieces.where("done").groupBy(answer).agg(F.min(order).alias("__end"))
-    kept = left_join_unique(pieces, ends, [answer]).where(F.col("__end").isNull() | (F.col(order) <= F.col("__end")))
-    part = F.floor(F.col(order) / piece_rows).alias("part")
-    ordered = F.sort_array(F.collect_list(F.struct(order, "text")))
-    return kept.groupBy(answer, part).agg(
-        F.array_join(F.transform(ordered, lambda item: item["text"]), "").alias("text"),
-        F.count(F.lit(1)).alias("pieces"),
-        F.bool_or("done").alias("finished"),
+    kept = pieces.join(ends, answer, "left").where(F.col("__end").isNull() | (F.col(order) <= F.col("__end")))
+    numbered = with_group_ordinal(kept.drop("__end"), [answer], [order, "text"], "__n", start=0)
+    ordered = F.sort_array(F.collect_list(F.struct("__n", "text")))
+    parts = numbered.groupBy(answer, F.floor(F.col("__n") / piece_rows).alias("part")).agg(
+        F.array_join(F.transform(ordered, lambda item: item["text"]), "").alias("text")
     )
+    whole = numbered.groupBy(F.col(answer).alias("__answer")).agg(
+        F.count(F.lit(1)).alias("pieces"), F.bool_or("done").alias("finished")
+    )
+    return parts.join(whole, F.col(answer).eqNullSafe(F.col("__answer"))).drop("__answer")

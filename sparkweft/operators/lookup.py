@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweft.operators.skew import left_join_unique
 
 
 def compare_replicas(
@@ -26,6 +25,6 @@ def compare_replicas(
         F.max(F.when(F.col("__a"), F.col("__v"))).alias("value_a"),
         F.max(F.when(~F.col("__a"), F.col("__v"))).alias("value_b"),
     )
-    return left_join_unique(requests, stored, keys).withColumn(
+    return requests.join(stored, list(keys), "left").withColumn(
         "agree", F.col("value_a").eqNullSafe(F.col("value_b"))
     )

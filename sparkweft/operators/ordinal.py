@@ -105,11 +105,11 @@ def member_lists(
 ) -> DataFrame:
     """Members of each group as ordered lists of at most ``list_rows``.
 
-    A group that fits gives one list or two; a larger one gives several ``part`` rows, so no list grows with the data.
-    Parts follow the order of the members.
+    Only a group with more members than that has several ``part`` rows, counted from 0 in the order of its members, so no
+    list grows with the data and none depends on other groups.
     """
-    numbered = with_ordinal(df.select(group, member), [group, member], "__n")
-    part = F.floor((F.col("__n") - 1) / list_rows).alias("part")
+    numbered = with_group_ordinal(df.select(group, member), [group], [member], "__n", start=0)
+    part = F.floor(F.col("__n") / list_rows).alias("part")
     lists = numbered.groupBy(group, part).agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct("__n", F.col(member).alias("m")))), lambda item: item["m"]

@@ -191,7 +191,7 @@ def vector_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
     with numbered as (
-      select event_type, event_id, (row_number() over (order by event_type, event_id) - 1) // 900 as part from events)
+      select event_type, event_id, (row_number() over (partition by event_type order by event_id) - 1) // 900 as part from events)
     select '{"event_type":"' || event_type || '","part":' || part::varchar || ',"members":['
            || string_agg(event_id::varchar, ',' order by event_id) || ']}' as value
     from numbered group by event_type, part

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweft.functions.json_text import rewrite_members
-from sparkweft.functions.text import parent_name
-from sparkweft.operators.audit import SAMPLE_LINES, audit_paths, nth_line, probe_marker, sample_has_member
+from sparkweft.functions.text import parent_name, swap_segment
+from sparkweft.operators.audit import audit_paths, nth_line, probe_marker, sample_has_member
 from sparkweft.operators.cases import classify
 from sparkweft.operators.cluster import DEFAULT_THRESHOLD, leader_clusters
 from sparkweft.operators.diff import extract_features, feature_diff, line_diff
@@ -38,28 +38,29 @@ _PARALLEL_DIRECTORIES = 8
 BACKUP_SEGMENT, DATA_SEGMENT = "data_backup", "data"
 
 
-def output_directory(input_dir: str, output_dir: str | None = None) -> str:
+def output_directory(spark: SparkSession, input_dir: str, output_dir: str | None = None) -> str:
     """Given output directory, or the input path with its first ``data_backup`` segment turned into ``data``."""
-    source = input_dir.rstrip("/")
-    if output_dir:
-        if output_dir.rstrip("/") == source:
-            raise ValueError("the output directory must differ from the input directory")
-        return output_dir
-    segments = source.split("/")
-    if BACKUP_SEGMENT not in segments:
+    given = F.lit(input_dir)
+    paths = spark.range(1).select(
+        F.rtrim(given, F.lit("/")).alias("source"), swap_segment(given, BACKUP_SEGMENT, DATA_SEGMENT).alias("swapped")
+    )
+    found = paths.head()
+    target = output_dir or found["swapped"]
+    if target is None:
         raise ValueError(f"no {BACKUP_SEGMENT} segment in {input_dir}; name the output directory")
-    segments[segments.index(BACKUP_SEGMENT)] = DATA_SEGMENT
-    return "/".join(segments)
+    if target.rstrip("/") == found["source"]:
+        raise ValueError("the output directory must differ from the input directory")
+    return target
 
 
 def filter_features(
-    spark: SparkSession, input_dir: str, output_dir: str | None = None, sample_lines: int | None = SAMPLE_LINES
+    spark: SparkSession, input_dir: str, output_dir: str | None = None, sample_lines: int | None = None
 ) -> str | None:
     """Rewrite feature files with only their wanted members.
 
-    Gives the output directory, or None, writing nothing, when the first ``sample_lines`` lines have no wanted member.
+    Gives the output directory, or None, writing nothing, when no line (of the first ``sample_lines``, if given) has a wanted member.
     """
-    target = output_directory(input_dir, output_dir)
+    target = output_directory(spark, input_dir, output_dir)
     lines = read_lines(spark, input_dir)
     if not sample_has_member(lines, sample_lines):
         return None
@@ -90,11 +91,11 @@ def compare_lines(spark: SparkSession, path1: str, path2: str, output_dir: str |
 
 
 def audit_directories(
-    spark: SparkSession, paths: Sequence[str], sample_lines: int | None = SAMPLE_LINES
+    spark: SparkSession, paths: Sequence[str], sample_lines: int | None = None
 ) -> DataFrame:
     """``path``, ``task_name``, ``path_exists`` and three-valued ``has_field`` of every path.
 
-    ``has_field`` looks at ``sample_lines`` lines of each directory, at all of them with None. It is NULL where there
+    ``has_field`` looks at all lines of each directory, or at the first ``sample_lines`` if given. It is NULL where there
     are no files to look at.
     """
     states = [(path, *path_state(spark, path)) for path in dict.fromkeys(paths)]

@@ -284,11 +284,11 @@ def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     with pieces as (select * from conversations where turn % 5 <> 3),
     ends as (select conv_id, min(turn) as stop from pieces where length(text) > 1500 group by conv_id),
-    kept as (select p.*, p.turn // 3 as part from pieces p left join ends e on p.conv_id = e.conv_id
-             where e.stop is null or p.turn <= e.stop)
-    select conv_id, part, string_agg(text, '' order by turn) as text, count(*) as pieces,
-           bool_or(length(text) > 1500)::integer::bigint as finished
-    from kept group by conv_id, part
+    kept as (select p.*, (row_number() over (partition by p.conv_id order by p.turn) - 1) // 3 as part,
+                    count(*) over (partition by p.conv_id) as pieces, e.stop is not null as finished
+             from pieces p left join ends e on p.conv_id = e.conv_id where e.stop is null or p.turn <= e.stop)
+    select conv_id, part, string_agg(text, '' order by turn) as text, pieces, finished::integer::bigint as finished
+    from kept group by conv_id, part, pieces, finished
     """
 )
 def answer_fold(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,6 @@ from sparkweft.operators.rows import (
 )
 from sparkweft.operators.sample import sample_rows
 from sparkweft.operators.setops import common_lines, missing_names, union_names
-from sparkweft.operators.skew import left_join_unique
 from sparkweft.operators.stats import summary_by
 from sparkweft.plans.registry import query, table
 from sparkweft.sources.text_files import split_pairs
@@ -295,8 +294,8 @@ def driver_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), "o_totalprice")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    placed = left_join_unique(customers, nations, ["c_nationkey"])
-    joined = left_join_unique(orders, placed, ["c_custkey"])
+    placed = customers.join(nations, "c_nationkey", "left")
+    joined = orders.join(placed, "c_custkey", "left")
     # Only the group columns vary within a nation, so distinct nations are distinct names.
     return summary_by(
         joined.withColumn("__nation", F.col("n_name")),

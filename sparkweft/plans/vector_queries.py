@@ -122,20 +122,20 @@ def leader_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     _LEADERS
     + """
     select cluster_id::bigint as cluster_id, part, string_agg(vec_id::varchar, ',' order by vec_id) as members
-    from (select cluster_id, vec_id, (row_number() over (order by cluster_id, vec_id) - 1) // 1000 as part from clusters)
+    from (select cluster_id, vec_id, (row_number() over (partition by cluster_id order by vec_id) - 1) // 3 as part from clusters)
     group by cluster_id, part
     """
 )
 def leader_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Member lists of the clusters, long ones in parts."""
-    lists = member_lists(_leaders(spark, sf_dir), "cluster_id", "vec_id", list_rows=1000)
+    lists = member_lists(_leaders(spark, sf_dir), "cluster_id", "vec_id", list_rows=3)
     return lists.withColumn("members", F.array_join("members", ","))
 
 
 @query()
 def kmeans_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k-means clusters of all vectors; labels are not comparable with SQL."""
-    groups = kmeans(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), restarts=3, max_iter=50)
+    groups = kmeans(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     return groups.withColumn("cluster_id", F.col("cluster_id").cast("long"))
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import re
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from sparkweft.operators.diff import BOTH, ONLY_LEFT, ONLY_RIGHT
 from sparkweft.operators.ordinal import member_lists
 from sparkweft.sources.paths import list_files, rename_file
 
+_PARALLEL_RENAMES = 16
+
 
 def write_csv(df: DataFrame, path: str, delimiter: str = ",") -> None:
     """Headed CSV that quotes only where needed; spaces stay and empty cells stay empty."""
@@ -51,25 +54,39 @@ def write_text(df: DataFrame, path: str, compression: str = "none") -> None:
 
 
 def write_gzip_text(df: DataFrame, path: str, files: int) -> None:
-    """Gzipped text in about ``files`` files; fewer files than partitions need no shuffle."""
-    files = max(files, 1)
-    parts = df.rdd.getNumPartitions()
-    placed = df if parts == files else df.coalesce(files) if parts > files else df.repartition(files)
-    write_text(placed, path, "gzip")
+    """Gzipped text in about ``files`` files. Lines are dealt out after they are computed, so the work before keeps the
+    tasks of its scan."""
+    write_text(df.repartition(max(files, 1)), path, "gzip")
+
+
+def _part_number(name: str) -> int | None:
+    """Number of a gzipped part file, None for any other file."""
+    stem, _, kind = name.partition(".")
+    words = stem.split("-")
+    return int(words[1]) if kind == "txt.gz" and words[0] == "part" and len(words) > 1 and words[1].isdigit() else None
 
 
 def stable_part_names(spark: SparkSession, directory: str) -> list[str]:
-    """Rename ``part-N-…-c000.txt.gz`` to ``part-NNNNN.gz``; returns the new names. File names only, on the driver."""
-    renamed = []
-    for source in list_files(spark, directory):
-        parent, name = source.rsplit("/", 1)
-        part = re.fullmatch(r"part-(\d+)(?:-[0-9a-fA-F-]+-c\d+)?\.txt\.gz", name)
-        if part:
-            target = f"part-{int(part.group(1)):05d}.gz"
-            if not rename_file(spark, source, f"{parent}/{target}"):
-                raise OSError(f"cannot rename {source} to {target}")
-            renamed.append(target)
-    return sorted(renamed)
+    """Give gzipped part files the names ``part-NNNNN.gz``; returns the new names.
+
+    All names are settled before the first file is renamed, and a name that is taken is refused. The driver handles names
+    only, several at a time.
+    """
+    files = [path.rsplit("/", 1) for path in list_files(spark, directory)]
+    there = {name for _, name in files}
+    numbered = {(parent, name): _part_number(name) for parent, name in files}
+    wanted = {place: f"part-{number:05d}.gz" for place, number in numbered.items() if number is not None}
+    if len(set(wanted.values())) < len(wanted) or there & set(wanted.values()):
+        raise FileExistsError(f"part names would meet in {directory}")
+
+    def rename(place: tuple[str, str]) -> str:
+        parent, name = place
+        if not rename_file(spark, f"{parent}/{name}", f"{parent}/{wanted[place]}"):
+            raise OSError(f"cannot rename {name} to {wanted[place]}")
+        return wanted[place]
+
+    with ThreadPoolExecutor(_PARALLEL_RENAMES) as pool:
+        return sorted(pool.map(inheritable_thread_target(spark)(rename), wanted))
 
 
 def write_line_diff(diff: DataFrame, path: str, value: str = "value") -> None:

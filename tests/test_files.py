@@ -298,16 +298,17 @@ def test_filter_job_stops_without_members(spark, tmp_path):
     write(source / "a.txt", feature_line("k", ["x"]) + "\n" + feature_line("k", [M + "late"]) + "\n")
     assert jobs.filter_features(spark, str(source), sample_lines=1) is None
     assert not (tmp_path / "data").exists()
-    assert jobs.filter_features(spark, str(source), sample_lines=None) == str(tmp_path / "data")
+    write(source / "a.txt", "".join(feature_line("k", ["x"]) + "\n" for _ in range(600)) + feature_line("k", [M + "late"]) + "\n")
+    assert jobs.filter_features(spark, str(source)) == str(tmp_path / "data")
 
 
-def test_output_directory():
-    assert jobs.output_directory("/a/data_backup/data_backup/") == "/a/data/data_backup"
-    assert jobs.output_directory("/a", "/b") == "/b"
+def test_output_directory(spark):
+    assert jobs.output_directory(spark, "/a/data_backup/data_backup/") == "/a/data/data_backup"
+    assert jobs.output_directory(spark, "/a", "/b") == "/b"
     with pytest.raises(ValueError):
-        jobs.output_directory("/a/data_backup_2")
+        jobs.output_directory(spark, "/a/data_backup_2")
     with pytest.raises(ValueError):
-        jobs.output_directory("/a/", "/a")
+        jobs.output_directory(spark, "/a/", "/a")
 
 
 def test_feature_diff_report(spark, tmp_path):

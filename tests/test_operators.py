@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkweft.functions import boxes, media, signals
-from sparkweft.operators import audit, dedupe, diff, logs, lookup, ordinal, rows, sample, series, setops, skew, stats
+from sparkweft.operators import audit, dedupe, diff, logs, lookup, ordinal, rows, sample, series, setops, stats
 
 
 def test_ordinal_follows_order_whatever_the_partitions(spark):
@@ -62,6 +62,12 @@ def test_chunk_size_must_be_positive(spark):
         ordinal.with_chunk_id(spark.range(3), ["id"], 0)
 
 
+def test_member_lists_do_not_depend_on_other_groups(spark):
+    df = spark.createDataFrame([("a" if i < 8 else "b", i) for i in range(12)], "g string, m int")
+    got = ordinal.member_lists(df, "g", "m", list_rows=10).collect()
+    assert sorted((r["g"], r["part"], r["members"]) for r in got) == [("a", 0, list(range(8))), ("b", 0, [8, 9, 10, 11])]
+
+
 def test_member_lists_are_whole_and_bounded(spark):
     df = spark.createDataFrame([("hot" if i % 3 else "cold", i) for i in range(90)], "g string, m int")
     got = ordinal.member_lists(df, "g", "m", list_rows=7).orderBy("part", "g").collect()
@@ -71,18 +77,6 @@ def test_member_lists_are_whole_and_bounded(spark):
         assert merged == [i for i in range(90) if (i % 3 != 0) == (group == "hot")]
 
 
-def test_left_join_with_hot_missing_and_null_keys(spark):
-    left = spark.createDataFrame(
-        [(i, "hot" if i % 3 == 0 else None if i % 3 == 1 else f"k{i}") for i in range(300)], "i int, k string"
-    )
-    right = spark.createDataFrame([("hot", 1), ("k2", 2), (None, 3), ("unused", 4)], "k string, v int")
-    wanted = left.join(right, ["k"], "left").orderBy("i").collect()
-    assert skew.hot_keys(left, ["k"], min_rows=50).count() == 2
-    joined = skew.left_join_unique(left, right, ["k"], min_rows=50).select(*left.join(right, ["k"], "left").columns)
-    assert joined.orderBy("i").collect() == wanted
-    assert skew.hot_keys(left, ["k"]) is None
-
-
 def test_reorder_columns(spark):
     df = spark.createDataFrame([(1, 2, 3)], "a int, b int, c int")
     assert rows.reorder_columns(df, ["c", "zz", "a"]).columns == ["c", "a", "b"]
@@ -210,7 +204,10 @@ def test_fold_pieces(spark):
     got = {(r["id"], r["part"]): (r["text"], r["finished"]) for r in logs.fold_pieces(df, "id", "n").collect()}
     assert got == {(1, 0): ("abc", True), (2, 0): ("open", False)}
     parts = logs.fold_pieces(df, "id", "n", piece_rows=2).orderBy("id", "part").collect()
-    assert [(r["id"], r["part"], r["text"]) for r in parts] == [(1, 0, "a"), (1, 1, "bc"), (2, 0, "open")]
+    assert [(r["id"], r["part"], r["text"]) for r in parts] == [(1, 0, "ab"), (1, 1, "c"), (2, 0, "open")]
+    assert {(r["id"], r["pieces"], r["finished"]) for r in parts} == {(1, 3, True), (2, 1, False)}
+    late = spark.createDataFrame([(7, 998 + i, '{"response": "x", "done": %s}' % str(i == 3).lower()) for i in range(4)], df.schema)
+    assert [(r["part"], r["text"], r["finished"]) for r in logs.fold_pieces(late, "id", "n").collect()] == [(0, "xxxx", True)]
 
 
 def test_token_usage(spark):

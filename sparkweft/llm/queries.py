@@ -94,4 +94,52 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_mixing": r"""
+    with sized as (
+      select doc_id, source, md5('mix:' || doc_id::varchar) as draw,
+             len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
+    sources as (
+      select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as rank
+      from sized group by source),
+    weighed as (select *, rank % 3 + 1 as weight, 3 * source_size as cap from sources),
+    filled as (
+      select *, sum(source_size) over () as total,
+             sum(source_size) over () - coalesce(sum(cap) over before, 0) as rest,
+             sum(weight) over () - coalesce(sum(weight) over before, 0) as rest_weight
+      from weighed window before as (order by cap / weight, rank rows between unbounded preceding and 1 preceding)),
+    marked as (select *, cap * rest_weight <= weight * rest as capped from filled),
+    shared as (
+      select *, case when capped then cap::double else
+               weight::double * (total - coalesce(sum(cap) filter (where capped) over (), 0))::double
+               / (sum(weight) filter (where not capped) over ())::double end as target
+      from marked),
+    knots as (
+      select *, case weight when 1 then 1.5 when 2 then 1.0 else 0.5 end::double as v0, 1.0::double as v1,
+             case weight when 1 then 0.5 when 2 then 1.0 else 1.5 end::double as v2 from shared),
+    areas as (select *, (v0 + v1) / 4 as c1, (v0 + v1) / 4 + (v1 + v2) / 4 as c2 from knots),
+    demand as (
+      select *, sum(target / c2 * v0) over () as b0, sum(target / c2 * (v1 - v0)) over () as d0,
+             sum(target / c2 * c1) over () as a1, sum(target / c2 * v1) over () as b1,
+             sum(target / c2 * (v2 - v1)) over () as d1 from areas),
+    laid as (
+      select s.doc_id, s.size, d.*, floor(d.target + 0.5)::bigint as quota,
+             coalesce(sum(s.size) over (partition by d.rank order by s.draw, s.size
+                      rows between unbounded preceding and 1 preceding), 0)::bigint as offs
+      from sized s join demand d on s.source is not distinct from d.source),
+    taken as (
+      select *, case when source_size > 0 then quota // source_size else 0 end as rounds,
+             greatest(0, least(size, quota - case when source_size > 0 then quota // source_size else 0 end * source_size - offs))
+               as rest_part, case when target > 0 then offs / target else 0 end * c2 as area from laid),
+    timed as (
+      select *, greatest(area - case when area < c1 then 0 else c1 end, 0) as over_knot,
+             case when area < c1 then v0 else v1 end as v, case when area < c1 then (v1 - v0) * 2 else (v2 - v1) * 2 end as slope
+      from taken),
+    placed as (select *, least(2 * over_knot / (v + sqrt(greatest(v * v + 2 * slope * over_knot, 0))), 0.5) as x from timed)
+    select doc_id, size, source_size, target, (rounds * size + rest_part)::bigint as taken,
+           (case when size > 0 then rounds + (rest_part > 0)::int else 0 end)::integer as copies,
+           case when size > 0 and rounds + (rest_part > 0)::int > 0
+                then round(case when area < c1 then b0 * x + d0 * x * x else a1 + b1 * x + d1 * x * x end)::bigint end as position
+    from placed
+    """,
+}

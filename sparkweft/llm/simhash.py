@@ -133,4 +133,6 @@ def without_copies(
     rank = F.struct(F.col("key").isNull().alias("n"), "key", "id")
     firsts = marked.groupBy("fp").agg(F.min(rank).alias("first")).join(_components(marked), "fp")
     kept = firsts.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("id"))
-    return marked.join(stage(kept), "id", "left_semi").select(*unpacked(df.columns))
+    # The rows that go are the shorter list, so whole rows meet that one; where Spark finds it too long to send, they move once.
+    gone = stage(marked.select("id").join(stage(kept), "id", "left_anti"))
+    return marked.join(gone, "id", "left_anti").select(*unpacked(df.columns))

@@ -93,8 +93,8 @@ def feature_diff(left: DataFrame, right: DataFrame, order: str | None = None) ->
 
 
 def diff_examples(diff: DataFrame, n: int = 5) -> DataFrame:
-    """A few keys whose lists differ."""
-    return diff.where("status = 'diff'").limit(n)
+    """The first keys whose lists differ, in key order; each task keeps only its first ``n``."""
+    return diff.where("status = 'diff'").orderBy("key").limit(n)
 
 
 def feature_diff_counts(diff: DataFrame) -> DataFrame:

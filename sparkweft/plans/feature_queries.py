@@ -9,6 +9,7 @@ from sparkweft.functions.json_text import has_wanted_member, rewrite_members
 from sparkweft.functions.text import parent_name
 from sparkweft.operators.audit import audit_paths, lacking_paths, member_facts, nth_line, probe_marker
 from sparkweft.operators.diff import (
+    diff_examples,
     extract_features,
     feature_diff,
     feature_diff_counts,
@@ -178,6 +179,19 @@ def feature_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    DIFF_SQL
+    + """
+    select key, backup_merge_fields, data_merge_fields from diff where status = 'diff' order by key limit 5
+    """
+)
+def feature_diff_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five keys whose lists differ."""
+    return diff_examples(_diff(spark, sf_dir)).select(
+        "key", *[F.array_join(name, "|").alias(name) for name in ("backup_merge_fields", "data_merge_fields")]
+    )
+
+
 @query(
     DIFF_SQL
     + """

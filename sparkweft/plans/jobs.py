@@ -6,7 +6,9 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+from py4j.protocol import Py4JJavaError
 from pyspark import inheritable_thread_target
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,13 +30,16 @@ from sparkweft.sinks.files import (
     write_line_diff,
     write_ragged_csv,
 )
-from sparkweft.sources.inventory import directory_summary, list_directory, read_pictures
-from sparkweft.sources.paths import path_state
+from sparkweft.sources.inventory import read_pictures
+from sparkweft.sources.paths import list_files, path_state
 from sparkweft.sources.text_files import PLACE, RECORD_FIELDS, RECORD_ORDER, read_lines, read_positional
 from sparkweft.staging import stage
 
 _PARALLEL_DIRECTORIES = 8
 
+# What a job raises when its files can't be read, after Spark's own retries.
+_UNREADABLE = (PySparkException, Py4JJavaError)
+
 BACKUP_SEGMENT, DATA_SEGMENT = "data_backup", "data"
 
 
@@ -90,21 +95,32 @@ def compare_lines(spark: SparkSession, path1: str, path2: str, output_dir: str |
     return diff
 
 
+def _path_states(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, str, str]]:
+    """Each path once with its full form and its state; the file system is asked for several at a time."""
+    with ThreadPoolExecutor(_PARALLEL_DIRECTORIES) as pool:
+        ask = inheritable_thread_target(spark)(lambda path: (path, *path_state(spark, path)))
+        return list(pool.map(ask, dict.fromkeys(paths)))
+
+
 def audit_directories(
     spark: SparkSession, paths: Sequence[str], sample_lines: int | None = None
 ) -> DataFrame:
     """``path``, ``task_name``, ``path_exists`` and three-valued ``has_field`` of every path.
 
-    ``has_field`` looks at all lines of each directory, or at the first ``sample_lines`` if given. It is NULL where there
-    are no files to look at.
+    ``has_field`` looks at all lines of each directory until one has a wanted member, or at the first ``sample_lines`` if
+    given. It is NULL where there are no files to look at, and where a file can't be read before a member is found; the
+    other directories keep their answers.
     """
-    states = [(path, *path_state(spark, path)) for path in dict.fromkeys(paths)]
+    states = _path_states(spark, paths)
     filled = [(path, full) for path, full, state in states if state == "directory"]
 
-    def sampled(place: tuple[str, str]) -> tuple[str, bool]:
-        return place[0], sample_has_member(read_lines(spark, place[1]), sample_lines)
+    def sampled(place: tuple[str, str]) -> tuple[str, bool | None]:
+        try:
+            return place[0], sample_has_member(read_lines(spark, place[1]), sample_lines)
+        except _UNREADABLE:
+            return place[0], None
 
-    # One small job per directory with a sample, one scan of it without; either way one answer per directory.
+    # One job per directory, which ends at its first match and fails alone; one answer per directory.
     with ThreadPoolExecutor(_PARALLEL_DIRECTORIES) as pool:
         found = dict(pool.map(inheritable_thread_target(spark)(sampled), filled))
     requested = spark.createDataFrame([(path,) for path, _, _ in states], "path string")
@@ -115,33 +131,41 @@ def audit_directories(
     return audited.select("path", parent_name(F.col("path")).alias("task_name"), "path_exists", "has_field")
 
 
+def _probed_line(spark: SparkSession, file: str, line: int) -> tuple[int | None, str | None]:
+    """Number and text of one line of a file, of its last line if it is shorter; nothing if it is empty or unreadable.
+
+    The file's first block nearly always holds the line, and the task that reads it stops there.
+    """
+    lines = read_lines(spark, file, place=True)
+    try:
+        first = lines.where("src_block = 0").select("value").take(line)
+        if len(first) == line:
+            return line, first[-1]["value"]
+        found = nth_line(lines, ["src_file"], ["src_block", "src_seq"], line).head()
+    except _UNREADABLE:
+        return None, None
+    return (None, None) if found is None else (found["line_no"], found["value"])
+
+
 def probe_last_files(spark: SparkSession, paths: Sequence[str], line: int = 100, marker: str = "merge_field") -> DataFrame:
-    """``path``, ``last_file``, ``line_no`` and ``status`` of one line in the last file of every directory."""
-    states = [(path, *path_state(spark, path)) for path in dict.fromkeys(paths)]
-    requested = spark.createDataFrame([(p, full) for p, full, _ in states], "path string, directory string")
-    present = [full for _, full, state in states if state == "directory"]
-    if not present:
-        return requested.select(
-            "path", F.lit(None).cast("string").alias("last_file"), F.lit(None).cast("long").alias("line_no"),
-            F.lit("failed").alias("status"),
-        )
-    last = directory_summary(list_directory(spark, present, recursive=False)).select(
-        F.rtrim("directory", F.lit("/")).alias("directory"), "last_file"
-    )
-    files = [row["last_file"] for row in last.collect()]  # one per requested directory
-    lines = read_lines(spark, files, place=True)
-    probed = nth_line(lines, ["src_file"], ["src_block", "src_seq"], line)
-
-    def bare(column: str):
-        return F.regexp_replace(column, "^file:/+", "/")
-
-    found = last.join(probed, bare("last_file") == bare("src_file"), "left")
-    joined = (
-        requested.withColumn("__d", bare("directory"))
-        .drop("directory")
-        .join(found.withColumn("__d", bare("directory")).drop("directory"), "__d", "left")
-    )
-    return probe_marker(joined, marker).select("path", "last_file", "line_no", "status")
+    """``path``, ``last_file``, ``line_no`` and ``status`` of one line in the last file of every directory.
+
+    ``status`` is ``failed`` for a path that is no directory or whose last file is empty or can't be read.
+    """
+    states = _path_states(spark, paths)
+
+    def probed(place: tuple[str, str, str]) -> tuple[str, str | None, int | None, str | None]:
+        path, full, state = place
+        files = list_files(spark, full) if state == "directory" else []
+        seen = [file for file in files if file.rsplit("/", 1)[1][0] not in "._"]
+        if not seen:
+            return path, None, None, None
+        return path, seen[-1], *_probed_line(spark, seen[-1], line)
+
+    with ThreadPoolExecutor(_PARALLEL_DIRECTORIES) as pool:
+        found = list(pool.map(inheritable_thread_target(spark)(probed), states))
+    rows = spark.createDataFrame(found, "path string, last_file string, line_no long, value string")
+    return probe_marker(rows, marker).select("path", "last_file", "line_no", "status")
 
 
 def export_params(spark: SparkSession, log_path: str, output_dir: str) -> DataFrame:

@@ -139,6 +139,32 @@ def kmeans_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.withColumn("cluster_id", F.col("cluster_id").cast("long"))
 
 
+@query(
+    """
+    select count(*) as vectors, count(distinct vec_id) as rows, greatest(1, least(count(*) // 3, 10)) as most_clusters,
+           true as labels_fit, true as cost_falls
+    from embeddings
+    """
+)
+def kmeans_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds for k-means groups whatever their labels: every vector in one, at most k, closer than all together."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    grouped = vectors.join(kmeans(vectors), "vec_id")
+    most = F.greatest(F.lit(1), F.least(F.floor(F.count(F.lit(1)) / 3), F.lit(10)))
+    counted = grouped.agg(
+        F.count(F.lit(1)).alias("vectors"), F.count_distinct("vec_id").alias("rows"), most.alias("most_clusters"),
+        ((F.min("cluster_id") >= 0) & (F.max("cluster_id") < most)).alias("labels_fit"),
+    )
+    cells = grouped.select("cluster_id", F.posexplode("embedding").alias("place", "x"))
+    spread = lambda *by: (
+        cells.groupBy(*by, "place").agg((F.var_pop("x") * F.count("x")).alias("v")).agg(F.sum("v").alias("cost"))
+    )
+    costs = spread("cluster_id").select(F.col("cost").alias("own"), F.lit(1).alias("one"))
+    costs = costs.join(spread().select(F.col("cost").alias("whole"), F.lit(1).alias("one")), "one")
+    both = counted.withColumn("one", F.lit(1)).join(costs, "one")
+    return both.select("vectors", "rows", "most_clusters", "labels_fit", (F.col("own") < F.col("whole")).alias("cost_falls"))
+
+
 def library(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Case library of all vectors, reversed, by label."""
     samples = table(spark, sf_dir, "embeddings").select(

@@ -115,7 +115,7 @@ def write_vectors(df: DataFrame, path: str, vector: str = "embedding") -> None:
 
 
 def write_library(library: DataFrame, path: str) -> None:
-    """Case library as JSON lines of its flat table."""
+    """Case library as JSON lines of its flat table, which ``read_library`` reads again."""
     library.write.mode("overwrite").json(path)
 
 

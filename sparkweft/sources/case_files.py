@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+FLAT = "case_no bigint, case_name string, idx bigint, path string, embedding array<float>, description string"
 SAMPLE = "struct<path:string,embedding:array<float>,description:string>"
 
 
@@ -31,5 +32,11 @@ def flatten_library(documents: DataFrame, value: str = "value") -> DataFrame:
 
 
 def read_library(spark: SparkSession, path: str) -> DataFrame:
-    """Flat table of a library file: one JSON document, classes in document order."""
+    """Flat table of a library: a saved one, which is one JSON line per sample and splits into blocks, or one JSON
+    document with its classes in document order. Only in a saved library is ``case_no`` of the first line a number."""
+    lines = spark.read.text(path)
+    number = F.from_json("value", "case_no bigint")["case_no"]
+    first = lines.where("value <> ''").select(number.alias("case_no")).head()
+    if first is None or first["case_no"] is not None:
+        return spark.read.schema(FLAT).json(path)
     return flatten_library(spark.read.text(path, wholetext=True))

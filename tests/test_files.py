@@ -178,7 +178,10 @@ def test_library_in_both_layouts(spark, tmp_path):
     got = sorted((r["case_no"], r["case_name"], r["idx"], r["path"], r["embedding"]) for r in library.collect())
     assert got == [(0, "b", 0, "p1", [1.0]), (1, "a", 0, "p2", [0.5]), (1, "a", 1, "p3", None)]
     sinks.write_library(library, str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out")).count() == 3
+    again = case_files.read_library(spark, str(tmp_path / "out"))
+    assert again.columns == library.columns and sorted(again.collect(), key=str) == sorted(library.collect(), key=str)
+    sinks.write_library(library.limit(0), str(tmp_path / "none"))
+    assert case_files.read_library(spark, str(tmp_path / "none")).isEmpty()
 
 
 # ---- inventory
@@ -345,6 +348,18 @@ def test_probe_job(spark, tmp_path):
     assert jobs.probe_last_files(spark, [str(tmp_path / "n")]).head()["status"] == "failed"
 
 
+def test_one_unreadable_file_fails_alone(spark, tmp_path):
+    whole = gzip.compress(("".join(f"line {i} {i * i}\n" for i in range(50_000))).encode())
+    write(tmp_path / "cut" / "a.gz", whole[: len(whole) // 2])
+    write(tmp_path / "no" / "a.gz", b"no gzip file")
+    write(tmp_path / "fine" / "a", feature_line("k", ["merge_field\tx"]) + "\n")
+    paths = [str(tmp_path / name) for name in ("cut", "no", "fine")]
+    assert [r["has_field"] for r in jobs.audit_directories(spark, paths).orderBy("path").collect()] == [None, True, None]
+    probed = {r["path"].rsplit("/", 1)[1]: (r["line_no"], r["status"]) for r in jobs.probe_last_files(spark, paths).collect()}
+    assert probed["no"] == (None, "failed") and probed["fine"] == (1, "present")
+    assert probed["cut"] in ((None, "failed"), (100, "absent"))  # the line may come before the cut
+
+
 def test_params_job(spark, tmp_path):
     line = '{"params": {"image_url": "%s", "activity_detail_image_urls": "%s"}}\n'
     path = write(tmp_path / "a.log", "".join(line % (i, key) for i, key in enumerate(["z", "a", "z"])))

@@ -213,3 +213,21 @@ def test_encode_with_a_callers_model(spark):
     got = {r["i"]: r["embedding"] for r in encode(df, "x", make_model, batch_size=2).collect()}
     assert got[1] == pytest.approx([0.0, 1.0]) and got[2] == pytest.approx([0.6, 0.8])
     assert got[3] is None and got[4] is None
+
+
+def test_encode_keeps_the_others_of_a_failing_batch(spark):
+    def make_model():
+        def predict(values):
+            if any(v == "bad" for v in values):
+                raise ValueError("bad")
+            return np.array([[3.0, 4.0 if v else 0.0] for v in values], dtype=np.float32)
+
+        return predict
+
+    df = spark.createDataFrame([(1, "a"), (2, "bad"), (3, None), (4, ""), (5, "bad")], "i int, x string").coalesce(1)
+    frame = encode(df, "x", make_model, batch_size=8)
+    got = {r["i"]: r["embedding"] for r in frame.collect()}
+    assert got[1] == pytest.approx([0.6, 0.8]) and got[4] == pytest.approx([1.0, 0.0])
+    assert got[2] is None and got[3] is None and got[5] is None
+    assert not encode(df.where("x = 'bad'"), "x", make_model).where("embedding is not null").count()
+    assert encode(df.limit(0), "x", make_model).isEmpty()

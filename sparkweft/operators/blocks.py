@@ -9,6 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sparkweft.staging import stage_path
 
 # Most components a block sent to every executor may have (double precision: 128 MB).
 BLOCK_VALUES = 16_000_000
@@ -16,6 +19,9 @@ BLOCK_VALUES = 16_000_000
 # Most scores a task holds at once (double precision: 32 MB).
 SCORE_VALUES = 4_000_000
 
+# Times a set of rows is dealt out anew before its keys count as equal.
+MOST_CUTS = 20
+
 # Scores are compared after rounding to this many decimals, so equal vectors tie wherever they are computed.
 SCORE_DIGITS = 9
 
@@ -40,13 +46,14 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def take_block(df: DataFrame, vector: str, max_rows: int) -> VectorBlock | None:
-    """All rows of a small frame, or None when it has more than ``max_rows`` rows or too many components."""
-    table = df.limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows:
+    """All rows of a small frame, or None when it has more than ``max_rows`` rows or too many components. Rows and
+    components are counted before any vector reaches the driver."""
+    counts = df.select(F.size(vector).alias("n")).limit(max_rows + 1).agg(F.count("n").alias("rows"), F.sum("n").alias("values"))
+    found = counts.head()
+    if found["rows"] > max_rows or (found["values"] or 0) > BLOCK_VALUES:
         return None
+    table = df.toArrow()
     vectors = matrix(table.column(vector))
-    if vectors.size > BLOCK_VALUES:
-        return None
     others = {name: key_array(table.column(name)) for name in table.column_names if name != vector}
     return VectorBlock(others, vectors)
 
@@ -89,6 +96,26 @@ def key_array(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.array(column.to_pylist(), dtype=object)
 
 
-def with_block(df: DataFrame, key: str, blocks: int, name: str) -> DataFrame:
-    """Spread rows over blocks by a hash of their key."""
-    return df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+def vector_blocks(df: DataFrame, key: str, vector: str, max_rows: int, cuts: int = 0) -> Iterator[VectorBlock]:
+    """All rows of a frame of any size as blocks of at most ``max_rows`` rows, one at a time on the driver.
+
+    A frame that fits is one block. Otherwise rows are dealt to folders of a written table by a hash of their unique
+    key, about half a block to each, so that a block is read without its neighbours; a folder that is still too large is
+    cut again by another hash.
+    """
+    whole = take_block(df, vector, max_rows)
+    if whole is not None:
+        yield whole
+        return
+    total = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size(vector)).alias("values")).head()
+    if total["rows"] == 1:
+        raise ValueError("one vector has more components than a block may hold")
+    if cuts == MOST_CUTS:
+        raise ValueError(f"{key} is shared by more rows than a block may hold")
+    blocks = max(2, -(-2 * total["rows"] // max_rows), -(-2 * total["values"] // BLOCK_VALUES))
+    path = stage_path(df.sparkSession)
+    hashed = F.pmod(F.xxhash64(key, F.lit(cuts)), F.lit(blocks)).cast("int")
+    df.withColumn("__block", hashed).repartition("__block").write.partitionBy("__block").parquet(path)
+    dealt = df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField("__block", T.IntegerType())])).parquet(path)
+    for block in range(blocks):
+        yield from vector_blocks(dealt.where(F.col("__block") == block).drop("__block"), key, vector, max_rows, cuts + 1)

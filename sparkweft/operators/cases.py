@@ -6,20 +6,20 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sparkweft.operators.blocks import matrix, row_slices, score, take_block
+from sparkweft.operators.blocks import VectorBlock, matrix, row_slices, score, vector_blocks
 from sparkweft.operators.ordinal import with_group_ordinal, with_ordinal
-from sparkweft.operators.similarity import best_per_row, grid, rank_top
+from sparkweft.operators.similarity import best_per_row, each_block, rank_top
 
 # Fixed value: the class of items no case is close enough to.
 UNCLASSIFIED = "未分类"
 EMPTY_CLASS_SCORE = -1.0
 MAX_LIBRARY_BLOCK = 50_000
-ITEM_BLOCK = 32_768
 
 
 def _class_scores(vectors: np.ndarray, samples: np.ndarray, owner: np.ndarray, classes: int) -> np.ndarray:
@@ -41,17 +41,18 @@ def nearest_classes(
     item: str = "item_id",
     vector: str = "embedding",
     max_library_block: int = MAX_LIBRARY_BLOCK,
-    item_block: int = ITEM_BLOCK,
 ) -> DataFrame:
     """The ``top_k`` best classes of every item: ``item``, ``case_no``, ``case_name``, ``similarity``, ``rank``.
 
     A class scores its best sample; a class without vectors scores -1. Ties go to the lower ``case_no``. Items
-    without vector are left out. A library that fits a bounded block is sent to every task, which emits only the best
-    classes of its items; a larger one is met block by block.
+    without vector are left out. A block of samples is sent to every task, which emits only the best classes of its
+    items; a larger library is met block after block, each in one scan of the items.
     """
     items = items.where(F.col(vector).isNotNull()).select(item, vector)
     names = library.select("case_no", "case_name").distinct()
-    samples = library.where("embedding is not null").select("case_no", "embedding")
+    samples = library.where("embedding is not null").select(
+        F.concat_ws("-", "case_no", "idx").alias("sample"), "case_no", "embedding"
+    )
     schema = T.StructType(
         [
             items.schema[item],
@@ -62,41 +63,27 @@ def nearest_classes(
     )
     arrow_schema = to_arrow_schema(schema)
 
-    class_rows = names.limit(max_library_block + 1).collect()
-    block = take_block(samples, "embedding", max_library_block) if len(class_rows) <= max_library_block else None
-    if block is not None:
-        cases = np.array(sorted(row["case_no"] for row in class_rows), dtype=np.int64)
-        owner = np.searchsorted(cases, block.columns["case_no"])
+    def met(block: VectorBlock) -> tuple[DataFrame, Broadcast]:
+        cases, owner = np.unique(block.columns["case_no"].astype(np.int64), return_inverse=True)
         held = items.sparkSession.sparkContext.broadcast((cases, block.vectors, owner))
 
         def nearest(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
             for batch in batches:
                 yield from _best_classes(batch.column(item), batch.column(vector), *held.value, top_k, arrow_schema)
 
-        # Each item's classes are ranked where the item is; the class names are bounded by the check above.
-        ranked = items.mapInArrow(nearest, schema).join(F.broadcast(names), "case_no", "left")
-    else:
-
-        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-            if not left.num_rows or not right.num_rows:
-                return arrow_schema.empty_table()
-            known = np.unique(right.column("case_no").to_numpy())
-            present = right.filter(right.column("embedding").is_valid())
-            owned = np.searchsorted(known, present.column("case_no").to_numpy())
-            found = _best_classes(
-                left.column(item).combine_chunks(), left.column(vector), known, matrix(present.column("embedding")),
-                owned, top_k, arrow_schema,
-            )
-            return pa.Table.from_batches(found, schema=arrow_schema)
-
-        cases = library.select(F.concat_ws("-", "case_no", "idx").alias("sample"), "case_no", "embedding")
-        partial = grid(items, cases, item, "sample", item_block, max_library_block, meet, schema)
-        # The block that holds a class's best sample ranks the class at least as high as it ranks overall, so the
-        # best classes of each block are enough.
-        scored = partial.groupBy(item, "case_no").agg(F.max("similarity").alias("similarity"))
-        best = rank_top(scored, [item], ["similarity desc", "case_no"], top_k)
-        ranked = best.join(names, "case_no", "left")
-    return ranked.select(item, "case_no", "case_name", "similarity", "rank")
+        return items.mapInArrow(nearest, schema).select(item, "case_no", "similarity"), held
+
+    # The block that holds a class's best sample ranks the class at least as high as it ranks overall, so the best classes
+    # of each block are enough. Of classes without vectors, all of which score the same, the first few are.
+    partial = each_block(vector_blocks(samples, "sample", "embedding", max_library_block), met)
+    bare = names.select("case_no").join(samples, "case_no", "left_anti").distinct().orderBy("case_no").limit(top_k)
+    empty = [row["case_no"] for row in bare.collect()]
+    if empty:
+        without = F.explode(F.array(*[F.lit(case).cast("long") for case in empty])).alias("case_no")
+        partial = partial.unionAll(items.select(item, without).withColumn("similarity", F.lit(EMPTY_CLASS_SCORE)))
+    scored = partial.groupBy(item, "case_no").agg(F.max("similarity").alias("similarity"))
+    best = rank_top(scored, [item], ["similarity desc", "case_no"], top_k)
+    return best.join(names, "case_no", "left").select(item, "case_no", "case_name", "similarity", "rank")
 
 
 def _best_classes(

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sparkweft.operators.blocks import matrix, row_slices, score, take_block
+from sparkweft.operators.blocks import VectorBlock, matrix, row_slices, score, take_block
 from sparkweft.operators.ordinal import with_ordinal
-from sparkweft.staging import stage_path
+from sparkweft.staging import recorded, release, stage, stage_path
 
 LEADER_BLOCK = 4096
 DEFAULT_THRESHOLD = 0.85
@@ -25,6 +25,7 @@ DEFAULT_THRESHOLD = 0.85
 _PLACE = "__place"
 _PARALLEL_RUNS = 4
 _RANGES = 1000  # place ranges looked at to fill one block
+_MOST_SENT = 1_000_000  # places of settled rows sent to all tasks (8 MB)
 
 
 def pick_leaders(vectors: np.ndarray, threshold: float) -> np.ndarray:
@@ -52,11 +53,13 @@ def leader_clusters(
     Works in rounds. The first open rows, ``block_rows`` at most, are scanned for leaders, which is final, since every
     earlier leader has already taken its rows. These leaders go to all tasks, and each open row joins the first one it
     matches. A row is compared with leaders only, never with other members, so a large group of copies costs one
-    comparison per copy. Each round settles its whole block; what is left open is a written table.
+    comparison per copy. Each round settles its whole block and writes only the rows it settles, without their vectors.
+    The vectors stay in one written table, which is copied without the settled rows, and then deleted, once those are
+    more than can be sent to all tasks or an eighth of what is left.
     """
     spark = vectors.sparkSession
     usable = vectors.where(F.col(vector).isNotNull()).select(key, vector)
-    key_type, vector_type = usable.schema[key].dataType, usable.schema[vector].dataType
+    key_type = usable.schema[key].dataType
     settled_schema = T.StructType(
         [
             T.StructField(key, key_type),
@@ -65,35 +68,62 @@ def leader_clusters(
             T.StructField("similarity", T.DoubleType()),
         ]
     )
-    schema = T.StructType(
-        [T.StructField(_PLACE, T.LongType()), T.StructField(vector, vector_type), *settled_schema.fields]
-    )
-    reader = spark.read.schema(T.StructType([*schema.fields, T.StructField("settled", T.BooleanType())]))
-    open_rows = with_ordinal(usable, [key], _PLACE)
+    schema = T.StructType([T.StructField(_PLACE, T.LongType()), *settled_schema.fields])
+    copies: list[str] = []  # written tables of vectors, the last one in use
+    with recorded(copies):
+        held_rows = with_ordinal(usable, [key], _PLACE)  # open rows, and settled ones that are told apart below
+    left = held_rows.count()
     settled: list[str] = []
-    clusters = 0
-    while (last := _block_end(open_rows, block_rows)) is not None:
-        block = take_block(open_rows.where(F.col(_PLACE) <= last), vector, block_rows)
-        while block is None and block_rows > 1:  # wide vectors: a smaller block holds as many components
-            block_rows //= 2
-            last = _block_end(open_rows, block_rows)
-            block = take_block(open_rows.where(F.col(_PLACE) <= last), vector, block_rows)
-        if block is None:
-            raise ValueError("one vector has more components than a block may hold")
+    recent: list[str] = []  # rounds whose rows held_rows still has
+    n_recent = done = clusters = 0
+    while left:
+        if n_recent > min(_MOST_SENT, left // 8):
+            with recorded(written := []):
+                held_rows = stage(_open(held_rows, recent, n_recent, done))
+            release(spark, copies, held_rows)
+            copies, recent, n_recent = written, [], 0
+        open_rows = _open(held_rows, recent, n_recent, done)
+        block, last = _first_block(open_rows, vector, block_rows)
         in_order = np.argsort(block.columns[_PLACE])
         rows = in_order[pick_leaders(block.vectors[in_order], threshold)]
         leaders = {name: values[rows] for name, values in block.columns.items()}
-        held = spark.sparkContext.broadcast((leaders, block.vectors[rows]))
+        sent = spark.sparkContext.broadcast((leaders, block.vectors[rows]))
         path = stage_path(spark)
-        matched = _join_leaders(open_rows, held, key, vector, threshold, clusters, schema)
-        matched.withColumn("settled", F.col("cluster_id").isNotNull()).write.partitionBy("settled").parquet(path)
-        held.destroy()  # the round is written, nothing computes it again
+        _join_leaders(open_rows, sent, key, vector, threshold, clusters, schema).write.parquet(path)
+        sent.destroy()  # the round is written, nothing computes it again
+        round_rows = spark.read.schema(schema).parquet(path)
+        later = F.count_if(F.col(_PLACE) > last)
+        counts = round_rows.agg(F.count(F.lit(1)).alias("settled"), later.alias("later")).head()
+        left, n_recent, done = left - counts["settled"], n_recent + counts["later"], last
         clusters += len(rows)
-        settled.append(f"{path}/settled=true")
-        open_rows = reader.parquet(path).where(~F.col("settled")).select(key, vector, _PLACE)
+        settled.append(path)
+        if counts["later"]:
+            recent.append(path)
     if not settled:
         return spark.createDataFrame([], settled_schema)
-    return spark.read.schema(settled_schema).parquet(*settled)
+    clustered = spark.read.schema(settled_schema).parquet(*settled)
+    release(spark, copies, clustered)
+    return clustered
+
+
+def _open(held_rows: DataFrame, recent: list[str], n_recent: int, done: int) -> DataFrame:
+    """Rows behind place ``done`` that no round of ``recent`` has settled."""
+    behind = held_rows.where(F.col(_PLACE) > done)
+    if not n_recent:
+        return behind
+    rounds = held_rows.sparkSession.read.schema(f"{_PLACE} long").parquet(*recent).where(F.col(_PLACE) > done)
+    return behind.join(F.broadcast(rounds) if n_recent <= _MOST_SENT else rounds, _PLACE, "left_anti")
+
+
+def _first_block(open_rows: DataFrame, vector: str, block_rows: int) -> tuple[VectorBlock, int]:
+    """The first open rows and the place they reach to. Wide vectors make a smaller block, of as many components."""
+    while block_rows:
+        last = _block_end(open_rows, block_rows)
+        block = take_block(open_rows.where(F.col(_PLACE) <= last), vector, block_rows)
+        if block is not None:
+            return block, last
+        block_rows //= 2
+    raise ValueError("one vector has more components than a block may hold")
 
 
 def _block_end(open_rows: DataFrame, block_rows: int) -> int | None:
@@ -118,7 +148,7 @@ def _join_leaders(
     first_cluster: int,
     schema: T.StructType,
 ) -> DataFrame:
-    """Open rows with the first of the broadcast leaders they match, NULL when there is none."""
+    """Open rows that match one of the broadcast leaders, with the first they match and without their vectors."""
     arrow_schema = to_arrow_schema(schema)
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -135,16 +165,16 @@ def _join_leaders(
                     if place in own:  # a leader belongs to itself, also when its vector has no length
                         hits[row] = False
                         hits[row, own[place]] = True
-                found, first = hits.any(axis=1), hits.argmax(axis=1)
-                chosen = [leader_keys[col] if hit else None for col, hit in zip(first, found, strict=True)]
+                own_rows = np.flatnonzero(hits.any(axis=1))
+                first = hits.argmax(axis=1)[own_rows]
+                taken = pa.array(own_rows)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        places,
-                        batch.column(vector),
-                        batch.column(key),
-                        pa.array(first_cluster + first, mask=~found, type=pa.int64()),
-                        pa.array(chosen, type=arrow_schema.field("leader").type),
-                        pa.array(scores[np.arange(len(first)), first], mask=~found, type=pa.float64()),
+                        places.take(taken),
+                        batch.column(key).take(taken),
+                        pa.array(first_cluster + first, type=pa.int64()),
+                        pa.array([leader_keys[col] for col in first], type=arrow_schema.field("leader").type),
+                        pa.array(scores[own_rows, first], type=pa.float64()),
                     ],
                     schema=arrow_schema,
                 )

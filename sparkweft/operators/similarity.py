@@ -1,16 +1,18 @@
 """Top-k search over vectors.
 
-A query set that fits a bounded block goes to every executor; each task keeps its best k candidates per query, so only
-those are shuffled. A larger query set is cut into blocks that meet the candidate blocks pair by pair, again keeping
-the best k of each pair only.
+A block of queries of bounded size goes to every executor; each task keeps its best k candidates per query, so only
+those are shuffled. A larger query set is searched block after block, each in one scan of the candidates, which never
+move.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,10 +20,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from sparkweft.functions.vectors import check_method
-from sparkweft.operators.blocks import SCORE_DIGITS, key_array, matrix, raw_score, row_slices, take_block, with_block
+from sparkweft.operators.blocks import SCORE_DIGITS, VectorBlock, key_array, matrix, raw_score, row_slices, vector_blocks
+from sparkweft.staging import stage
 
 MAX_QUERY_BLOCK = 4096
-CANDIDATE_BLOCK = 32_768
 
 _FEW = 4  # times k: more hits per query than this are cut to k before they are sorted
 
@@ -101,7 +103,6 @@ def top_k(
     candidate: str = "candidate_id",
     vector: str = "embedding",
     max_query_block: int = MAX_QUERY_BLOCK,
-    candidate_block: int = CANDIDATE_BLOCK,
 ) -> DataFrame:
     """The k closest candidates of every query: ``query``, ``candidate``, ``score`` and ``rank``.
 
@@ -115,8 +116,8 @@ def top_k(
         [queries.schema[query], candidates.schema[candidate], T.StructField("score", T.DoubleType())]
     )
     arrow_schema = to_arrow_schema(schema)
-    block = take_block(queries, vector, max_query_block)
-    if block is not None:
+
+    def searched(block: VectorBlock) -> tuple[DataFrame, Broadcast]:
         held = queries.sparkSession.sparkContext.broadcast((block.columns[query], block.vectors))
 
         def search(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -126,18 +127,29 @@ def top_k(
                     best.add(key_array(batch.column(candidate)), matrix(batch.column(vector)))
             yield pa.RecordBatch.from_arrays(best.arrays(arrow_schema), schema=arrow_schema)
 
-        partial = candidates.mapInArrow(search, schema)
-    else:
+        found = rank_top(candidates.mapInArrow(search, schema), [query], ["score desc", candidate], k)
+        return found, held
+
+    return each_block(vector_blocks(queries, query, vector, max_query_block), searched)
 
-        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-            if not left.num_rows or not right.num_rows:
-                return arrow_schema.empty_table()
-            best = _Best((key_array(left.column(query)), matrix(left.column(vector))), k, method)
-            best.add(key_array(right.column(candidate)), matrix(right.column(vector)))
-            return pa.Table.from_arrays(best.arrays(arrow_schema), schema=arrow_schema)
 
-        partial = grid(queries, candidates, query, candidate, max_query_block, candidate_block, meet, schema)
-    return rank_top(partial, [query], ["score desc", candidate], k)
+def each_block(blocks: Iterable[VectorBlock], work: Callable[[VectorBlock], tuple[DataFrame, Broadcast]]) -> DataFrame:
+    """Union of ``work`` over all blocks. Of several blocks each result is written before the next block is sent, so that
+    one block at a time is held by the executors."""
+    blocks = iter(blocks)
+    first = next(blocks)
+    frame, held = work(first)
+    second = next(blocks, None)
+    if second is None:
+        return frame
+    written = []
+    while True:
+        written.append(stage(frame))
+        held.destroy()
+        if second is None:
+            return reduce(DataFrame.unionAll, written)
+        frame, held = work(second)
+        second = next(blocks, None)
 
 
 def rank_top(df: DataFrame, group: list[str], order: list[str], k: int, name: str = "rank") -> DataFrame:
@@ -145,28 +157,3 @@ def rank_top(df: DataFrame, group: list[str], order: list[str], k: int, name: st
     ordering = [F.col(c.removesuffix(" desc")).desc() if c.endswith(" desc") else F.col(c) for c in order]
     ranked = df.withColumn(name, F.row_number().over(W.partitionBy(*group).orderBy(*ordering)).cast("int"))
     return ranked.where(F.col(name) <= k).withColumn(name, F.col(name).cast("long"))
-
-
-def grid(
-    left: DataFrame,
-    right: DataFrame,
-    left_key: str,
-    right_key: str,
-    left_rows: int,
-    right_rows: int,
-    work: Callable[[pa.Table, pa.Table], pa.Table],
-    schema: T.StructType,
-) -> DataFrame:
-    """Run ``work`` on every pair of a left and a right block.
-
-    Blocks are cut by a hash of the unique key, so they are bounded and copies of one vector spread evenly.
-    """
-    left_blocks = max(1, -(-left.count() // left_rows))
-    right_blocks = max(1, -(-right.count() // right_rows))
-    lefts = with_block(left, left_key, left_blocks, "__l").withColumn(
-        "__r", F.explode(F.sequence(F.lit(0), F.lit(right_blocks - 1)))
-    )
-    rights = with_block(right, right_key, right_blocks, "__r").withColumn(
-        "__l", F.explode(F.sequence(F.lit(0), F.lit(left_blocks - 1)))
-    )
-    return lefts.groupBy("__l", "__r").cogroup(rights.groupBy("__l", "__r")).applyInArrow(work, schema)

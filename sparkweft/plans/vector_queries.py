@@ -62,10 +62,10 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_TOP.format(score="-list_distance(q.embedding::double[], list_reverse(c.embedding)::double[])"))
 def vector_topk_euclidean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five closest reversed vectors of every vector by distance, block against block."""
+    """The five closest reversed vectors of every vector by distance, one block of queries after another."""
     queries, candidates = _queries_and_candidates(spark, sf_dir)
     reversed_candidates = candidates.withColumn("embedding", F.reverse("embedding"))
-    found = top_k(queries, reversed_candidates, 5, "euclidean", max_query_block=200, candidate_block=300)
+    found = top_k(queries, reversed_candidates, 5, "euclidean", max_query_block=200)
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -159,10 +159,13 @@ def kmeans_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     spread = lambda *by: (
         cells.groupBy(*by, "place").agg((F.var_pop("x") * F.count("x")).alias("v")).agg(F.sum("v").alias("cost"))
     )
-    costs = spread("cluster_id").select(F.col("cost").alias("own"), F.lit(1).alias("one"))
-    costs = costs.join(spread().select(F.col("cost").alias("whole"), F.lit(1).alias("one")), "one")
-    both = counted.withColumn("one", F.lit(1)).join(costs, "one")
-    return both.select("vectors", "rows", "most_clusters", "labels_fit", (F.col("own") < F.col("whole")).alias("cost_falls"))
+    costs = spread("cluster_id").withColumnRenamed("cost", "own").unionByName(
+        spread().withColumnRenamed("cost", "whole"), allowMissingColumns=True
+    )
+    found = counted.unionByName(costs, allowMissingColumns=True)  # one row of each kind
+    return found.agg(
+        *[F.max(name).alias(name) for name in counted.columns], (F.max("own") < F.max("whole")).alias("cost_falls")
+    )
 
 
 def library(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,6 +202,13 @@ def case_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
+@query(_CASES + "select item_id, case_no, case_name, round(similarity, 6) as similarity, rank from ranked where rank <= 3")
+def case_nearest_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three nearest classes of every vector, one block of samples after another."""
+    found = nearest_classes(_items(spark, sf_dir), library(spark, sf_dir), 3, max_library_block=300)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 @query(
     _CASES
     + """

@@ -1,5 +1,6 @@
 """Vector operators against plain restatements of their rules."""
 
+import os
 import random
 
 import numpy as np
@@ -7,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkweft.functions import vectors
-from sparkweft.operators import cases, cluster, similarity
+from sparkweft.operators import blocks, cases, cluster, similarity
 from sparkweft.operators.encode import encode
+from sparkweft.staging import recorded
 
 
 def unit_rows(count, dim, seed):
@@ -46,6 +48,29 @@ def test_leader_clusters_equal_the_scan(spark, block_rows, threshold):
     assert {r["vec_id"]: (r["cluster_id"], r["leader"]) for r in got.collect()} == leader_rule(rows, threshold)
 
 
+def test_leader_rounds_write_no_vectors_and_clear_up(spark):
+    rows = list(unit_rows(80, 4, 5))
+    rows[40:] = rows[:40]
+    with recorded(paths := []):
+        got = cluster.leader_clusters(vector_frame(spark, rows), threshold=0.9, block_rows=16)
+    assert {r["vec_id"]: (r["cluster_id"], r["leader"]) for r in got.collect()} == leader_rule(rows, 0.9)
+    left = [spark.read.parquet(path) for path in paths if os.path.exists(path.removeprefix("file:"))]
+    assert left and not any("embedding" in frame.columns for frame in left)
+    assert sum(frame.count() for frame in left) == len(rows)  # each row once
+
+
+def test_blocks_of_wide_vectors_shrink(spark, monkeypatch):
+    rows = list(unit_rows(30, 6, 7))
+    monkeypatch.setattr(blocks, "BLOCK_VALUES", 48)
+    got = cluster.leader_clusters(vector_frame(spark, rows), threshold=0.8)
+    assert {r["vec_id"]: (r["cluster_id"], r["leader"]) for r in got.collect()} == leader_rule(rows, 0.8)
+    cut = list(blocks.vector_blocks(vector_frame(spark, rows), "vec_id", "embedding", 100))
+    assert sorted(i for block in cut for i in block.columns["vec_id"].tolist()) == list(range(30))
+    assert all(block.vectors.size <= 48 for block in cut)
+    with pytest.raises(ValueError, match="more components"):
+        list(blocks.vector_blocks(vector_frame(spark, [[1.0] * 50]), "vec_id", "embedding", 100))
+
+
 def test_leader_clusters_are_not_transitive(spark):
     angles = [0.0, 0.5, 1.0]
     rows = [[np.cos(a), np.sin(a)] for a in angles]
@@ -91,15 +116,15 @@ def top_rule(queries, candidates, k, method):
 
 
 @pytest.mark.parametrize("method", ["cosine", "dot", "euclidean"])
-@pytest.mark.parametrize("blocks", [{}, {"max_query_block": 4, "candidate_block": 9}])
-def test_top_k_equals_brute_force(spark, method, blocks):
+@pytest.mark.parametrize("sizes", [{}, {"max_query_block": 4}])
+def test_top_k_equals_brute_force(spark, method, sizes):
     rows = list(unit_rows(40, 5, 8))
     rows[10:25] = [rows[3]] * 15  # equal scores go to the lowest id
     rows[5] = None
     queries = unit_rows(11, 5, 9)
     got = {}
     frame = similarity.top_k(
-        vector_frame(spark, queries, "query_id"), vector_frame(spark, rows, "candidate_id").repartition(3), 6, method, **blocks
+        vector_frame(spark, queries, "query_id"), vector_frame(spark, rows, "candidate_id").repartition(3), 6, method, **sizes
     )
     for r in frame.orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["candidate_id"])
@@ -148,15 +173,15 @@ def class_rule(items, classes, k):
     return found
 
 
-@pytest.mark.parametrize("blocks", [{}, {"max_library_block": 4, "item_block": 5}])
+@pytest.mark.parametrize("sizes", [{}, {"max_library_block": 4}])
 @pytest.mark.parametrize("k", [1, 3])
-def test_nearest_classes_equal_brute_force(spark, blocks, k):
+def test_nearest_classes_equal_brute_force(spark, sizes, k):
     rnd = random.Random(5)
     classes = [(f"c{n}", list(unit_rows(rnd.randint(1, 5), 4, n))) for n in range(5)] + [("empty", [None]), ("copy", [])]
     classes[6] = ("copy", classes[1][1])
     items = unit_rows(17, 4, 77)
     got = {}
-    frame = cases.nearest_classes(vector_frame(spark, items, "item_id"), library_frame(spark, classes), k, **blocks)
+    frame = cases.nearest_classes(vector_frame(spark, items, "item_id"), library_frame(spark, classes), k, **sizes)
     for r in frame.orderBy("item_id", "rank").collect():
         got.setdefault(r["item_id"], []).append(r["case_no"])
         assert r["case_name"] == classes[r["case_no"]][0]

@@ -28,12 +28,14 @@ MOST_REPEATED_PERCENT = 30
 SUPPORT = 0.75  # share of a group's rows that its estimate rests on
 MIN_GROUP = 100  # a smaller group uses its language's estimate, a smaller language that of all texts
 STEPS = 8
-TAIL = 1e-5  # share of a normal group that would be rejected
+TAIL = 1e-3  # share of a normal group that would be rejected
 
-# Transformed statistics and the least deviation each is given, added to the scatter. A statistic that is zero in nearly all
-# texts has no spread of its own, and lengths of texts vary without a text being bad.
+# Transformed statistics, the deviations that the first distances are in, and the least deviation each is given where its group
+# has less: a statistic that is zero in nearly all texts has no spread of its own. Each is small enough for the statistic to
+# reject a text alone.
 FEATURES = ("log_words", "log_word_length", "symbols", "dup_lines", "repeats")
-LEAST_DEVIATION = (1.25, 0.15, 0.35, 0.25, 0.2)
+FIRST_DEVIATION = (1.25, 0.15, 0.35, 0.25, 0.2)
+LEAST_DEVIATION = (0.1, 0.04, 0.1, 0.075, 0.055)
 
 _SYMBOLS = frozenset("#*$%&|<>")
 _BINS = 32  # bins of squared distance per doubling
@@ -79,10 +81,13 @@ def repeated_words(words: list[bytes]) -> int:
 _SPACES = "\t\n\x0b\x0c\r "
 
 
-def text_statistics(text: str | None) -> tuple[int, int, int, int, int]:
-    """``STATISTICS`` of one text; zeros for null."""
+MEASURED = (*STATISTICS, "n_lines")
+
+
+def text_statistics(text: str | None) -> tuple[int, int, int, int, int, int]:
+    """``MEASURED`` of one text, lines being those that are not blank; zeros for null."""
     if not text:
-        return 0, 0, 0, 0, 0
+        return 0, 0, 0, 0, 0, 0
     words = text.encode("utf-8", "surrogatepass").split()  # bytes split at the six ASCII white spaces only
     chars = len(text) - sum(map(text.count, _SPACES))
     seen: set[str] = set()
@@ -92,17 +97,17 @@ def text_statistics(text: str | None) -> tuple[int, int, int, int, int]:
             dups += 1
         elif line.strip(_SPACES):
             seen.add(line)
-    return len(words), chars, sum(map(text.count, _SYMBOLS)), dups, repeated_words(words)
+    return len(words), chars, sum(map(text.count, _SYMBOLS)), dups, repeated_words(words), dups + len(seen)
 
 
 def statistics_column(text: Column) -> Column:
     """Struct of :func:`text_statistics` of a text column."""
 
-    @F.arrow_udf("struct<" + ",".join(f"{name}:bigint" for name in STATISTICS) + ">")
+    @F.arrow_udf("struct<" + ",".join(f"{name}:bigint" for name in MEASURED) + ">")
     def measure(texts: pa.Array) -> pa.Array:
         rows = [text_statistics(t.as_py()) for t in texts]
-        columns = np.array(rows, dtype=np.int64).reshape(-1, len(STATISTICS)).T
-        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=list(STATISTICS))
+        columns = np.array(rows, dtype=np.int64).reshape(-1, len(MEASURED)).T
+        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=list(MEASURED))
 
     return measure.asNondeterministic()(text)
 
@@ -120,7 +125,7 @@ def _features(stats: Column) -> list[Column]:
         F.log(words),
         F.log(F.greatest(share("word_chars"), F.lit(0.5))),
         F.log1p(20 * share("n_symbols")),
-        F.log1p(stats["n_dup_lines"].cast("double")) / F.log(words + 2),
+        stats["n_dup_lines"] / F.greatest(stats["n_lines"], F.lit(1)).cast("double"),
         share("n_repeat_words"),
     ]
 
@@ -151,8 +156,9 @@ def _estimate(moments: dict[str, float], support: float) -> tuple[list[float], l
     if support < 1:  # the kept part of a normal group has less scatter than the group
         inner = cutoff(size, 1 - support)
         scatter *= support / max(1 - _chi_tail(inner, size + 2), 0.05)
-    scatter += np.diag(np.square(LEAST_DEVIATION))
-    return mean.tolist(), np.linalg.inv(scatter).ravel().tolist()
+    units = np.outer(LEAST_DEVIATION, LEAST_DEVIATION)
+    spreads, axes = np.linalg.eigh(scatter / units)  # the least deviations hold in directions without spread only
+    return mean.tolist(), ((axes / np.maximum(spreads, 1)) @ axes.T / units).ravel().tolist()
 
 
 def _chi_tail(value: float, dimensions: int) -> float:
@@ -172,7 +178,7 @@ def robust_estimates(features: DataFrame) -> DataFrame:
     start = features.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *middle).limit(GROUPS_MOST + 1).collect()
     if len(start) > GROUPS_MOST:
         raise ValueError(f"more than {GROUPS_MOST} groups of language and source")
-    scale = np.diag(1 / np.square(np.array(LEAST_DEVIATION))).ravel().tolist()
+    scale = np.diag(1 / np.square(np.array(FIRST_DEVIATION))).ravel().tolist()
     found = {r["g"]: (r["n"], [r[f"s{i}"] for i in range(size)], scale) for r in start}
     products = [(i, j) for i, j in combinations_with_replacement(range(size), 2)]
     sums = [F.sum(f"f{i}").alias(f"s{i}") for i in range(size)]

@@ -53,19 +53,24 @@ _SECRET = (
     r"|(?:(?:[tT]oken|TOKEN|[sS]ecret|SECRET|[pP]assw(?:or)?d|PASSW(?:OR)?D|[kK]ey|KEY)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
     r"(?P<secret>(?=[A-Za-z_+/.\-]*[0-9])[A-Za-z0-9_+/.\-]{8,}={0,2}))"
 )
-_NUMBERS = (
-    r"(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
-    r"|(?P<ipv6>(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:]))"
-    r"|(?P<ip>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9]))"
-    r"|(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"
-    r"|(?P<card>(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))"
-    r"|(?P<phone>(?<![0-9+])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
+_NUMBER_KINDS = (
+    r"(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))",
+    r"(?P<ipv6>(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:]))",
+    r"(?P<ip>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9]))",
+    r"(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))",
+    r"(?P<card>(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))",
+    r"(?P<phone>(?<![0-9+])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
     r"|(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ -]?[0-9]{2,4}){2,4}(?![0-9]|\.[0-9])"
-    r"|(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9-]))"
+    r"|(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9-]))",
 )
+_NUMBERS = "|".join(_NUMBER_KINDS)
 _CAPITAL = r"[A-ZÀ-ÖØ-ÞΆ-ΏΑ-ΫЀ-Я][a-zß-öø-ÿά-ώа-я]+"
 _PERSON = rf"(?P<person>(?<!\w)(?:{'|'.join(TITLES)})\.? {_CAPITAL}(?:[ -]{_CAPITAL}){{0,2}}(?!\w))"
 _FIND = re.compile("|".join((_EMAIL, _SECRET, _NUMBERS, _PERSON)), re.UNICODE)
+_CHECKED = {re.match(r"\(\?P<(\w+)>", each).group(1): re.compile(each) for each in _NUMBER_KINDS}  # whose matches may be none
+
+# Groupings in which cards of 16, 15 and 14 digits are written.
+_USUAL_CARD = re.compile(r"(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9])")
 
 # Parts of the words that stand before a secret, and beginnings of secrets.
 _SIGNS = ("oken", "ecret", "assw", "key", "Key", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox", "BEGIN")
@@ -128,31 +133,68 @@ def _people(found: str, at: int) -> list[Entity]:
     return entities
 
 
+def _card_length(written: str, text: str, first: int) -> int:
+    """Characters at the beginning that are a card, 0 if none are: the whole, else up to the end of a group of digits. Usual
+    groupings and lengths come first, also one that begins at a later group, then the longest."""
+    groups = list(re.finditer("[0-9]+", written))
+    ends = [m.end() for m in groups if 13 <= len(_digits(written[: m.end()])) <= 19 and luhn(_digits(written[: m.end()]))]
+    usual = [end for end in ends if _USUAL_CARD.fullmatch(written[:end])]
+    if usual or not ends:
+        return max(usual, default=0)
+    later = [_USUAL_CARD.match(text, first + m.start()) for m in groups[1:] if m.start() < max(ends)]
+    return 0 if any(m and luhn(_digits(m.group())) for m in later) else max(ends)
+
+
+def _iban_length(written: str) -> int:
+    """Characters at the beginning that are an IBAN, 0 if none are: the whole, else up to a blank, the longest first."""
+    ends = [len(written), *(m.start() for m in re.finditer(" ", written))]
+    values = {end: written[:end].replace(" ", "") for end in ends}
+    return max((end for end, value in values.items() if 15 <= len(value) <= 34 and _iban_holds(value)), default=0)
+
+
+def _checked(kind: str, written: str, text: str, first: int) -> tuple[int, str]:
+    """Characters at the beginning of a match in ``text`` that are an entity of the kind, 0 if none are, and its value."""
+    if kind == "email":
+        return len(written), written.lower()
+    if kind == "ip":
+        return len(written) * all(int(part) <= 255 for part in written.split(".")), written
+    if kind == "iban":
+        length = _iban_length(written)
+        return length, written[:length].replace(" ", "")
+    if kind == "card":
+        length = _card_length(written, text, first)
+        return length, _digits(written[:length])
+    if kind == "phone":
+        return len(written) * (8 <= len(_digits(written)) <= 15), _digits(written)
+    return len(written), _digits(written) if kind == "ssn" else written
+
+
 def find_entities(text: str | None) -> list[Entity]:
-    """Entities of a whole text in order, none overlapping another."""
+    """Entities of a whole text in order, none overlapping another. Behind the beginning of a match that fails its check the
+    search goes on, so such a match hides nothing that overlaps it."""
     if not text:
         return []
     found: list[Entity] = []
-    for m in _FIND.finditer(text):
+    at = 0
+    while m := _FIND.search(text, at):
         kind = next(k for k, v in m.groupdict().items() if v is not None)
-        first, last, value = m.start(kind), m.end(kind), m.group(kind)
+        first, last = m.start(kind), m.end(kind)
+        at = m.end()
         if kind == "person":
-            found += _people(value, first)
+            found += _people(m.group(kind), first)
             continue
-        if kind == "email":
-            value = value.lower()
-        elif kind == "ip":
-            if any(int(part) > 255 for part in value.split(".")):
-                continue
-        elif kind == "iban":
-            value = value.replace(" ", "")
-            if not 15 <= len(value) <= 34 or not _iban_holds(value):
-                continue
-        elif kind in ("card", "phone", "ssn"):
-            value = _digits(value)
-            if kind == "card" and not luhn(value) or kind == "phone" and not 8 <= len(value) <= 15:
-                continue
-        found.append(Entity(first, last, "secret" if kind in ("pem", "prefixed") else kind, value))
+        length, value = _checked(kind, m.group(kind), text, first)
+        if not length and kind in _CHECKED:  # another kind may begin at the same place
+            for kind, pattern in _CHECKED.items():
+                other = pattern.match(text, first)
+                length, value = _checked(kind, other.group(), text, first) if other else (0, "")
+                if length:
+                    break
+            at = first + max(length, 1)
+        elif kind in _CHECKED:
+            at = first + length
+        if length:
+            found.append(Entity(first, first + length, "secret" if kind in ("pem", "prefixed") else kind, value))
     names = {e.value: e.kind for e in found if e.kind == "surname" or e.kind.startswith("given")}
     if names:  # the same names, mentioned without a form of address
         again = re.compile(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, names), reverse=True)) + r")(?!\w)")

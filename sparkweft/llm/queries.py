@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweft.llm import html_text, langid, licenses, mixing, packing, quality, sharding, simhash, surrogates, vector_dedup
+from sparkweft.llm import (
+    hard_negatives, html_text, langid, licenses, mixing, packing, quality, reverse_search, sharding, simhash, suffix_dedup,
+    surrogates, vector_dedup,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,11 +89,27 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.pseudonymize(documents, PRIVATE_KEY).select("doc_id", "text", "n_entities", "entities")
 
 
+def op11_reverse_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return reverse_search.best_documents(items, _documents(spark, sf_dir))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector is an anchor; every seventh carries the next label."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("label", label)
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_sharding, op2_language_id, op3_embedding_dedup, op4_quality_rules, op5_simhash, op6_license_scan, op7_mixing,
-        op8_html_text, op9_packing, op10_surrogates,
+        op8_html_text, op9_packing, op10_surrogates, op11_reverse_search, op12_hard_negatives, op13_suffix_dedup,
     )
 }
 
@@ -142,4 +161,45 @@ ORACLES: dict[str, str] = {
                 then round(case when area < c1 then b0 * x + d0 * x * x else a1 + b1 * x + d1 * x * x end)::bigint end as position
     from placed
     """,
+    "op11_reverse_search": r"""
+    with d as (
+      select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+    docs as (select doc_id, w, len(w)::bigint as n from d where len(w) > 0),
+    size as (select count(*)::bigint as docs, sum(n)::bigint as words from docs),
+    tf as (select doc_id, n, t, count(*)::bigint as tf from (select doc_id, n, unnest(w) as t from docs) group by all),
+    df as (select t, count(*)::bigint as df from tf group by t),
+    item as (
+      select item_id, t, count(*)::bigint as times
+      from (select item_id, unnest(regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark) group by all),
+    scored as (
+      select item_id, doc_id,
+             sum(times * floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double))::bigint
+                 * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words))))::bigint as score
+      from item join df using (t) join tf using (t), size group by all)
+    select item_id, rank::integer as rank, doc_id, score
+    from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0)
+    where rank <= 20
+    """,
+    "op12_hard_negatives": """
+    with v as (
+      select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+             [floor(256 * x::double) for x in embedding] as e
+      from embeddings
+      where label is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+    pairs as (
+      select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same, list_inner_product(a.e, b.e)::bigint as score
+      from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+    positives as (
+      select * from (select *, row_number() over (partition by anchor_id order by score desc, other_id) as place from pairs where same)
+      where place <= 5),
+    negatives as (
+      select p.anchor_id, p.other_id as positive_id, n.other_id as negative_id, p.score as positive_score, n.score as negative_score,
+             row_number() over (partition by p.anchor_id, p.other_id order by n.score desc, n.other_id)::integer as rank
+      from positives p join pairs n on n.anchor_id = p.anchor_id and not n.same
+       and 80 * p.score <= 100 * n.score and 100 * n.score <= 100 * p.score)
+    select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from negatives where rank <= 5
+    """,
 }

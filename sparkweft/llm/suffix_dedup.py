@@ -217,19 +217,32 @@ def _zipped(rows: DataFrame, length: int) -> DataFrame:
 
 
 def _met_anchors(batch: pa.RecordBatch, length: int, gram: int) -> Iterator[tuple[int, bytes, Anchors, np.ndarray]]:
-    """Row, text and anchors of each text, with those that the row's lists name: 1, or 2 for those of a crowd."""
+    """Row, text and anchors of each text, with those that the row's lists name: 1, or 2 for those of a crowd. Small texts are
+    looked at together."""
     import zstandard
 
     unpack = zstandard.ZstdDecompressor()
+    first, held, texts = 0, 0, []
     for row in range(batch.num_rows):
-        text = unpack.decompress(batch.column("z")[row].as_buffer().to_pybytes())
-        _, found = anchors([text], length, gram)
-        kind = np.zeros(len(found[0]), dtype=np.int8)
+        texts.append(unpack.decompress(batch.column("z")[row].as_buffer().to_pybytes()))
+        held += len(texts[-1])
+        if held < _SEGMENT and row + 1 < batch.num_rows:
+            continue
+        of, found = anchors(texts, length, gram)
+        kind = np.zeros(len(of), dtype=np.int8)
         for mark, name in ((1, "few"), (2, "crowd")):
-            listed = batch.column(name)[row].values
-            if listed is not None and len(listed):
-                kind[np.isin(found[0], listed.to_numpy().view(np.uint64))] = mark
-        yield row, text, found, kind
+            lists = batch.column(name).slice(first, len(texts))
+            sizes = np.diff(lists.offsets.to_numpy())
+            named = np.concatenate([found[0], lists.flatten().to_numpy().view(np.uint64)])
+            numbers = np.unique(named, return_inverse=True)[1] * len(texts)
+            numbers += np.concatenate([of, np.repeat(np.arange(len(texts)), sizes)])  # a list holds for its own text
+            kind[np.isin(numbers[: len(of)], numbers[len(of) :])] = mark
+        order = np.lexsort((found[2], of))
+        edges = np.searchsorted(of[order], np.arange(len(texts) + 1))
+        for i, text in enumerate(texts):
+            own = order[edges[i] : edges[i + 1]]
+            yield first + i, text, tuple(values[own] for values in found), kind[own]
+        first, held, texts = row + 1, 0, []
 
 
 _CONTEXT = "g long, context binary, place int, num long, start long"

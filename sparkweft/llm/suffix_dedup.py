@@ -35,7 +35,7 @@ from sparkweft.staging import stage
 LENGTH = 100
 GRAM = 32
 CROWD = 32_768
-_SEGMENT = 1 << 22  # bytes whose windows are looked at together
+_SEGMENT = 1 << 20  # bytes whose windows are looked at together
 _PLACES = np.uint64(_SEGMENT - 1)
 _COMBINED = 50_000  # contexts that a task holds back to drop equal ones
 _COMBINED_BYTES = 16_000_000

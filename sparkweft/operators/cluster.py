@@ -2,42 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast, inheritable_thread_target
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from sparkweft.operators.blocks import VectorBlock, matrix, row_slices, score, take_block
+from sparkweft.operators.blocks import SCORE_DIGITS, matrix, row_slices, score
 from sparkweft.operators.ordinal import with_ordinal
-from sparkweft.staging import recorded, release, stage, stage_path
+from sparkweft.operators.pieces import PIECE_ROWS, PIECE_VALUES, choose_pivots, compare, cut, heads, partners, piece_size
+from sparkweft.staging import recorded, release, stage
 
-LEADER_BLOCK = 4096
 DEFAULT_THRESHOLD = 0.85
+LAST_ROWS = 8_192  # undecided rows and leaders that one task scans to the end
 
-_PLACE = "__place"
 _PARALLEL_RUNS = 4
-_RANGES = 1000  # place ranges looked at to fill one block
-_MOST_SENT = 1_000_000  # places of settled rows sent to all tasks (8 MB)
-
-
-def pick_leaders(vectors: np.ndarray, threshold: float) -> np.ndarray:
-    """Row numbers that open a cluster when the rows are scanned in order."""
-    free = np.ones(len(vectors), dtype=bool)
-    leaders = []
-    for row in range(len(vectors)):
-        if free[row]:
-            leaders.append(row)
-            rest = slice(row + 1, None)
-            free[rest] &= score(vectors[row : row + 1], vectors[rest], "cosine")[0] < threshold
-    return np.array(leaders, dtype=np.int64)
+_OPEN, _WAITING, _LEADER, _CLOSED = range(4)
 
 
 def leader_clusters(
@@ -45,141 +29,135 @@ def leader_clusters(
     key: str = "vec_id",
     vector: str = "embedding",
     threshold: float = DEFAULT_THRESHOLD,
-    block_rows: int = LEADER_BLOCK,
+    block_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """Leader clustering in key order: the first free row opens a cluster and takes every later free row whose cosine
     with it reaches the threshold. Gives ``key``, ``cluster_id`` (from 0), ``leader`` and ``similarity`` to it.
 
-    Works in rounds. The first open rows, ``block_rows`` at most, are scanned for leaders, which is final, since every
-    earlier leader has already taken its rows. These leaders go to all tasks, and each open row joins the first one it
-    matches. A row is compared with leaders only, never with other members, so a large group of copies costs one
-    comparison per copy. Each round settles its whole block and writes only the rows it settles, without their vectors.
-    The vectors stay in one written table, which is copied without the settled rows, and then deleted, once those are
-    more than can be sent to all tasks or an eighth of what is left.
+    The leaders are the lexicographically first maximal independent set of the rows, found by peeling: a row that no earlier
+    row matches is a leader at once, wherever it stands. Every other row waits for the earliest row that it matches. If that
+    is a leader, the row is its member, since nothing earlier can be its leader; if that belongs to another leader, the row
+    looks for the next one. So the rounds follow the longest chain of rows that wait for each other, not the number of rows.
+
+    Rows whose vector matches itself are one class with their copies, compared once. Classes are cut into pieces of
+    ``block_rows`` at most around pivots, and only pairs of pieces that can hold a match are scored (see
+    :mod:`sparkweft.operators.pieces`); rows that belong to a leader are compared no more. Once ``LAST_ROWS`` rows, or
+    ``block_rows``, are left, one task scans them. Every step is written, and deleted at the end.
     """
     spark = vectors.sparkSession
-    usable = vectors.where(F.col(vector).isNotNull()).select(key, vector)
-    key_type = usable.schema[key].dataType
-    settled_schema = T.StructType(
-        [
-            T.StructField(key, key_type),
-            T.StructField("cluster_id", T.LongType()),
-            T.StructField("leader", key_type),
-            T.StructField("similarity", T.DoubleType()),
-        ]
+    with recorded(made := []):
+        result = _peeled(vectors, key, vector, threshold, block_rows)
+    release(spark, made, result)
+    return result
+
+
+def _peeled(vectors: DataFrame, key: str, vector: str, threshold: float, block_rows: int) -> DataFrame:
+    usable = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("vector"))
+    itself = F.round(F.aggregate("vector", F.lit(0.0), lambda total, x: total + x.cast("double") * x), SCORE_DIGITS)
+    usable = usable.withColumn("sole", F.when(itself >= threshold, None).otherwise(F.col("key")))
+    classes = stage(with_ordinal(usable.groupBy("vector", "sole").agg(F.min("key").alias("least")), ["least"], "place"))
+    state = classes.select("place", F.lit(_OPEN).alias("status"), F.lit(None).cast("long").alias("met"), F.lit(None).cast("double").alias("near"))
+    size = classes.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("vector")).alias("width")).head()
+    few = min(block_rows, LAST_ROWS, PIECE_VALUES // max(size["width"] or 1, 1))
+    undecided = size["rows"]
+    if undecided > few:
+        state, undecided = _rounds(classes, state, threshold, block_rows, few)
+    if undecided:
+        state = stage(_settled(state, _last_scan(classes, state, threshold)))
+    leaders = with_ordinal(state.where(F.col("status") == _LEADER).select("place"), ["place"], "cluster_id", start=0)
+    names = leaders.join(classes, "place").select(F.col("place").alias("met"), "cluster_id", F.col("least").alias("leader"))
+    of = state.select("place", F.when(F.col("status") == _LEADER, F.col("place")).otherwise(F.col("met")).alias("met"), F.when(F.col("status") == _CLOSED, F.col("near")).alias("near"))
+    members = classes.join(of, "place").join(names, "met").select("vector", "sole", "cluster_id", "leader", "near")
+    same = (F.col("u.vector") == F.col("m.vector")) & F.col("u.sole").eqNullSafe(F.col("m.sole"))
+    rows = usable.withColumn("itself", itself).alias("u").join(members.alias("m"), same)
+    return stage(
+        rows.select(F.col("u.key").alias(key), "cluster_id", "leader", F.coalesce("near", "itself").alias("similarity"))
     )
-    schema = T.StructType([T.StructField(_PLACE, T.LongType()), *settled_schema.fields])
-    copies: list[str] = []  # written tables of vectors, the last one in use
-    with recorded(copies):
-        held_rows = with_ordinal(usable, [key], _PLACE)  # open rows, and settled ones that are told apart below
-    left = held_rows.count()
-    settled: list[str] = []
-    recent: list[str] = []  # rounds whose rows held_rows still has
-    n_recent = done = clusters = 0
-    while left:
-        if n_recent > min(_MOST_SENT, left // 8):
-            with recorded(written := []):
-                held_rows = stage(_open(held_rows, recent, n_recent, done))
-            release(spark, copies, held_rows)
-            copies, recent, n_recent = written, [], 0
-        open_rows = _open(held_rows, recent, n_recent, done)
-        block, last = _first_block(open_rows, vector, block_rows)
-        in_order = np.argsort(block.columns[_PLACE])
-        rows = in_order[pick_leaders(block.vectors[in_order], threshold)]
-        leaders = {name: values[rows] for name, values in block.columns.items()}
-        sent = spark.sparkContext.broadcast((leaders, block.vectors[rows]))
-        path = stage_path(spark)
-        _join_leaders(open_rows, sent, key, vector, threshold, clusters, schema).write.parquet(path)
-        sent.destroy()  # the round is written, nothing computes it again
-        round_rows = spark.read.schema(schema).parquet(path)
-        later = F.count_if(F.col(_PLACE) > last)
-        counts = round_rows.agg(F.count(F.lit(1)).alias("settled"), later.alias("later")).head()
-        left, n_recent, done = left - counts["settled"], n_recent + counts["later"], last
-        clusters += len(rows)
-        settled.append(path)
-        if counts["later"]:
-            recent.append(path)
-    if not settled:
-        return spark.createDataFrame([], settled_schema)
-    clustered = spark.read.schema(settled_schema).parquet(*settled)
-    release(spark, copies, clustered)
-    return clustered
-
-
-def _open(held_rows: DataFrame, recent: list[str], n_recent: int, done: int) -> DataFrame:
-    """Rows behind place ``done`` that no round of ``recent`` has settled."""
-    behind = held_rows.where(F.col(_PLACE) > done)
-    if not n_recent:
-        return behind
-    rounds = held_rows.sparkSession.read.schema(f"{_PLACE} long").parquet(*recent).where(F.col(_PLACE) > done)
-    return behind.join(F.broadcast(rounds) if n_recent <= _MOST_SENT else rounds, _PLACE, "left_anti")
-
-
-def _first_block(open_rows: DataFrame, vector: str, block_rows: int) -> tuple[VectorBlock, int]:
-    """The first open rows and the place they reach to. Wide vectors make a smaller block, of as many components."""
-    while block_rows:
-        last = _block_end(open_rows, block_rows)
-        block = take_block(open_rows.where(F.col(_PLACE) <= last), vector, block_rows)
-        if block is not None:
-            return block, last
-        block_rows //= 2
-    raise ValueError("one vector has more components than a block may hold")
-
-
-def _block_end(open_rows: DataFrame, block_rows: int) -> int | None:
-    """Place up to which at most ``block_rows`` rows are open, None when none is. Reads counts of place ranges only."""
-    width = F.lit(block_rows)
-    ranges = open_rows.groupBy(F.floor((F.col(_PLACE) - 1) / width).alias("r")).agg(F.count(F.lit(1)).alias("n"))
-    end, rows = None, 0
-    for found in ranges.orderBy("r").limit(_RANGES).collect():
-        rows += found["n"]
-        if rows > block_rows:
-            break
-        end = (found["r"] + 1) * block_rows
-    return end
-
-
-def _join_leaders(
-    open_rows: DataFrame,
-    held: Broadcast,
-    key: str,
-    vector: str,
-    threshold: float,
-    first_cluster: int,
-    schema: T.StructType,
-) -> DataFrame:
-    """Open rows that match one of the broadcast leaders, with the first they match and without their vectors."""
-    arrow_schema = to_arrow_schema(schema)
-
-    def join(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        columns, leader_vectors = held.value
-        leader_keys = columns[key].tolist()
-        own = {place: i for i, place in enumerate(columns[_PLACE].tolist())}
-        for whole in batches:
-            for part in row_slices(whole.num_rows, len(leader_keys)):
-                batch = whole.slice(part.start, part.stop - part.start)
-                scores = score(matrix(batch.column(vector)), leader_vectors, "cosine")
-                hits = scores >= threshold
-                places = batch.column(_PLACE)
-                for row, place in enumerate(places.to_pylist()):
-                    if place in own:  # a leader belongs to itself, also when its vector has no length
-                        hits[row] = False
-                        hits[row, own[place]] = True
-                own_rows = np.flatnonzero(hits.any(axis=1))
-                first = hits.argmax(axis=1)[own_rows]
-                taken = pa.array(own_rows)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        places.take(taken),
-                        batch.column(key).take(taken),
-                        pa.array(first_cluster + first, type=pa.int64()),
-                        pa.array([leader_keys[col] for col in first], type=arrow_schema.field("leader").type),
-                        pa.array(scores[own_rows, first], type=pa.float64()),
-                    ],
-                    schema=arrow_schema,
-                )
-
-    return open_rows.select(_PLACE, vector, key).mapInArrow(join, schema)
+
+
+def _settled(state: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows that ``found`` (place, status, met, near) names are as it says."""
+    new = found.select("place", F.struct("status", "met", "near").alias("f"))
+    pick = lambda name: F.when(F.col("f").isNotNull(), F.col("f")[name]).otherwise(F.col(name)).alias(name)
+    return state.join(new, "place", "left").select("place", pick("status"), pick("met"), pick("near"))
+
+
+def _last_scan(classes: DataFrame, state: DataFrame, threshold: float) -> DataFrame:
+    """What becomes of open and waiting rows, once so few rows are left that one task can scan them in order."""
+
+    def scan(table: pa.Table) -> pa.Table:
+        table = table.sort_by("place")
+        vectors, places, status = matrix(table.column("vector")), table.column("place").to_numpy(), table.column("status").to_numpy()
+        taken = np.full(len(places), -1)
+        near = np.zeros(len(places))
+        free = status != _LEADER
+        for row in range(len(places)):
+            if status[row] == _LEADER or free[row]:
+                later = row + 1 + np.flatnonzero(free[row + 1 :])
+                scores = score(vectors[row : row + 1], vectors[later], "cosine")[0] if len(later) else np.zeros(0)
+                hits = later[scores >= threshold]
+                taken[hits], near[hits], free[hits] = row, scores[scores >= threshold], False
+        rows = np.flatnonzero(status != _LEADER)
+        member = taken[rows] >= 0
+        return pa.table(
+            {
+                "place": places[rows], "status": pa.array(np.where(member, _CLOSED, _LEADER), pa.int32()),
+                "met": pa.array(places[taken[rows]], mask=~member), "near": pa.array(near[rows], mask=~member),
+            }
+        )
+
+    active = classes.select("place", "vector").join(state.where(F.col("status") != _CLOSED).select("place", "status"), "place")
+    return active.withColumn("all", F.lit(True)).groupBy("all").applyInArrow(scan, "place long, status int, met long, near double")
+
+
+def _rounds(classes: DataFrame, state: DataFrame, threshold: float, block_rows: int, few: int) -> tuple[DataFrame, int]:
+    """Peels until no row is undecided, or few rows are undecided or leaders; gives the state and how many are undecided."""
+    pivots = choose_pivots(classes, "vector")
+    pieces = cut(classes.select("place", "vector"), "vector", pivots, "place", piece_size(classes, "vector", block_rows))
+    ends = heads(pieces, "vector", pivots)
+    pairs = partners(ends, ends, "cosine", threshold)
+
+    def earliest(p: int, q: int, left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b, after = matrix(left.column("vector")), matrix(right.column("vector")), left.column("after").to_numpy()
+        own, places = left.column("place").to_numpy(), right.column("place").to_numpy()
+        order = np.argsort(places)
+        b, places = b[order], places[order]
+        found = []
+        for part in row_slices(len(a), len(b)):
+            scores = score(a[part], b, "cosine")
+            hits = (scores >= threshold) & (places[None, :] < own[part, None]) & (places[None, :] > after[part, None])
+            rows = np.flatnonzero(hits.any(axis=1))
+            first = hits[rows].argmax(axis=1)
+            found.append((own[part][rows], places[first], scores[rows, first]))
+        place, met, near = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (own[:0], places[:0], np.zeros(0))
+        return pa.table({"place": place, "met": met, "near": near})
+
+    def search(state: DataFrame) -> DataFrame:
+        """Earliest open, waiting or leading row behind the one that an open row met last."""
+        asking = state.where(F.col("status") == _OPEN).select("place", F.coalesce("met", F.lit(0)).alias("after"))
+        left = pieces.join(asking, "place")
+        right = pieces.join(state.where(F.col("status") != _CLOSED).select("place"), "place", "left_semi")
+        found = compare(left, right, pairs, earliest, "place long, met long, near double")
+        return found.groupBy("place").agg(F.min(F.struct("met", "near")).alias("f")).select("place", F.col("f.met").alias("new"), F.col("f.near").alias("new_near"))
+
+    while True:
+        found = state.where(F.col("status") == _OPEN).select("place").join(search(state), "place", "left")
+        placed = F.when(F.col("new").isNull(), _LEADER).otherwise(_WAITING).alias("status")
+        state = stage(_settled(state, found.select("place", placed, F.col("new").alias("met"), F.col("new_near").alias("near"))))
+        while True:  # what rows wait for may be settled by now; whole chains are, before rows are compared again
+            there = state.select(F.col("place").alias("met"), F.col("status").alias("theirs"))
+            waits = F.col("status") == _WAITING
+            told = F.when(waits & (F.col("theirs") == _LEADER), _CLOSED).when(waits & (F.col("theirs") == _CLOSED), _OPEN)
+            state = stage(
+                state.join(there, "met", "left").select("place", F.coalesce(told, "status").alias("status"), "met", "near", told.isNotNull().alias("told"))
+            )
+            n = lambda status: F.count_if(F.col("status") == status)
+            counts = state.agg(n(_OPEN).alias("open"), n(_WAITING).alias("waiting"), n(_LEADER).alias("leaders"), F.count_if("told").alias("told")).head()
+            if not counts["told"] or not counts["waiting"]:
+                break
+        undecided = counts["open"] + counts["waiting"]
+        if not undecided or undecided + counts["leaders"] <= few:
+            return state.drop("told"), undecided
 
 
 def cluster_sizes(clusters: DataFrame, cluster: str = "cluster_id") -> DataFrame:

@@ -1,8 +1,9 @@
 """Top-k search over vectors.
 
-A block of queries of bounded size goes to every executor; each task keeps its best k candidates per query, so only
-those are shuffled. A larger query set is searched block after block, each in one scan of the candidates, which never
-move.
+A query set of bounded size goes to every executor; each task keeps its best k candidates per query, so only those are
+shuffled, and the candidates never move. A larger query set is cut into pieces around pivots, as are the candidates. Each
+piece of queries first meets the nearest pieces of candidates, which gives every query a bound, and then only those pieces
+that can still hold a candidate above the least bound of its queries.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from sparkweft.functions.vectors import check_method
-from sparkweft.operators.blocks import SCORE_DIGITS, VectorBlock, key_array, matrix, raw_score, row_slices, vector_blocks
+from sparkweft.operators.blocks import SCORE_DIGITS, VectorBlock, key_array, matrix, raw_score, row_slices, score, take_block
+from sparkweft.operators.pieces import PIECE, choose_pivots, compare, cut, heads, partners, piece_size
 from sparkweft.staging import stage
 
 MAX_QUERY_BLOCK = 4096
@@ -107,7 +109,8 @@ def top_k(
     """The k closest candidates of every query: ``query``, ``candidate``, ``score`` and ``rank``.
 
     Scores of ``euclidean`` are negated distances. Equal scores go to the lowest candidate id. NULL vectors take no
-    part. Both ids must be unique; ``queries`` and ``candidates`` may be the same rows under two names.
+    part. Both ids must be unique; ``queries`` and ``candidates`` may be the same rows under two names. More queries than
+    ``max_query_block`` are searched piece by piece, all in one pass of the candidates.
     """
     check_method(method)
     queries = queries.where(F.col(vector).isNotNull()).select(query, vector)
@@ -130,7 +133,57 @@ def top_k(
         found = rank_top(candidates.mapInArrow(search, schema), [query], ["score desc", candidate], k)
         return found, held
 
-    return each_block(vector_blocks(queries, query, vector, max_query_block), searched)
+    whole = take_block(queries, vector, max_query_block)
+    if whole is not None:
+        return searched(whole)[0]
+    return _pruned(queries, candidates, k, method, query, candidate, vector, schema, max_query_block)
+
+
+def _pruned(
+    queries: DataFrame, candidates: DataFrame, k: int, method: str, query: str, candidate: str, vector: str,
+    schema: T.StructType, piece_rows: int,
+) -> DataFrame:
+    """:func:`top_k` for query sets of any size."""
+    metric = "euclidean" if method == "euclidean" else "cosine"
+    arrow_schema = to_arrow_schema(schema)
+    asked = queries.select(F.col(query).alias("id"), F.col(vector).alias("vector"))
+    held = candidates.select(F.col(candidate).alias("id"), F.col(vector).alias("vector"))
+    pivots = choose_pivots(held, "vector")
+    if not len(pivots):
+        return queries.sparkSession.createDataFrame([], schema.add("rank", T.LongType()))
+    left = cut(asked, "vector", pivots, "id", min(piece_rows, piece_size(asked, "vector")))
+    right = cut(held, "vector", pivots, "id", piece_size(held, "vector"))
+    left_heads, right_heads = heads(left, "vector", pivots), heads(right, "vector", pivots)
+
+    def best(p: int, q: int, own: pa.Table, others: pa.Table) -> pa.Table:
+        a, b = matrix(own.column("vector")), matrix(others.column("vector"))
+        ids, floor = key_array(own.column("id")), own.column("floor").to_numpy()
+        keys = key_array(others.column("id"))
+        order = np.argsort(keys, kind="stable")
+        b, keys, parts = b[order], keys[order], []
+        for part in row_slices(len(a), len(b)):
+            scores = score(a[part], b, method)
+            rows, cols = best_per_row(scores, k)
+            good = scores[rows, cols] >= floor[part][rows]
+            rows, cols = rows[good], cols[good]
+            parts.append((ids[part][rows], keys[cols], scores[rows, cols]))
+        columns = [np.concatenate(x).tolist() for x in zip(*parts, strict=True)]
+        return pa.table([pa.array(x, type=field.type) for x, field in zip(columns, arrow_schema, strict=True)], schema=arrow_schema)
+
+    everything = partners(left_heads, right_heads, metric, float("-inf"))
+    before = W.partitionBy("p").orderBy(F.desc("highest"), "q").rowsBetween(W.unboundedPreceding, -1)
+    nearest = everything.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+    nearest = stage(nearest.where(F.col("before") < k).select("p", "q"))
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    near = stage(compare(left.withColumn("floor", F.lit(float("-inf"))), right, nearest, best, ddl))
+    ranked = rank_top(near, [query], ["score desc", candidate], k)
+    bounds = ranked.where(F.col("rank") == k).select(F.col(query).alias("id"), F.col("score").alias("floor"))
+    bounded = left.join(bounds, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    bounded = stage(bounded)
+    least = bounded.groupBy(PIECE).agg(F.min("floor").alias("least")).withColumnRenamed(PIECE, "p")
+    rest = everything.join(least, "p").where(F.col("highest") >= F.col("least")).join(nearest, ["p", "q"], "left_anti")
+    far = compare(bounded, right, stage(rest.select("p", "q")), best, ddl)
+    return rank_top(near.unionAll(far), [query], ["score desc", candidate], k)
 
 
 def each_block(blocks: Iterable[VectorBlock], work: Callable[[VectorBlock], tuple[DataFrame, Broadcast]]) -> DataFrame:

@@ -9,6 +9,7 @@ from sparkweft.functions.vectors import dimension, norm, similarity, unit
 from sparkweft.operators.cases import add_cases, classify, list_classes, nearest_classes, remove_class, remove_sample
 from sparkweft.operators.cluster import cluster_sizes, kmeans, leader_clusters
 from sparkweft.operators.ordinal import member_lists, with_group_ordinal
+from sparkweft.operators.similar import similar_rows
 from sparkweft.operators.similarity import top_k
 from sparkweft.plans.registry import query, table
 
@@ -62,13 +63,28 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_TOP.format(score="-list_distance(q.embedding::double[], list_reverse(c.embedding)::double[])"))
 def vector_topk_euclidean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five closest reversed vectors of every vector by distance, one block of queries after another."""
+    """The five closest reversed vectors of every vector by distance, the queries in pieces of 200."""
     queries, candidates = _queries_and_candidates(spark, sf_dir)
     reversed_candidates = candidates.withColumn("embedding", F.reverse("embedding"))
     found = top_k(queries, reversed_candidates, 5, "euclidean", max_query_block=200)
     return found.withColumn("score", F.round("score", 6))
 
 
+@query(
+    """
+    with s as (
+      select a.vec_id, min(case when b.vec_id < a.vec_id then b.vec_id end) as first, count(*) as links
+      from embeddings a join embeddings b on a.vec_id <> b.vec_id
+       and round(list_inner_product(a.embedding::double[], b.embedding::double[]), 9) >= {THRESHOLD} group by a.vec_id)
+    select v.vec_id, coalesce(links, 0)::bigint as links, first from embeddings v left join s using (vec_id)
+    """.replace("{THRESHOLD}", str(THRESHOLD))
+)
+def similar_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many other vectors every vector is similar to, and the first of them."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return similar_rows(vectors, threshold=THRESHOLD)
+
+
 _LEADERS = f"""
     with recursive e as materialized (
       select a.vec_id as i, b.vec_id as j from embeddings a, embeddings b

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkweft.functions import vectors
-from sparkweft.operators import blocks, cases, cluster, similarity
+from sparkweft.operators import blocks, cases, cluster, pieces, similar, similarity
 from sparkweft.operators.encode import encode
 from sparkweft.staging import recorded
 
@@ -256,3 +256,85 @@ def test_encode_keeps_the_others_of_a_failing_batch(spark):
     assert got[2] is None and got[3] is None and got[5] is None
     assert not encode(df.where("x = 'bad'"), "x", make_model).where("embedding is not null").count()
     assert encode(df.limit(0), "x", make_model).isEmpty()
+
+
+def test_peeling_rounds_follow_chains_not_rows(spark, monkeypatch):
+    """Each vector of a chain of twenty is close to its neighbours only, in an order that makes rows wait for each other; beside
+    many more vectors."""
+    angles = np.concatenate([np.arange(20) * 0.1, 0.05 + np.arange(12) * 0.17])
+    chain = [[np.cos(a), np.sin(a), 0.0] for a in angles]
+    rows = [[float(x) for x in row] for row in chain] + list(unit_rows(300, 3, 4) * np.float32(2))
+    searches = []
+    monkeypatch.setattr(cluster, "compare", lambda *args: searches.append(1) or pieces.compare(*args))
+    got = cluster.leader_clusters(vector_frame(spark, rows), threshold=0.99, block_rows=40)
+    assert {r["vec_id"]: (r["cluster_id"], r["leader"]) for r in got.collect()} == leader_rule([np.float32(r) for r in rows], 0.99)
+    assert 1 < len(searches) <= 15
+
+
+def similar_rule(rows, threshold, method):
+    v = np.array([r for r in rows if r is not None], dtype=np.float32).astype(np.float64)
+    ids = [i for i, r in enumerate(rows) if r is not None]
+    scores = -np.linalg.norm(v[:, None] - v[None], axis=2) if method == "euclidean" else v @ v.T
+    hits = np.round(scores, 9) >= threshold
+    np.fill_diagonal(hits, False)
+    found = {}
+    for place, i in enumerate(ids):
+        linked = [ids[j] for j in np.flatnonzero(hits[place])]
+        found[i] = (len(linked), linked[0] if linked and linked[0] < i else None)
+    return found
+
+
+@pytest.mark.parametrize(("method", "threshold"), [("cosine", 0.6), ("cosine", 0.0), ("euclidean", -0.5)])
+def test_similar_rows_equal_all_pairs(spark, method, threshold):
+    rows = list(unit_rows(150, 4, 11))
+    rows[9] = None
+    rows[60:100] = [rows[3]] * 40  # a large group of copies
+    rows[100:103] = [[0.0] * 4] * 3  # similar to themselves by distance only, or at zero
+    rows[103:105] = [[0.5, 0.5, 0.5, 0.5], [0.6, 0.6, 0.0, 0.0]]  # exactly at 0.6
+    got = similar.similar_rows(vector_frame(spark, rows).repartition(3), threshold=threshold, method=method, piece_rows=20)
+    assert {r["vec_id"]: (r["links"], r["first"]) for r in got.collect()} == similar_rule(rows, threshold, method)
+
+
+def test_similar_rows_of_nothing_and_text_keys(spark):
+    assert similar.similar_rows(vector_frame(spark, [None])).collect() == []
+    named = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 1.0])], "path string, embedding array<float>")
+    got = similar.similar_rows(named, "path").orderBy("path").collect()
+    assert [tuple(r) for r in got] == [("a", 1, None), ("b", 1, "a"), ("c", 0, None)]
+
+
+def grouped_rows(seed):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(20, 8))
+    rows = np.concatenate([centre + rng.normal(size=(100, 8)) * 0.05 for centre in centres])
+    return (rows / np.linalg.norm(rows, axis=1, keepdims=True)).astype(np.float32)
+
+
+def test_pieces_leave_most_pairs_out_and_no_match(spark):
+    rows = grouped_rows(12)
+    frame = vector_frame(spark, rows).withColumnRenamed("embedding", "vector")
+    pivots = pieces.choose_pivots(frame, "vector")
+    cut = pieces.cut(frame, "vector", pivots, "vec_id", 50)
+    ends = pieces.heads(cut, "vector", pivots)
+    count = ends.count()
+    assert count < 40 + len(pivots) and ends.agg(F.sum("rows"), F.max("rows")).head() == (2000, 50)
+    of = np.empty(2000, dtype=np.int64)
+    for row in cut.select("vec_id", pieces.PIECE).collect():
+        of[row[0]] = row[1]
+    scores = rows.astype(np.float64) @ rows.astype(np.float64).T
+    met = {(r["p"], r["q"]) for r in pieces.partners(ends, ends, "cosine", 0.95).collect()}
+    needed = {(int(of[i]), int(of[j])) for i, j in zip(*np.nonzero(scores >= 0.95), strict=True)}
+    assert needed <= met and len(met) < 0.25 * count * count
+
+
+@pytest.mark.parametrize("method", ["cosine", "euclidean"])
+def test_pruned_search_scores_few_pairs(spark, method, monkeypatch):
+    rows = grouped_rows(13)
+    scored = []
+    monkeypatch.setattr(similarity, "compare", lambda left, right, pairs, *rest: scored.append(pairs.count()) or pieces.compare(left, right, pairs, *rest))
+    monkeypatch.setattr(similarity, "piece_size", lambda *_: 50)
+    got = similarity.top_k(vector_frame(spark, rows[::2], "query_id"), vector_frame(spark, rows, "candidate_id"), 7, method, max_query_block=50)
+    found = {}
+    for row in got.orderBy("query_id", "rank").collect():
+        found.setdefault(row["query_id"], []).append(row["candidate_id"])
+    assert found == top_rule(rows[::2], rows, 7, method)
+    assert sum(scored) < 0.4 * 20 * 40  # pairs of pieces, of all there are

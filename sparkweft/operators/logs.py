@@ -156,7 +156,8 @@ _PIECE = T.StructType(
 def fold_pieces(lines: DataFrame, answer: str, order: str, value: str = "value", piece_rows: int = 1000) -> DataFrame:
     """Answers put together from pieces, one JSON document per line, up to the first piece that is ``done``.
 
-    A piece is ``response`` or ``message.content``; lines that do not parse are skipped. An answer of more than
+    A piece is ``response`` or ``message.content``; lines that do not parse are skipped. Pieces without an answer's name (NULL)
+    are one answer. An answer of more than
     ``piece_rows`` pieces is given in ``part`` rows of so many pieces each, counted from 0 in the order of the pieces, so an
     endless answer is never gathered in one place. ``pieces`` and ``finished`` are those of the whole answer.
     """
@@ -167,9 +168,10 @@ def fold_pieces(lines: DataFrame, answer: str, order: str, value: str = "value",
         F.coalesce("p.response", "p.message.content", F.lit("")).alias("text"),
         F.coalesce("p.done", F.lit(False)).alias("done"),
     )
-    ends = pieces.where("done").groupBy(answer).agg(F.min(order).alias("__end"))
-    kept = pieces.join(ends, answer, "left").where(F.col("__end").isNull() | (F.col(order) <= F.col("__end")))
-    numbered = with_group_ordinal(kept.drop("__end"), [answer], [order, "text"], "__n", start=0)
+    ends = pieces.where("done").groupBy(F.col(answer).alias("__of")).agg(F.min(order).alias("__end"))
+    kept = pieces.join(ends, F.col(answer).eqNullSafe(F.col("__of")), "left")
+    kept = kept.where(F.col("__end").isNull() | (F.col(order) <= F.col("__end")))
+    numbered = with_group_ordinal(kept.drop("__of", "__end"), [answer], [order, "text"], "__n", start=0)
     ordered = F.sort_array(F.collect_list(F.struct("__n", "text")))
     parts = numbered.groupBy(answer, F.floor(F.col("__n") / piece_rows).alias("part")).agg(
         F.array_join(F.transform(ordered, lambda item: item["text"]), "").alias("text")

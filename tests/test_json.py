@@ -166,3 +166,16 @@ def test_parse_object_keeps_good_fields(spark):
     fields = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType())])
     row = frame(spark, ['{"a": "text", "b": "ok"}']).select(json_text.parse_object(F.col("value"), fields).alias("p")).head()
     assert row["p"]["a"] is None and row["p"]["b"] == "ok"
+
+
+def test_forged_ends_are_refused(spark):
+    fields = T.StructType([T.StructField("a", T.StringType())])
+    forged = [
+        '{"a":"1"},null,null,null] junk', '{"a":"1"} , null,null,{}]', '{"a":"1"},null,null,null],"end":1}', '{"a":"1"},"end":1} junk ]',
+        '{"a":"1"},{"a":"2"},{"a":"3"},{"a":"4"}]\n', '{"a":"1"}]', '{"a":"1"}, "x": [1,2], "end": 1}',
+    ]
+    right = ['{"a":"1","b":[{"c":1},{"c":2}]}', ' {"a":"1","b":{"c":"},null,null,null]"},"d":[null,null]} ', '{"b":[{"a":2}, null], "a":"1"}', '{"a":"1","a":"1","b":[{},{}]}']
+    frame = spark.createDataFrame([(i, line) for i, line in enumerate(forged + right)], "id long, value string")
+    got = dict(frame.select("id", json_text.parse_object(F.col("value"), fields)["a"]).collect())
+    assert [got[i] for i in range(len(forged))] == [None] * len(forged)
+    assert [got[len(forged) + i] for i in range(len(right))] == ["1"] * len(right)

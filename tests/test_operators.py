@@ -210,6 +210,14 @@ def test_fold_pieces(spark):
     assert [(r["part"], r["text"], r["finished"]) for r in logs.fold_pieces(late, "id", "n").collect()] == [(0, "xxxx", True)]
 
 
+def test_fold_pieces_of_an_answer_without_name(spark):
+    rows = [(None, 1, "a", True), (None, 2, "b", False), ("x", 1, "c", False)]
+    lines = spark.createDataFrame(rows, "id string, n long, response string, done boolean")
+    lines = lines.select("id", "n", F.to_json(F.struct("response", "done")).alias("value"))
+    got = {(r["id"], r["text"], r["pieces"], r["finished"]) for r in logs.fold_pieces(lines, "id", "n").collect()}
+    assert got == {(None, "a", 1, True), ("x", "c", 1, False)}
+
+
 def test_token_usage(spark):
     documents = ['{"prompt_eval_count": 3, "eval_count": 5, "eval_duration": 1000000000, "total_duration": 2000000000}', '{"eval_count": 1}', "bad"]
     got = logs.token_usage(spark.createDataFrame([(d,) for d in documents], "value string")).head()

@@ -33,13 +33,13 @@ def parse_object(text: Column, fields: T.StructType) -> Column:
     A field whose value does not fit its type is NULL and does not spoil the others.
 
     The parser ignores what follows a document, so the text is read as the first of four elements of an array. A line could
-    bring the other elements and the end of the array itself; one that has what this takes is parsed again as a member of an
+    bring the other elements and the end of the array itself; one that has what this takes is looked through again as a member of an
     object with another member behind it. Whatever goes on behind a first object can't be right in both.
     """
     parsed = F.from_json(F.concat(F.lit("["), text, F.lit(_END_MARK)), T.ArrayType(fields), _STRICT)
     found = F.get(only_if(parsed, lambda elements: F.size(elements) == _ELEMENTS), F.lit(0))
-    member = F.from_json(F.concat(F.lit('{"v":'), text, F.lit(',"end":1}')), "end int", _STRICT)
-    return F.when(~text.rlike(r"(?s)\}\s*,.*\]") | (member["end"] == 1), found)
+    behind = F.get_json_object(F.concat(F.lit('{"v":'), text, F.lit(',"end":1}')), "$.end")
+    return F.when(~text.rlike(r"(?s)\}\s*,.*\]") | (behind == "1"), found)
 
 
 def _text_fields(names: Sequence[str]) -> T.StructType:

@@ -7,10 +7,10 @@ partition.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,6 +95,28 @@ def with_chunk_id(df: DataFrame, order_by: Sequence[str | Column], chunk_size: i
     return numbered.withColumn("chunk_id", F.floor((F.col("ordinal") - 1) / chunk_size))
 
 
+def paged(df: DataFrame, order_by: Sequence[str | Column], name: str = "ordinal") -> DataFrame:
+    """All rows, numbered from 1 and written in the order of their numbers: an index for :func:`page`. Every row group of the
+    written files spans few numbers, so a range of numbers reads only the row groups that hold it."""
+    numbered = with_ordinal(df, order_by, name)
+    return stage(numbered.repartitionByRange(name).sortWithinPartitions(name))
+
+
+def page(index: DataFrame, first: int, rows: int, name: str = "ordinal") -> DataFrame:
+    """Rows ``first`` to ``first + rows - 1`` of a :func:`paged` frame."""
+    return index.where(F.col(name).between(first, first + rows - 1))
+
+
+def iterate_pages(index: DataFrame, first: int = 1, page_rows: int = 1000, name: str = "ordinal") -> Iterator[list[Row]]:
+    """Pages of a :func:`paged` frame for a caller's own loop, from row ``first`` on, in order. The driver holds one page, and a
+    loop that has stopped goes on at any row, without the rows before."""
+    if page_rows < 1:
+        raise ValueError("page_rows must be at least 1")
+    while rows := page(index, first, page_rows, name).orderBy(name).collect():
+        yield rows
+        first += page_rows
+
+
 def map_chunks(chunks: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Run ``work`` on every chunk of :func:`with_chunk_id` as a pandas frame; chunks are bounded by their size."""
     return chunks.groupBy("chunk_id").applyInPandas(work, schema)

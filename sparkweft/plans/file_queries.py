@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkweft.operators.ordinal import page, paged
 from sparkweft.operators.rows import with_prefix
 from sparkweft.plans.feature_queries import CHANGED_SQL, DIFF_SQL, LINE_SIDES_SQL, feature_lines
 from sparkweft.plans.jobs import compare_features, compare_lines, export_params, filter_features, reorder_positional
 from sparkweft.plans.registry import query, table
 from sparkweft.plans.table_queries import NAMES, document_lines, ragged_lines
 from sparkweft.sinks.files import group_documents, read_line_diff, write_csv, write_quoted_csv, write_text, write_vectors
-from sparkweft.sources.csv_files import read_csv, read_csv_arrays, read_csv_chunks, read_csv_records
+from sparkweft.sources.csv_files import read_csv, read_csv_arrays, read_csv_chunks, read_csv_ordered, read_csv_records
 from sparkweft.sources.inventory import directory_summary, list_directory
 from sparkweft.sources.text_files import read_lines, read_name_lists, read_request_keys, read_vectors
 from sparkweft.staging import stage_path
@@ -39,6 +40,28 @@ def csv_file_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    """
+    with o as (
+      select row_number() over (order by c_custkey) as ordinal, c_custkey, c_name || chr(10) || c_mktsegment as label from customer)
+    select 'page' as part, ordinal, c_custkey, label from o where ordinal between 201 and 260
+    union all
+    select 'rest' as part, max(ordinal), max(c_custkey), min(label) from o where ordinal > 260 having count(*) > 0
+    """
+)
+def row_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of a CSV file's rows in file order, and what a reader that resumes behind it still gets."""
+    path = stage_path(spark)
+    label = F.concat_ws("\n", "c_name", "c_mktsegment").alias("label")
+    write_csv(table(spark, sf_dir, "customer").orderBy("c_custkey").select("c_custkey", label), path)
+    rows = read_csv_ordered(spark, path)
+    index = paged(rows, ["src_file", "src_block", "src_seq"])
+    index = index.select("ordinal", F.col("c_custkey").cast("long").alias("c_custkey"), "label")
+    resumed = index.where(F.col("ordinal") > 260)
+    rest = resumed.agg(*[F.max(c).alias(c) for c in ("ordinal", "c_custkey")], F.min("label").alias("label")).where(F.col("ordinal").isNotNull())
+    return page(index, 201, 60).select(F.lit("page").alias("part"), "*").unionByName(rest.select(F.lit("rest").alias("part"), "*"))
+
+
 @query(
     """
     select chunk_id, count(*) as n_rows, min(event_id) as first_event, max(event_id) as last_event

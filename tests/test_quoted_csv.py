@@ -5,7 +5,9 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from sparkweft.operators import ordinal
 from sparkweft.sources import csv_files
 
 
@@ -71,3 +73,14 @@ def test_odd_files(spark, tmp_path, small_blocks):
         got = sorted(tuple(r) for r in found.collect())
         assert found.columns == ["a", "b"]
         assert [(a, b.rstrip("\n") if name == "open" and b else b) for a, b in got] == [(a, b.rstrip("\n") if b else b) for a, b in rows], name
+
+
+def test_pages_read_their_range_only(spark):
+    index = ordinal.paged(spark.range(1000).select((F.col("id") * 7 % 1000).alias("k")).repartition(5), ["k"])
+    found = [[(r["ordinal"], r["k"]) for r in rows] for rows in ordinal.iterate_pages(index, 901, 40)]
+    assert found == [[(n + 1, n) for n in range(first, min(first + 40, 1000))] for first in (900, 940, 980)]
+    assert list(ordinal.iterate_pages(index, 1001)) == [] and list(ordinal.iterate_pages(index.limit(0))) == []
+    plan = ordinal.page(index, 901, 40)._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(ordinal,901)" in plan and "LessThanOrEqual(ordinal,940)" in plan
+    files = index.select(F.input_file_name().alias("f"), "ordinal").groupBy("f").agg(F.min("ordinal").alias("a"), F.max("ordinal").alias("b"), F.count("*").alias("n")).collect()
+    assert all(row["b"] - row["a"] + 1 == row["n"] for row in files)

@@ -41,8 +41,8 @@ def leader_clusters(
 
     Rows whose vector matches itself are one class with their copies, compared once. Classes are cut into pieces of
     ``block_rows`` at most around pivots, and only pairs of pieces that can hold a match are scored (see
-    :mod:`sparkweft.operators.pieces`); rows that belong to a leader are compared no more. Once ``LAST_ROWS`` rows, or
-    ``block_rows``, are left, one task scans them. Every step is written, and deleted at the end.
+    :mod:`sparkweft.operators.pieces`); rows that belong to a leader are compared no more. Once no more rows are left than a
+    pair of pieces has, and ``LAST_ROWS`` at most, one task scans them. Every step is written, and deleted at the end.
     """
     spark = vectors.sparkSession
     with recorded(made := []):
@@ -58,7 +58,7 @@ def _peeled(vectors: DataFrame, key: str, vector: str, threshold: float, block_r
     classes = stage(with_ordinal(usable.groupBy("vector", "sole").agg(F.min("key").alias("least")), ["least"], "place"))
     state = classes.select("place", F.lit(_OPEN).alias("status"), F.lit(None).cast("long").alias("met"), F.lit(None).cast("double").alias("near"))
     size = classes.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("vector")).alias("width")).head()
-    few = min(block_rows, LAST_ROWS, PIECE_VALUES // max(size["width"] or 1, 1))
+    few = min(2 * block_rows, LAST_ROWS, 2 * PIECE_VALUES // max(size["width"] or 1, 1))
     undecided = size["rows"]
     if undecided > few:
         state, undecided = _rounds(classes, state, threshold, block_rows, few)

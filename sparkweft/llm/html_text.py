@@ -1,8 +1,11 @@
 """Main text of HTML pages by tree scoring.
 
 Paragraphs give points, for their length and their commas and less the more of them is links, to the elements around them.
-The container with the most points and those of its siblings that look like more of the text are kept; menus, headers,
-footers, sidebars, notices, adverts, forms, comments of readers and code never are.
+If the container with the most points lies in an article, that article is kept whole, however long its parts are. Otherwise
+the container, or the main element around it, is kept without the lists and containers in it that are mostly links, and with
+what stands beside it and beside the elements around it, up to the body: paragraphs, headings, lists, tables and figures that
+are not mostly links, and containers that hold prose. Of what stands beside an article, headings, paragraphs and articles that
+hold prose are kept. Menus, headers, footers, sidebars, notices, adverts, forms, comments of readers and code never are.
 """
 
 from __future__ import annotations
@@ -43,28 +46,47 @@ DROPPED_NAMES = frozenset(
     "related recommended recommendations replies respond share sharing sidebar signup social sponsor sponsored sponsors "
     "subscribe subscription teaser toc toolbar topbar widget widgets alert aside skip".split()
 )
+# Names that say where or how large an element is, not what it holds, and names that are also ordinary words of a topic:
+# share-buttons is dropped, share-price is not.
+PLACE_NAMES = frozenset(
+    "area bar block body bottom box button buttons center container content count counts float global group holder icon icons "
+    "info inner item items large left link links list main middle mobile outer page panel post posts primary right row "
+    "secondary section site slot small tool tools top unit wrap wrapper".split()
+)
+TOPIC_NAMES = frozenset("alert disclaimer header hidden menu menus notice notices related recommended share sharing skip social".split())
 ARTICLE_NAMES = frozenset("article content entry main post story text body".split())
 _NAME = re.compile(r"[A-Za-z]+")
+_SENTENCE_END = re.compile(r"[.!?…。！？।؟]")
+_PROSE_BYTES, _LONG_BYTES = 60, 200  # a sentence of the first size, or any line of the second, is taken for text of the page
+_LINES = frozenset({"p", "blockquote", "pre", *HEADINGS})
+_GROUPS = frozenset("table ul ol dl figure details".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "dropped", "bonus", "score", "chars", "linked")
+    __slots__ = ("tag", "parent", "parts", "dropped", "bonus", "score", "chars", "linked", "prose")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.parts = tag, parent, []
         self.dropped, self.bonus = False, 0.0
-        self.score, self.chars, self.linked = 0.0, 0, 0
+        self.score, self.chars, self.linked, self.prose = 0.0, 0, 0, False
 
 
-def _names(attrs: dict[str, str | None]) -> set[str]:
-    """Words of class and id; a name such as has-sidebar tells of something else and is left out."""
-    words: set[str] = set()
+def _names(attrs: dict[str, str | None]) -> list[set[str]]:
+    """Words of each name in class and id; a name such as has-sidebar tells of something else and is left out."""
+    names: list[set[str]] = []
     for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
         parts = [m.lower() for m in _NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name))]
         if parts and parts[0] not in ("has", "no", "with", "without"):
-            words.update(parts)
-    return words
+            names.append(set(parts))
+    return names
+
+
+def _tells_of_extras(words: set[str]) -> bool:
+    """Whether a name marks an element that is no text of the page."""
+    found = words & DROPPED_NAMES
+    rest = [word for word in words - found if len(word) > 1 and word not in PLACE_NAMES]
+    return bool(found) and not (rest and found <= TOPIC_NAMES)
 
 
 class _Tree(HTMLParser):
@@ -82,15 +104,15 @@ class _Tree(HTMLParser):
             return
         node = Node(tag, self.now)
         self.now.parts.append(node)
-        held, names = dict(attrs), None
+        held = dict(attrs)
         if held:
             names = _names(held)
             node.dropped = (
                 (held.get("role") or "").lower() in DROPPED_ROLES or "hidden" in held or held.get("aria-hidden") == "true"
                 or bool(_HIDDEN.search(held.get("style") or ""))
-                or tag not in ("html", "body", "article", "main") and bool(names & DROPPED_NAMES)
+                or tag not in ("html", "body", "article", "main") and any(map(_tells_of_extras, names))
             )
-            node.bonus = 25.0 * bool(names & ARTICLE_NAMES)
+            node.bonus = 25.0 * any(words & ARTICLE_NAMES for words in names)
         node.dropped |= tag in DROPPED
         if tag in ("article", "main"):
             node.bonus = 50.0
@@ -175,6 +197,19 @@ def _within(node: Node | None, tags: tuple[str, ...]) -> bool:
     return False
 
 
+def _outermost(node: Node | None, tag: str) -> Node | None:
+    found = None
+    while node is not None:
+        if node.tag == tag:
+            found = node
+        node = node.parent
+    return found
+
+
+def _few_links(chars: int, linked: int) -> bool:
+    return linked * 4 <= chars
+
+
 def _points(line: str, linked: int) -> float:
     share = min(1.0, linked / len(line))
     return (1 + line.count(",") + len(line) / 100) * (1 - share)
@@ -197,14 +232,20 @@ def main_text(html: str | None) -> str:
             node = node.parent or node
         while node.parent is not None and node.tag in ROWS and (node is owner or node.tag not in ("td", "th")):
             node = node.parent
+        size = len(line.encode("utf-8", "replace"))
+        ended = size >= _LONG_BYTES or size >= _PROSE_BYTES and bool(_SENTENCE_END.search(line))
+        prose = ended and _few_links(len(line), linked)
+        around = owner
+        while around is not None:
+            around.chars += len(line)
+            around.linked += min(linked, len(line))
+            around.prose |= prose
+            around = around.parent
         depth = 0
-        while node is not None:
-            node.chars += len(line)
-            node.linked += min(linked, len(line))
-            if depth < 3:
-                node.score += points * share
-                share /= 2
-                containers[id(node)] = node
+        while node is not None and depth < 3:
+            node.score += points * share
+            share /= 2
+            containers[id(node)] = node
             depth += 1
             node = node.parent
 
@@ -212,26 +253,48 @@ def main_text(html: str | None) -> str:
         return (node.score + node.bonus * (node.score > 0)) * (1 - node.linked / max(node.chars, 1))
 
     best = max(containers.values(), key=value)  # the first of several
-    kept = {id(best)}
-    if best.parent is not None:
-        least = max(2.0, 0.2 * value(best))
-        for other in best.parent.parts:
-            if isinstance(other, Node) and not other.dropped and other is not best:
-                if id(other) in containers and value(other) >= least and other.tag == best.tag:
-                    kept.add(id(other))
-
-    def inside(node: Node | None) -> bool:
+    article = _outermost(best, "article")
+    best = article or _outermost(best, "main") or best
+    kept, loose = {id(best)}, set()
+    left_out = set()
+    if article is None:  # lists of links in the container
+        left_out = {
+            id(part) for part in best.parts
+            if isinstance(part, Node) and part.tag in _GROUPS | CONTAINERS and not _few_links(part.chars, part.linked)
+        }
+    least = max(2.0, 0.2 * best.score)
+    level = best
+    while level.parent is not None:
+        loose.add(id(level.parent))
+        for other in level.parent.parts:
+            if not isinstance(other, Node) or other.dropped or other is level:
+                continue
+            if other.tag in _LINES or (other.tag in _GROUPS and article is None):
+                more = _few_links(other.chars, other.linked)
+            else:
+                prose = other.prose and (article is None or other.tag == "article")
+                more = (prose or level is best and other.tag == best.tag and other.score >= least) and _few_links(other.chars, other.linked)
+            if more:
+                kept.add(id(other))
+        if article is not None or level.parent.tag in ("body", "html", "#root"):
+            break
+        level = level.parent
+
+    def inside(owner: Node, line: str, linked: int) -> bool:
+        """Whether a block lies in what is kept, or is a sentence right in an element around the best container."""
+        if article is None and id(owner) in loose and owner.tag not in ("html", "#root"):
+            if _few_links(len(line), linked) and _SENTENCE_END.search(line):
+                return True
+        node: Node | None = owner
         while node is not None:
+            if id(node) in left_out:
+                return False
             if id(node) in kept:
                 return True
             node = node.parent
         return False
 
-    def sibling_text(owner: Node, line: str, linked: int) -> bool:
-        """A paragraph or heading that stands beside the best container."""
-        return owner.parent is best.parent and owner.tag in {"p", "blockquote", "pre", *HEADINGS} and linked * 4 <= len(line)
-
-    return "\n".join(line for owner, line, linked in blocks if inside(owner) or sibling_text(owner, line, linked))
+    return "\n".join(line for owner, line, linked in blocks if inside(owner, line, linked))
 
 
 def main_text_column(html: Column) -> Column:

@@ -1,14 +1,9 @@
-"""Grouping vectors: leader clusters and k-means."""
+"""Leader clusters of vectors; k-means is in ``kmeans``."""
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 import numpy as np
 import pyarrow as pa
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +15,6 @@ from sparkweft.staging import recorded, release, stage
 DEFAULT_THRESHOLD = 0.85
 LAST_ROWS = 8_192  # undecided rows and leaders that one task scans to the end
 
-_PARALLEL_RUNS = 4
 _OPEN, _WAITING, _LEADER, _CLOSED = range(4)
 
 
@@ -163,40 +157,3 @@ def _rounds(classes: DataFrame, state: DataFrame, threshold: float, block_rows:
 def cluster_sizes(clusters: DataFrame, cluster: str = "cluster_id") -> DataFrame:
     """Members per cluster."""
     return clusters.groupBy(cluster).agg(F.count(F.lit(1)).alias("members"))
-
-
-def default_k(rows: int) -> int:
-    """Number of clusters when none is given: a third of the rows, at least 1 and at most 10."""
-    return max(1, min(rows // 3, 10))
-
-
-def kmeans(
-    vectors: DataFrame,
-    key: str = "vec_id",
-    vector: str = "embedding",
-    k: int | None = None,
-    seed: int = 42,
-    restarts: int = 10,
-    max_iter: int = 300,
-) -> DataFrame:
-    """k-means, the cheapest of ``restarts`` runs: ``key`` and ``cluster_id``.
-
-    Spark needs two clusters at least; ``k=1`` puts everything into cluster 0.
-    """
-    usable = vectors.where(F.col(vector).isNotNull()).select(key, vector)
-    k = default_k(usable.count()) if k is None else k
-    if k == 1:
-        return usable.select(key, F.lit(0).alias("cluster_id"))
-    points = usable.select(key, array_to_vector(vector).alias("features"))
-
-    def fit(run: int) -> KMeansModel:
-        return KMeans(k=k, seed=seed + run, maxIter=max_iter).fit(held)
-
-    held = points.persist()
-    try:
-        with ThreadPoolExecutor(min(restarts, _PARALLEL_RUNS)) as pool:  # each run is a series of small jobs
-            models = list(pool.map(inheritable_thread_target(vectors.sparkSession)(fit), range(restarts)))
-    finally:
-        held.unpersist()
-    best = min(models, key=lambda model: model.summary.trainingCost)
-    return best.transform(points).select(key, F.col("prediction").alias("cluster_id"))

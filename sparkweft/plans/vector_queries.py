@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from sparkweft.functions.vectors import dimension, norm, similarity, unit
 from sparkweft.operators.cases import add_cases, classify, list_classes, nearest_classes, remove_class, remove_sample
-from sparkweft.operators.cluster import cluster_sizes, kmeans, leader_clusters
+from sparkweft.operators.cluster import cluster_sizes, leader_clusters
+from sparkweft.operators.kmeans import fit_kmeans, kmeans, nearest_centres
 from sparkweft.operators.ordinal import member_lists, with_group_ordinal
 from sparkweft.operators.similar import similar_rows
 from sparkweft.operators.similarity import top_k
@@ -184,6 +185,42 @@ def kmeans_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    """
+    select count(*) as vectors, true as nearest, true as means, true as least, true as cost_agrees
+    from embeddings
+    """
+)
+def kmeans_optimum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """That k-means ended: no vector has a nearer centre than its own, each centre is the mean of its vectors, the cost is
+    the sum of squared distances and the least of all runs. Distances and means are taken anew by built-in functions."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = fit_kmeans(vectors, tol=1e-9)
+    grouped = vectors.join(nearest_centres(vectors, found.centres), "vec_id")
+    ids = list(range(len(found.centres)))  # at most ten
+    square = lambda x, c: (x.cast("double") - c) * (x.cast("double") - c)
+    away = F.array(*[
+        F.aggregate(F.zip_with("embedding", F.lit([float(v) for v in found.centres[i]]), square), F.lit(0.0), lambda a, b: a + b) for i in ids
+    ])
+    checked = grouped.withColumn("away", away)
+    own = F.element_at("away", F.col("cluster_id") + 1)
+    by_row = checked.agg(
+        F.count(F.lit(1)).alias("vectors"), F.bool_and(own <= F.array_min("away") + 1e-9).alias("nearest"), F.sum(own).alias("cost")
+    )
+    centres = spark.createDataFrame(
+        [(i, place, float(x)) for i in ids for place, x in enumerate(found.centres[i])], "cluster_id int, place int, centre double"
+    )
+    cells = grouped.select("cluster_id", F.posexplode("embedding").alias("place", "x"))
+    means = cells.groupBy("cluster_id", "place").agg(F.avg("x").alias("mean")).join(centres, ["cluster_id", "place"], "full")
+    by_centre = means.agg(F.bool_and(F.coalesce(F.abs(F.col("mean") - F.col("centre")) <= 1e-6, F.lit(False))).alias("means"))
+    both = by_row.unionByName(by_centre, allowMissingColumns=True)  # one row of each kind
+    return both.agg(
+        F.max("vectors").alias("vectors"), F.max("nearest").alias("nearest"), F.max("means").alias("means"),
+        F.lit(bool(found.cost == min(found.costs))).alias("least"),
+        (F.abs(F.max("cost") - found.cost) <= 1e-6 * F.max("cost")).alias("cost_agrees"),
+    )
+
+
 def library(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Case library of all vectors, reversed, by label."""
     samples = table(spark, sf_dir, "embeddings").select(

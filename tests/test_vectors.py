@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkweft.functions import vectors
-from sparkweft.operators import blocks, cases, cluster, pieces, similar, similarity
+from sparkweft.operators import blocks, cases, cluster, kmeans, pieces, similar, similarity
 from sparkweft.operators.encode import encode
 from sparkweft.staging import recorded
 
@@ -93,14 +93,47 @@ def test_similarity_exactly_at_the_threshold(spark):
 
 
 def test_default_k():
-    assert [cluster.default_k(n) for n in (0, 1, 5, 6, 29, 30, 1000)] == [1, 1, 1, 2, 9, 10, 10]
+    assert [kmeans.default_k(n) for n in (0, 1, 5, 6, 29, 30, 1000)] == [1, 1, 1, 2, 9, 10, 10]
 
 
 def test_kmeans_finds_far_groups(spark):
     rows = [[1.0, 0.01 * i] for i in range(6)] + [[-1.0, 0.01 * i] for i in range(6)]
-    got = {r["vec_id"]: r["cluster_id"] for r in cluster.kmeans(vector_frame(spark, rows), k=2, restarts=2).collect()}
+    got = {r["vec_id"]: r["cluster_id"] for r in kmeans.kmeans(vector_frame(spark, rows), k=2, restarts=2).collect()}
     assert len({got[i] for i in range(6)}) == 1 and got[0] != got[6] and len(set(got.values())) == 2
-    assert {r["cluster_id"] for r in cluster.kmeans(vector_frame(spark, rows[:2])).collect()} == {0}
+    assert {r["cluster_id"] for r in kmeans.kmeans(vector_frame(spark, rows[:2])).collect()} == {0}
+
+
+def lloyd(rows, centres):
+    while True:
+        near = ((rows[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        moved = np.array([rows[near == c].mean(0) if (near == c).any() else centres[c] for c in range(len(centres))])
+        if np.abs(moved - centres).max() < 1e-12:
+            return moved, ((rows - moved[near]) ** 2).sum()
+        centres = moved
+
+
+@pytest.mark.parametrize("most", [blocks.BLOCK_VALUES, 200])
+def test_kmeans_runs_match_single_runs(spark, monkeypatch, most):
+    monkeypatch.setattr(kmeans, "BLOCK_VALUES", most)  # 200: sums by a shuffle, runs in groups, starts from 66 rows
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(240, 3)).astype(np.float32).astype(float)
+    frame = vector_frame(spark, rows.tolist()).repartition(4)
+    found = kmeans.fit_kmeans(frame, k=5, restarts=4, tol=1e-12)
+    ordered = np.array([r["embedding"] for r in frame.orderBy(F.xxhash64("vec_id", F.lit(42)), "vec_id").limit(min(4096, most // 3)).collect()], dtype=float)
+    single = [lloyd(rows, kmeans.spread_starts(ordered, 5, np.random.default_rng(42 + run))) for run in range(4)]
+    assert found.costs == pytest.approx([cost for _, cost in single])
+    best = min(range(4), key=lambda run: single[run][1])
+    assert found.centres == pytest.approx(single[best][0]) and found.cost == min(found.costs)
+
+
+def test_kmeans_odd_rows(spark):
+    assert kmeans.kmeans(vector_frame(spark, [[1.0]]).limit(0)).collect() == []
+    same = vector_frame(spark, [[1.0, 2.0]] * 40).withColumn("other", F.lit("x"))
+    assert {r["cluster_id"] for r in kmeans.kmeans(same, restarts=2).collect()} == {0}
+    some = same.unionByName(same.limit(1).withColumn("embedding", F.lit(None).cast("array<float>")))
+    assert kmeans.kmeans(some, k=3, restarts=2).count() == 40
+    with pytest.raises(Exception, match="dimension"):
+        kmeans.kmeans(vector_frame(spark, [[1.0], [1.0, 2.0]]), k=2, restarts=2).collect()
 
 
 def top_rule(queries, candidates, k, method):

@@ -153,6 +153,17 @@ _PIECE = T.StructType(
 )
 
 
+def answer_pieces(lines: DataFrame, answer: str, order: str, value: str = "value") -> DataFrame:
+    """``text`` and ``done`` of every line that parses, next to ``answer`` and ``order``."""
+    parsed = lines.select(answer, order, parse_object(F.col(value), _PIECE).alias("p"))
+    return where_once(parsed, lambda row: row["p"].isNotNull()).select(
+        answer,
+        order,
+        F.coalesce("p.response", "p.message.content", F.lit("")).alias("text"),
+        F.coalesce("p.done", F.lit(False)).alias("done"),
+    )
+
+
 def fold_pieces(lines: DataFrame, answer: str, order: str, value: str = "value", piece_rows: int = 1000) -> DataFrame:
     """Answers put together from pieces, one JSON document per line, up to the first piece that is ``done``.
 
@@ -161,13 +172,7 @@ def fold_pieces(lines: DataFrame, answer: str, order: str, value: str = "value",
     ``piece_rows`` pieces is given in ``part`` rows of so many pieces each, counted from 0 in the order of the pieces, so an
     endless answer is never gathered in one place. ``pieces`` and ``finished`` are those of the whole answer.
     """
-    parsed = lines.select(answer, order, parse_object(F.col(value), _PIECE).alias("p"))
-    pieces = where_once(parsed, lambda row: row["p"].isNotNull()).select(
-        answer,
-        order,
-        F.coalesce("p.response", "p.message.content", F.lit("")).alias("text"),
-        F.coalesce("p.done", F.lit(False)).alias("done"),
-    )
+    pieces = answer_pieces(lines, answer, order, value)
     ends = pieces.where("done").groupBy(F.col(answer).alias("__of")).agg(F.min(order).alias("__end"))
     kept = pieces.join(ends, F.col(answer).eqNullSafe(F.col("__of")), "left")
     kept = kept.where(F.col("__end").isNull() | (F.col(order) <= F.col("__end")))

@@ -26,6 +26,8 @@ from sparkweft.operators.logs import (
 from sparkweft.operators.rows import with_prefix
 from sparkweft.operators.series import series_signals, trailing_mean
 from sparkweft.plans.registry import query, spread_table, table
+from sparkweft.staging import stage_path
+from sparkweft.streaming.answers import fold_stream, follow_last, last_version, open_answers
 
 
 @query(
@@ -280,8 +282,7 @@ def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.withColumns({**{n: F.round(n, 6) for n in seconds}, **{n: F.round(n, 2) for n in rates}})
 
 
-@query(
-    """
+_ANSWERS = """
     with pieces as (select * from conversations where turn % 5 <> 3),
     ends as (select conv_id, min(turn) as stop from pieces where length(text) > 1500 group by conv_id),
     kept as (select p.*, (row_number() over (partition by p.conv_id order by p.turn) - 1) // 3 as part,
@@ -289,19 +290,60 @@ def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
              from pieces p left join ends e on p.conv_id = e.conv_id where e.stop is null or p.turn <= e.stop)
     select conv_id, part, string_agg(text, '' order by turn) as text, pieces, finished::integer::bigint as finished
     from kept group by conv_id, part, pieces, finished
-    """
-)
-def answer_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers put together from pieces up to the end mark, skipping broken pieces."""
+"""
+
+
+def _answer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as pieces of answers in two forms, some of them broken; a long text ends its answer."""
     done = F.length("text") > 1500
     plain = F.to_json(F.struct(F.col("text").alias("response"), done.alias("done")))
     chat = F.to_json(F.struct(F.struct(F.col("text").alias("content")).alias("message"), done.alias("done")))
     line = F.when(F.col("turn") % 5 == 3, "{broken").when(F.col("turn") % 2 == 0, plain).otherwise(chat)
-    pieces = table(spark, sf_dir, "conversations").select("conv_id", "turn", line.alias("value"))
-    folded = fold_pieces(pieces, "conv_id", "turn", piece_rows=3)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", line.alias("value"))
+
+@query(_ANSWERS)
+def answer_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers put together from pieces up to the end mark, skipping broken pieces."""
+    folded = fold_pieces(_answer_lines(spark, sf_dir), "conv_id", "turn", piece_rows=3)
     return folded.withColumn("finished", F.col("finished").cast("int").cast("long"))
 
 
+def _arrivals(rows: DataFrame, order: str, cuts: int) -> DataFrame:
+    """The rows as a stream: written in ``cuts`` goes by their place in ``order``, each row of a key's goes in one file."""
+    spark, path = rows.sparkSession, stage_path(rows.sparkSession)
+    span = rows.agg(F.min(order).alias("low"), F.max(order).alias("high")).head()
+    step = 0 if span["low"] is None else (span["high"] - span["low"]) // cuts + 1
+    for cut in range(cuts if step else 1):
+        some = rows.where(F.col(order) - span["low"] >= cut * step).where(F.col(order) - span["low"] < (cut + 1) * step) if step else rows
+        some.repartition(rows.columns[0]).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 64).parquet(path)
+
+
+@query(_ANSWERS)
+def answer_fold_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers put together while their pieces arrive; those still open at the end are read from the state."""
+    folded = fold_stream(_arrivals(_answer_lines(spark, sf_dir), "turn", 2), "conv_id", "turn", piece_rows=3)
+    given, state = stage_path(spark), stage_path(spark)
+    folded.writeStream.format("parquet").option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start(
+        given
+    ).awaitTermination()
+    parts = spark.read.schema(folded.schema).parquet(given).unionByName(open_answers(spark, state, "conv_id"))
+    whole = parts.groupBy("conv_id").agg(
+        F.max("pieces").alias("pieces"), F.max(F.col("finished").cast("int")).cast("long").alias("finished")
+    )
+    return parts.select("conv_id", "part", "text").join(whole, "conv_id")
+
+
+@query("select event_type, user_id, max(event_id) as event_id, min(event_id) as first_position from events group by event_type, user_id")
+def keep_last_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last event of each type and user, kept while events arrive."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
+    given = stage_path(spark)
+    key = F.struct("event_type", "user_id")
+    follow_last(_arrivals(events, "event_id", 2), key, "event_id", given, stage_path(spark)).awaitTermination()
+    return last_version(spark, given)
+
+
 @query(
     """
     select o_orderkey, 'from ' || o_custkey::varchar as start_point, o_orderstatus as end_point, v as vehicle_no,

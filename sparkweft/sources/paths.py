@@ -38,6 +38,18 @@ def list_files(spark: SparkSession, directory: str) -> list[str]:
     return sorted(status.getPath().toString() for status in found if status.isFile())
 
 
+def list_folders(spark: SparkSession, directory: str) -> list[str]:
+    """Full paths of the folders directly in a directory, sorted by name; none if it is missing."""
+    fs, hadoop_path = _hadoop_path(spark, directory)
+    found = fs.listStatus(hadoop_path) if fs.exists(hadoop_path) else []
+    return sorted(status.getPath().toString() for status in found if status.isDirectory())
+
+
+def remove_folder(spark: SparkSession, directory: str) -> bool:
+    fs, hadoop_path = _hadoop_path(spark, directory)
+    return fs.delete(hadoop_path, True)
+
+
 def rename_file(spark: SparkSession, source: str, target: str) -> bool:
     fs, hadoop_path = _hadoop_path(spark, source)
     return fs.rename(hadoop_path, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target))

@@ -9,13 +9,13 @@ parts. A text is rejected when its transformed statistics lie too far out.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations_with_replacement
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkweft.llm.columns import column, others, packed, unpacked
@@ -166,50 +166,66 @@ def _chi_tail(value: float, dimensions: int) -> float:
     return 1 - NormalDist().cdf(((value / dimensions) ** (1 / 3) - (1 - spread)) / math.sqrt(spread))
 
 
-def robust_estimates(features: DataFrame) -> DataFrame:
-    """Estimates of the groups of ``features`` (``g``, ``f0..``): ``g``, ``n``, ``m`` and ``w``.
+def _with_estimates(features: DataFrame, estimates: DataFrame, few: bool) -> DataFrame:
+    """Rows of ``features`` with the estimate of their group; rows of groups without one are left out."""
+    if few:
+        return features.join(F.broadcast(estimates), "g")
+    # every text is in the widest group, so that one is never a key of the shuffle
+    widest = features.where("g = ''").join(F.broadcast(estimates.where("g = ''")), "g")
+    return widest.unionByName(features.where("g <> ''").join(estimates, "g"))
 
-    Groups are languages with sources and so few that a row for each can be held by the driver, as their estimates are; rows
-    never are. The bound is GROUPS_MOST, beyond which this raises.
+
+def robust_estimates(features: DataFrame) -> tuple[DataFrame, bool]:
+    """Estimates of the groups of ``features`` (``g``, ``f0..``) with at least ``MIN_GROUP`` rows and of the group of all rows
+    (``''``): ``g``, ``n``, ``m`` and ``w``; and whether these groups are few.
+
+    Sums by bin of distance are added up from the nearest bin on by a window, so a step gives one row per group, in a
+    written table; the driver gets no more than the largest move. Up to ``GROUPS_BROADCAST`` groups are broadcast, more are
+    joined by a shuffle.
     """
-    spark, size = features.sparkSession, len(FEATURES)
+    size = len(FEATURES)
     schema = "g string, n long, m array<double>, w array<double>"
-    middle = [F.percentile_approx(f"f{i}", 0.5, 1000).alias(f"s{i}") for i in range(size)]
-    start = features.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *middle).limit(GROUPS_MOST + 1).collect()
-    if len(start) > GROUPS_MOST:
-        raise ValueError(f"more than {GROUPS_MOST} groups of language and source")
+    middle = F.array(*[F.percentile_approx(f"f{i}", 0.5, 1000) for i in range(size)])
     scale = np.diag(1 / np.square(np.array(FIRST_DEVIATION))).ravel().tolist()
-    found = {r["g"]: (r["n"], [r[f"s{i}"] for i in range(size)], scale) for r in start}
+    start = features.groupBy("g").agg(F.count(F.lit(1)).alias("n"), middle.alias("m"), F.lit(scale).alias("w"))
+    found = stage(start.where((F.col("n") >= MIN_GROUP) | (F.col("g") == "")))
+    few = found.limit(GROUPS_BROADCAST + 1).count() <= GROUPS_BROADCAST
     products = [(i, j) for i, j in combinations_with_replacement(range(size), 2)]
-    sums = [F.sum(f"f{i}").alias(f"s{i}") for i in range(size)]
-    sums += [F.sum(F.col(f"f{i}") * F.col(f"f{j}")).alias(f"s{i}_{j}") for i, j in products]
+    summed = {f"s{i}": F.col(f"f{i}") for i in range(size)}
+    summed.update({f"s{i}_{j}": F.col(f"f{i}") * F.col(f"f{j}") for i, j in products})
+    names = list(summed)
+    nearest = Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                mean, weights = _estimate({"n": row["held"], **{name: row[name] for name in names}}, row["held"] / row["n"])
+                rows.append((row["g"], row["n"], mean, weights, max(abs(a - b) for a, b in zip(mean, row["m"], strict=True))))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = (pa.string(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["g", "n", "m", "w", "moved"]
+            )
+
     for _ in range(STEPS):
-        table = F.broadcast(spark.createDataFrame([(g, *e) for g, e in found.items()], schema))
-        far = features.join(table, "g").withColumn("d", _distance(F.struct("m", "w")))
+        far = _with_estimates(features, found, few).withColumn("d", _distance(F.struct("m", "w")))
         far = far.withColumn("bin", F.floor(F.log2(F.col("d") + 1e-6) * _BINS).cast("int"))
-        # sums by bin of distance: adding bins up from the nearest gives the sums over the support
-        bins = far.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n"), *sums).collect()
-        by_group: dict[str, list] = {}
-        for row in bins:
-            by_group.setdefault(row["g"], []).append(row)
-        moved = 0.0
-        for group, rows in by_group.items():
-            n, before, _ = found[group]
-            need, total = SUPPORT * n, dict.fromkeys(["n", *(f"s{i}" for i in range(size)), *(f"s{i}_{j}" for i, j in products)], 0.0)
-            for row in sorted(rows, key=lambda r: r["bin"]):
-                for name in total:
-                    total[name] += row[name]
-                if total["n"] >= need:
-                    break
-            mean, weights = _estimate(total, total["n"] / n)
-            moved = max(moved, max(abs(a - b) for a, b in zip(mean, before, strict=True)))
-            found[group] = (n, mean, weights)
-        if moved < 1e-3:
+        bins = far.groupBy("g", "bin").agg(
+            F.first("n").alias("n"), F.first("m").alias("m"), F.count(F.lit(1)).alias("rows"), *[F.sum(c).alias(n) for n, c in summed.items()]
+        )
+        added = bins.select("g", "n", "m", "rows", F.sum("rows").over(nearest).alias("held"), *[F.sum(n).over(nearest).alias(n) for n in names])
+        need = SUPPORT * F.col("n")
+        support = added.where((F.col("held") >= need) & (F.col("held") - F.col("rows") < need))
+        after = stage(support.drop("rows").mapInArrow(estimated, f"{schema}, moved double"))
+        moved = after.agg(F.max("moved").alias("moved")).head()["moved"]
+        found = after.drop("moved")
+        if moved is None or moved < 1e-3:
             break
-    return spark.createDataFrame([(g, *e) for g, e in found.items()], schema)
+    return found, few
 
 
-GROUPS_MOST = 20_000
+GROUPS_BROADCAST = 20_000  # rows of about 300 bytes
 
 
 def _names(lang: str, source: str) -> list[Column]:
@@ -242,15 +258,12 @@ def quality_rules(
     values = {f"f{i}": f for i, f in enumerate(_features(F.col("s")))}
     features = measured.where(F.col("s.n_words") > 0).select("gs", "s").withColumns(values)
     features = stage(features.select(F.explode("gs").alias("g"), *values))
-    estimates = robust_estimates(features)
-    table = F.broadcast(estimates)
+    estimates, few = robust_estimates(features)
     wide = measured.select("row", "gs", "s")
     for level in range(3):
-        own = table.select(
-            F.col("g").alias(f"g{level}"),
-            F.when(F.col("n") >= (0 if level == 2 else MIN_GROUP), F.struct("m", "w")).alias(f"e{level}"),
-        )
-        wide = wide.join(F.broadcast(own), F.col("gs")[level] == F.col(f"g{level}"), "left")
+        own = estimates.where("g = ''" if level == 2 else "g <> ''").select(F.col("g").alias(f"g{level}"), F.struct("m", "w").alias(f"e{level}"))
+        own = F.broadcast(own) if few or level == 2 else own
+        wide = wide.join(own, F.col("gs")[level] == F.col(f"g{level}"), "left")
     wide = wide.withColumn("e", F.coalesce("e0", "e1", "e2")).withColumns(values)
     distance = F.when(F.col("s.n_words") > 0, _distance(F.col("e")))
     failed = base_failed(F.col("s"))

@@ -14,13 +14,12 @@ from pyspark.sql import functions as F
 
 from sparkweft.functions.json_text import rewrite_members
 from sparkweft.functions.text import parent_name, swap_segment
-from sparkweft.operators.audit import audit_paths, nth_line, probe_marker, sample_has_member
+from sparkweft.operators.audit import audit_paths, member_facts, nth_line, probe_marker, sample_has_member
 from sparkweft.operators.cases import classify
 from sparkweft.operators.cluster import DEFAULT_THRESHOLD, leader_clusters
 from sparkweft.operators.diff import extract_features, feature_diff, line_diff
 from sparkweft.operators.encode import encode
 from sparkweft.operators.logs import params_records
-from sparkweft.operators.ordinal import with_ordinal
 from sparkweft.operators.rows import reorder_columns
 from sparkweft.sinks.files import (
     stable_part_names,
@@ -31,7 +30,7 @@ from sparkweft.sinks.files import (
     write_ragged_csv,
 )
 from sparkweft.sources.inventory import read_pictures
-from sparkweft.sources.paths import list_files, path_state
+from sparkweft.sources.paths import data_files, list_files, path_state
 from sparkweft.sources.text_files import PLACE, RECORD_FIELDS, RECORD_ORDER, read_lines, read_positional
 from sparkweft.staging import stage
 
@@ -102,17 +101,68 @@ def _path_states(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, s
         return list(pool.map(ask, dict.fromkeys(paths)))
 
 
+def _scanned(spark: SparkSession, files: dict[str, list[tuple[str, str]]], skip_broken: bool = False) -> dict[str, bool]:
+    """Whether a line of each directory has a wanted member: one scan over the files of all, one answer per directory."""
+    table = spark.createDataFrame(
+        [(directory, place) for directory, found in files.items() for _, place in found], "directory string, src_file string"
+    )
+    paths = sorted({path for found in files.values() for path, _ in found})
+    lines = read_lines(spark, paths, place=True, skip_broken=skip_broken)
+    facts = table.join(member_facts(lines, "src_file"), "src_file", "left").groupBy("directory").agg(
+        F.coalesce(F.bool_or("has_field"), F.lit(False)).alias("has_field")
+    )
+    return {row["directory"]: row["has_field"] for row in facts.collect()}
+
+
+def _scanned_to_the_end(spark: SparkSession, files: dict[str, list[tuple[str, str]]]) -> dict[str, bool | None]:
+    """As :func:`_scanned`, NULL where a file breaks off: a scan that fails is repeated for each half of its directories,
+    so every broken directory costs about twice the logarithm of their number in scans, the others nothing."""
+    if not files:
+        return {}
+    try:
+        return _scanned(spark, files)
+    except _UNREADABLE:
+        if len(files) == 1:
+            return dict.fromkeys(files)
+    names = sorted(files)
+    halves = names[: len(names) // 2], names[len(names) // 2 :]
+    return {
+        name: answer
+        for half in halves
+        for name, answer in _scanned_to_the_end(spark, {name: files[name] for name in half}).items()
+    }
+
+
+def _members_found(spark: SparkSession, directories: dict[str, str]) -> dict[str, bool | None]:
+    """``has_field`` of many directories by scans over all that are still open.
+
+    First one file of each is read, which answers most that have the member; then all files of the others, up to where
+    they break. A directory without a find is told to lack the member only if all its files were read to their end.
+    """
+    with ThreadPoolExecutor(_PARALLEL_DIRECTORIES) as pool:
+        ask = inheritable_thread_target(spark)(lambda place: (place[0], data_files(spark, place[1])))
+        files = dict(pool.map(ask, directories.items()))
+    answers: dict[str, bool | None] = {path: None if not found else False for path, found in files.items()}
+    for taken in (1, None):
+        open_files = {path: found[:taken] for path, found in files.items() if found and not answers[path]}
+        if open_files:
+            answers |= _scanned(spark, open_files, skip_broken=True)
+    lacking = {path: files[path] for path, found in answers.items() if found is False}
+    return answers | _scanned_to_the_end(spark, lacking)
+
+
 def audit_directories(
     spark: SparkSession, paths: Sequence[str], sample_lines: int | None = None
 ) -> DataFrame:
     """``path``, ``task_name``, ``path_exists`` and three-valued ``has_field`` of every path.
 
-    ``has_field`` looks at all lines of each directory until one has a wanted member, or at the first ``sample_lines`` if
-    given. It is NULL where there are no files to look at, and where a file can't be read before a member is found; the
-    other directories keep their answers.
+    ``has_field`` tells whether any line of a directory has a wanted member; all directories are scanned together. It is
+    NULL where there are no files to look at, and where none was found and a file can't be read to its end; the other
+    directories keep their answers. With ``sample_lines`` only the first lines of each directory count, which takes a job
+    for each that opens few files.
     """
     states = _path_states(spark, paths)
-    filled = [(path, full) for path, full, state in states if state == "directory"]
+    filled = {path: full for path, full, state in states if state == "directory"}
 
     def sampled(place: tuple[str, str]) -> tuple[str, bool | None]:
         try:
@@ -120,9 +170,11 @@ def audit_directories(
         except _UNREADABLE:
             return place[0], None
 
-    # One job per directory, which ends at its first match and fails alone; one answer per directory.
-    with ThreadPoolExecutor(_PARALLEL_DIRECTORIES) as pool:
-        found = dict(pool.map(inheritable_thread_target(spark)(sampled), filled))
+    if sample_lines is None:
+        found = _members_found(spark, filled)
+    else:
+        with ThreadPoolExecutor(_PARALLEL_DIRECTORIES) as pool:
+            found = dict(pool.map(inheritable_thread_target(spark)(sampled), filled.items()))
     requested = spark.createDataFrame([(path,) for path, _, _ in states], "path string")
     facts = spark.createDataFrame(
         [(path, found.get(path)) for path, _, state in states if state != "missing"], "path string, has_field boolean"
@@ -169,9 +221,14 @@ def probe_last_files(spark: SparkSession, paths: Sequence[str], line: int = 100,
 
 
 def export_params(spark: SparkSession, log_path: str, output_dir: str) -> DataFrame:
-    """Parameter records of a log as CSV, in the order their keys first occur."""
-    lines = with_ordinal(read_lines(spark, log_path, place=True), list(PLACE)).select("ordinal", "value")
-    records = stage(params_records(lines, "ordinal"))
+    """Parameter records of a log as CSV, in the order their keys first occur.
+
+    The place of a line, written so that it sorts as text, is its order; the log itself is neither sorted nor copied.
+    """
+    file, *numbers = PLACE
+    digits = [F.lpad(F.col(number).cast("string"), 19, "0") for number in numbers]
+    place = F.concat_ws("\u0000", file, *digits).alias("place")
+    records = stage(params_records(read_lines(spark, log_path, place=True).select(place, "value"), "place"))
     write_csv(records.orderBy("first_position").drop("first_position"), output_dir)
     return records
 

@@ -16,7 +16,7 @@ from sparkweft.functions.text import (
     with_scheme,
     zero_pad,
 )
-from sparkweft.operators.lookup import compare_replicas
+from sparkweft.operators.lookup import bucketed_store, compare_replicas, look_up_stores
 from sparkweft.operators.ordinal import with_chunk_id
 from sparkweft.operators.rows import (
     cast_columns,
@@ -309,8 +309,7 @@ def driver_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    """
+_LOOKUP_SQL = """
     select o_orderkey, 'cust' as dict, o_custkey::varchar as key,
            case when c_custkey % 7 <> 0 then c_name end as value_a,
            case when c_custkey % 5 = 0 then 'stale' else c_name end as value_b,
@@ -319,13 +318,14 @@ def driver_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
                      = case when c_custkey % 5 = 0 then 'stale' else c_name end end::integer::bigint as agree
     from orders left join customer on o_custkey = c_custkey
     """
-)
-def key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order's customer looked up in two replicas that differ."""
+
+
+def _replicas(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orders as requests for their customer, and two stores of customers: the first holds NULL for some keys, the second
+    an old value for others."""
     stored = table(spark, sf_dir, "customer").select(
         F.lit("cust").alias("dict"), F.col("c_custkey").cast("string").alias("key"), "c_custkey", "c_name"
     )
-    # The first replica holds NULL for some keys, the second an old value for others.
     replica_a = stored.select("dict", "key", F.when(F.col("c_custkey") % 7 != 0, F.col("c_name")).alias("value"))
     replica_b = stored.select(
         "dict", "key", F.when(F.col("c_custkey") % 5 == 0, "stale").otherwise(F.col("c_name")).alias("value")
@@ -333,7 +333,22 @@ def key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = table(spark, sf_dir, "orders").select(
         "o_orderkey", F.lit("cust").alias("dict"), F.col("o_custkey").cast("string").alias("key")
     )
-    found = compare_replicas(requests, replica_a, replica_b, ["dict", "key"])
+    return requests, replica_a, replica_b
+
+
+@query(_LOOKUP_SQL)
+def key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order's customer looked up in two replicas that differ."""
+    found = compare_replicas(*_replicas(spark, sf_dir), ["dict", "key"])
+    return found.withColumn("agree", F.col("agree").cast("int").cast("long"))
+
+
+@query(_LOOKUP_SQL)
+def key_lookup_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same look-up in replicas that are written as bucketed stores first."""
+    requests, *replicas = _replicas(spark, sf_dir)
+    stores = [bucketed_store(replica, ["dict", "key"], 8) for replica in replicas]
+    found = look_up_stores(requests, *stores, ["dict", "key"])
     return found.withColumn("agree", F.col("agree").cast("int").cast("long"))
 
 

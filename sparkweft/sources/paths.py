@@ -38,6 +38,25 @@ def list_files(spark: SparkSession, directory: str) -> list[str]:
     return sorted(status.getPath().toString() for status in found if status.isFile())
 
 
+def data_files(spark: SparkSession, directory: str) -> list[tuple[str, str]]:
+    """Files that a read of a directory takes in, each as the path to read and as the form ``_metadata.file_path`` gives it.
+
+    Names that begin with ``_`` or ``.`` are left out; folders named ``name=value`` are entered.
+    """
+    fs, hadoop_path = _hadoop_path(spark, directory)
+    found = []
+    for status in fs.listStatus(hadoop_path):
+        place = status.getPath()
+        name = place.getName()
+        if status.isDirectory():
+            if "=" in name:
+                found += data_files(spark, place.toString())
+        elif name[0] not in "._":
+            _, plain = _hadoop_path(spark, place.toString())  # the path as Spark itself will build it from the text
+            found.append((place.toString(), plain.toUri().toString()))
+    return sorted(found)
+
+
 def list_folders(spark: SparkSession, directory: str) -> list[str]:
     """Full paths of the folders directly in a directory, sorted by name; none if it is missing."""
     fs, hadoop_path = _hadoop_path(spark, directory)

@@ -26,12 +26,15 @@ RECORD_ORDER = ("images", *(name for name in RECORD_FIELDS[:24] if name != "imag
 PLACE = ("src_file", "src_block", "src_seq")
 
 
-def read_lines(spark: SparkSession, path: str | list[str], place: bool = False) -> DataFrame:
+def read_lines(
+    spark: SparkSession, path: str | list[str], place: bool = False, skip_broken: bool = False
+) -> DataFrame:
     """Lines of plain or gzipped files as ``value``; ``place`` adds where each line stands.
 
-    Sorting by ``src_file, src_block, src_seq`` gives file order.
+    Sorting by ``src_file, src_block, src_seq`` gives file order. With ``skip_broken`` a file that can't be read gives the
+    lines before its break only.
     """
-    lines = spark.read.text(path)
+    lines = spark.read.option("ignoreCorruptFiles", skip_broken).option("ignoreMissingFiles", skip_broken).text(path)
     if not place:
         return lines
     return lines.select(

@@ -336,6 +336,28 @@ def test_audit_job(spark, backup, tmp_path):
     assert jobs.audit_directories(spark, requested[3:4]).head()["path_exists"] is False
 
 
+def test_audit_of_many_directories_takes_few_jobs(spark, tmp_path):
+    wanted = {}
+    for i in range(200):
+        place = tmp_path / f"d {i}%41+"
+        member = feature_line("k", ["merge_field\tx" if i % 3 == 0 else "other\tx"]) + "\n"
+        write(place / "a", "plain\n" if i % 2 else member)
+        write(place / "b=1" / "b", member)
+        write(place / "_c", feature_line("k", ["merge_field\tx"]) + "\n")
+        wanted[str(place)] = i % 3 == 0
+    broken = str(tmp_path / "d 100%41+")
+    write(tmp_path / "d 100%41+" / "z.gz", b"no gzip file")
+    wanted[broken] = None
+    spark.sparkContext.setJobGroup("audit-many", "")
+    try:
+        rows = jobs.audit_directories(spark, list(wanted)).collect()
+    finally:
+        ran = len(spark.sparkContext.statusTracker().getJobIdsForGroup("audit-many"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r["path"]: r["has_field"] for r in rows} == wanted
+    assert 0 < ran < 100
+
+
 def test_probe_job(spark, tmp_path):
     write(tmp_path / "t" / "a", "merge_field\n")
     write(tmp_path / "t" / "b", "".join(f"{i}\n" for i in range(1, 150)).replace("100\n", "100 merge_field\n", 1))
@@ -369,6 +391,19 @@ def test_params_job(spark, tmp_path):
     assert len(rows[0]) == 28 and rows[0]["est_price"] == ""
 
 
+def test_params_job_keeps_the_order_of_files_and_lines(spark, tmp_path):
+    line = '{"params": {"image_url": "%s", "activity_detail_image_urls": "%s"}}\n'
+    for name, start in (("b.log", 50), ("a.log", 0), ("a.log.1", 20)):
+        write(tmp_path / "logs" / name, "".join(line % (f"{name}{i}", f"k{i}") for i in reversed(range(start, start + 60))))
+    jobs.export_params(spark, str(tmp_path / "logs"), str(tmp_path / "out"))
+    rows = list(csv.DictReader(io.StringIO(read_all(tmp_path / "out"))))
+    seen = {}
+    for name, start in (("a.log", 0), ("a.log.1", 20), ("b.log", 50)):
+        for i in reversed(range(start, start + 60)):
+            seen[f"k{i}"] = f"{name}{i}"
+    assert [(r["activity_detail_image_urls"], r["image_url"]) for r in rows] == list(seen.items())
+
+
 def test_reorder_job(spark, tmp_path):
     path = write(tmp_path / "in.tsv", '1\t2,2\t3\t4\t"5" \\\n\n6\n')
     jobs.reorder_positional(spark, path, str(tmp_path / "out"), ["a", "b", "c"], ["c", "a"])

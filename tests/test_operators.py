@@ -311,3 +311,18 @@ def test_nth_line(spark):
     df = spark.createDataFrame(lines, "f string, n int, value string").repartition(3)
     got = {r["f"]: (r["line_no"], r["status"]) for r in audit.probe_marker(audit.nth_line(df, ["f"], ["n"], 5)).collect()}
     assert got == {"f": (5, "absent"), "g": (1, "present")}
+
+
+def test_lookup_in_stores_equals_lookup_in_frames(spark):
+    keys = "dict string, key int"
+    a = spark.createDataFrame([("x", 1, "p"), ("x", 2, None), (None, 3, "q"), ('"', 4, "r"), ("y", 9, "s")], keys + ", value string")
+    b = spark.createDataFrame([("x", 1, "p"), ("x", 2, "n"), ('"', 4, "t"), ("z", 1, "u")], keys + ", value string")
+    asked = spark.createDataFrame(
+        [("x", 1, 0), ("x", 1, 1), ("x", 2, 2), (None, 3, 3), ('"', 4, 4), ("y", 9, 5), ("x", None, 6), ("no", 1, 7)], keys + ", n int"
+    )
+    stores = [lookup.bucketed_store(replica, ["dict", "key"], 3) for replica in (a, b)]
+    found = lookup.look_up_stores(asked, *stores, ["dict", "key"]).select("n", "dict", "key", "value_a", "value_b", "agree")
+    wanted = lookup.compare_replicas(asked, a, b, ["dict", "key"]).select(*found.columns)
+    assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect())) and found.count() == 8
+    nothing = [lookup.bucketed_store(replica.limit(0), ["dict", "key"], 3) for replica in (a, b)]
+    assert {(r["value_a"], r["agree"]) for r in lookup.look_up_stores(asked, *nothing, ["dict", "key"]).collect()} == {(None, True)}

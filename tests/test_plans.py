@@ -42,3 +42,11 @@ def test_top_rows_are_cut_before_the_shuffle(spark, name):
 
 def test_line_diff_has_one_shuffle(spark):
     assert plan(QUERIES["line_reconcile"](spark, SF_DIR)).count("Exchange hashpartitioning") == 1
+
+
+def test_stores_are_not_shuffled(spark):
+    text = plan(QUERIES["key_lookup_stores"](spark, SF_DIR))
+    shuffled = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
+    assert text.count("SortMergeJoin") >= 2 and text.count("Bucketed: true, ") == 2
+    # distinct keys of the requests, and at most both sides of the last join
+    assert len(shuffled) <= 3

@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
+from collections.abc import Callable
+from contextlib import suppress
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -40,32 +43,80 @@ GIVEN = {
     ("greek", "f"): "Άννα Βασιλική Ελένη Ιωάννα Μαρία Νίκη Σοφία Χριστίνα".split(),
     ("greek", ""): "Αλέξης Άγγελος Χαρά Φώτης".split(),
 }
+# Given names that tell a person without a form of address, if a capital name follows.
+KNOWN_GIVEN = {
+    "m": (
+        "Adam Alan Albert Alexander Andreas Andrew Anthony Antonio Arthur Benjamin Bernard Brian Bruno Carlos Charles Christian "
+        "Christopher Daniel David Edward Emil Eric Felix Fernando Francesco Frank George Giovanni Gustav Hans Harold Heinrich "
+        "Henry Hugo Jacques Jakob James Javier Jean Jonas Joseph Juan Julien Kevin Klaus Leon Louis Lukas Marcel Marek Mario "
+        "Martin Matthew Michael Miguel Nicolas Oscar Patrick Pedro Peter Philippe Pierre Piotr Richard Robert Simon Stefan Steven "
+        "Thomas Timothy Vincent Walter William Wolfgang John Paul"
+    ).split(),
+    "f": (
+        "Alice Amanda Andrea Angela Anna Barbara Beatrice Bertha Carla Carmen Caroline Catherine Charlotte Christine Clara Claire "
+        "Daniela Deborah Diana Dorothy Elena Elisabeth Elizabeth Emily Emma Flora Florence Gabriela Hannah Heidi Helen Helena Ingrid "
+        "Irene Isabel Jennifer Jessica Joanna Julia Karen Katarzyna Laura Linda Louise Lucia Margaret Maria Marie Martha Mary Monika "
+        "Nancy Natalie Olga Patricia Paula Rachel Rebecca Rosa Ruth Sandra Sarah Silvia Sofia Sophie Susan Teresa Ursula Valentina Vera"
+    ).split(),
+}
+# Words between the names of a person.
+PARTICLES = "al bin da de del della den der di do dos du la le ten ter van von zu".split()
+# Frequent Chinese surnames, characters of given names, and forms of address that follow a name.
+HAN_SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦方白邹孟熊秦邱江尹薛"
+HAN_GIVEN = "安博晨丹东芳峰刚光国海浩华佳建杰静军俊兰磊丽亮敏明娜宁平强青荣瑞珊涛婷伟文霞祥晓欣雪燕怡英勇玉云泽志"
+HAN_TITLES = {"先生": "m", "女士": "f", "小姐": "f"}
+# Calling codes of one and two digits; all others have three.
+SHORT_CODES = frozenset(
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+)
 SYLLABLES = {
     "latin": "ba ber den dor fal gan hol kel lan mar nor pel ros sel tan ver wil zan".split(),
     "cyrillic": "ба вер гор дан жел зор кол лан мар нев пол рос сел тав".split(),
     "greek": "βα γορ δαν ζελ καλ λαν μαρ νευ πολ ροδ σελ ταν".split(),
 }
 
-_EMAIL = r"(?P<email>[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
+_HOST = r"[A-Za-z0-9\u00C0-\u024F\u0370-\u052F-]+"  # other scripts stand without blanks beside an address
+_EMAIL = rf"(?P<email>[\w.%+-]+@{_HOST}(?:\.{_HOST})+)"
 _SECRET = (
     r"(?P<pem>-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----)"
-    r"|(?P<prefixed>(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[abp]-[A-Za-z0-9-]{10,}))"
+    r"|(?P<prefixed>(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[abp]-[A-Za-z0-9-]{10,}"
+    r"|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}))"
+    r"|(?:(?:[pP]assw(?:or)?d|PASSW(?:OR)?D)[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?P<password>[A-Za-z0-9_+/.\-!@#$%^&*]{8,}))"
     r"|(?:(?:[tT]oken|TOKEN|[sS]ecret|SECRET|[pP]assw(?:or)?d|PASSW(?:OR)?D|[kK]ey|KEY)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
     r"(?P<secret>(?=[A-Za-z_+/.\-]*[0-9])[A-Za-z0-9_+/.\-]{8,}={0,2}))"
 )
 _NUMBER_KINDS = (
     r"(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))",
-    r"(?P<ipv6>(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:]))",
+    r"(?P<ipv6>(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"
+    r"|(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){1,6}:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}(?![\w:]))",
     r"(?P<ip>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9]))",
     r"(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))",
     r"(?P<card>(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))",
     r"(?P<phone>(?<![0-9+])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
     r"|(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ -]?[0-9]{2,4}){2,4}(?![0-9]|\.[0-9])"
-    r"|(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9-]))",
+    r"|(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9-])"
+    r"|(?<![0-9+.,:/-])0[1-9][0-9]{1,3}[ /-][0-9]{5,8}(?![0-9]|[.,:/-][0-9])"
+    r"|(?<=[\u4e00-\u9fff：: ])1[3-9][0-9]{9}(?=[\u4e00-\u9fff，。；、]|\s*$))",
 )
 _NUMBERS = "|".join(_NUMBER_KINDS)
-_CAPITAL = r"[A-ZÀ-ÖØ-ÞΆ-ΏΑ-ΫЀ-Я][a-zß-öø-ÿά-ώа-я]+"
-_PERSON = rf"(?P<person>(?<!\w)(?:{'|'.join(TITLES)})\.? {_CAPITAL}(?:[ -]{_CAPITAL}){{0,2}}(?!\w))"
+
+
+def _ranges(test: Callable[[str], bool]) -> str:
+    """Characters of the scripts with case that pass a test, as the inside of a character class."""
+    codes = [code for code in range(0x41, 0x2E00) if test(chr(code))]
+    firsts = [code for code in codes if not test(chr(code - 1))]
+    lasts = [code for code in codes if not test(chr(code + 1))]
+    return "".join(f"\\u{first:04x}-\\u{last:04x}" for first, last in zip(firsts, lasts, strict=True))
+
+
+_LETTER, _UPPER = r"[^\W\d_]", f"[{_ranges(str.isupper)}]"
+_NAME = rf"{_UPPER}(?:{_LETTER}|['’](?!s(?!\w))(?={_LETTER}))+"  # also McDonald and O'Brien; a final 's stays outside
+_BETWEEN = rf"(?:{_UPPER}\. ?|(?:{'|'.join(PARTICLES)}) ){{0,3}}"  # initials and particles
+_PERSON = (
+    rf"(?P<person>(?<!\w)(?:{'|'.join(TITLES)})\.? {_BETWEEN}{_NAME}(?:[ -]{_BETWEEN}{_NAME}){{0,2}}(?!\w))"
+    rf"|(?P<named>(?<!\w)(?:{'|'.join(KNOWN_GIVEN['m'] + KNOWN_GIVEN['f'])}) {_BETWEEN}{_UPPER}{_LETTER}*[^\W\d_A-Z]{_LETTER}*(?!\w))"
+    rf"|(?P<han>[{HAN_SURNAMES}][\u4e00-\u9fff]{{0,2}}?)(?={'|'.join(HAN_TITLES)})"
+)
 _FIND = re.compile("|".join((_EMAIL, _SECRET, _NUMBERS, _PERSON)), re.UNICODE)
 _CHECKED = {re.match(r"\(\?P<(\w+)>", each).group(1): re.compile(each) for each in _NUMBER_KINDS}  # whose matches may be none
 
@@ -73,12 +124,20 @@ _CHECKED = {re.match(r"\(\?P<(\w+)>", each).group(1): re.compile(each) for each
 _USUAL_CARD = re.compile(r"(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9])")
 
 # Parts of the words that stand before a secret, and beginnings of secrets.
-_SIGNS = ("oken", "ecret", "assw", "key", "Key", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox", "BEGIN")
+_SIGNS = ("oken", "ecret", "assw", "key", "Key", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox", "BEGIN", "eyJ", *HAN_TITLES)
 _TITLE = (
-    r"[DFHMPSГΚ](?:rs?|s|iss|rof|errn?|rau|onsieur|adame|me|lle|eñora?|ra|осподин|оспожа|ύριος|υρία)\.? \p{Lu}"
+    r"[DFHMPSГΚ](?:rs?|s|iss|rof|errn?|rau|onsieur|adame|me|lle|eñora?|ra|осподин|оспожа|ύριος|υρία)\.? (?:\p{Lu}|\p{Ll}{2,5} )"
 )
 
 
+def _known_given() -> str:
+    """A pattern for known given names before another word, by first letter."""
+    by_first: dict[str, list[str]] = {}
+    for name in KNOWN_GIVEN["m"] + KNOWN_GIVEN["f"]:
+        by_first.setdefault(name[0], []).append(name[1:])
+    return "(?<![A-Za-z])(?:" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in sorted(by_first.items())) + r") \p{L}"
+
+
 def may_hold(text: Column) -> Column:
     """Whether a text can hold an entity at all, by searches that are far cheaper than those for entities. Whatever these
     find lets the text pass; every entity has one of them."""
@@ -87,8 +146,8 @@ def may_hold(text: Column) -> Column:
     for sign in signs:
         found = found | sign
     digits = text.rlike(r"[0-9][0-9 ().\-]{5,}[0-9]") | text.rlike("[A-Z][0-9][0-9]")
-    numbers = digits | (text.contains(":") & text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"))
-    return F.coalesce(found | numbers | text.rlike(_TITLE), F.lit(False))
+    numbers = digits | (text.contains(":") & text.rlike("[0-9A-Fa-f]:(?:[0-9A-Fa-f]{1,4}:|:[0-9A-Fa-f])"))
+    return F.coalesce(found | numbers | text.rlike(_TITLE) | text.rlike(_known_given()), F.lit(False))
 
 
 class Entity(NamedTuple):
@@ -117,22 +176,40 @@ def _digits(value: str) -> str:
 
 def _script(name: str) -> str:
     code = ord(name[0])
+    if 0x4E00 <= code < 0xA000:
+        return "han"
     return "cyrillic" if 0x400 <= code < 0x530 else "greek" if 0x370 <= code < 0x400 or 0x1F00 <= code < 0x2000 else "latin"
 
 
-def _people(found: str, at: int) -> list[Entity]:
-    title, names = found.split(" ", 1)
-    gender = TITLES[title.rstrip(".")]
-    parts = [(m.start(), m.group()) for m in re.finditer(r"[^ -]+", names)]
-    start = at + len(title) + 1
+def _people(names: str, gender: str, at: int) -> list[Entity]:
+    """The names of one person in a text from ``at``; the last word is the surname, in all its parts joined by hyphens. Initials and
+    particles are left as they are."""
+    words = [(m.start(), m.group()) for m in re.finditer(r"[^ ]+", names)]
+    words = [(start, word) for start, word in words if word not in PARTICLES]
     entities = []
-    for number, (offset, name) in enumerate(parts):
-        last = number == len(parts) - 1
-        kind = "surname" if last else f"given_{gender}" if gender else "given"
-        entities.append(Entity(start + offset, start + offset + len(name), kind, name))
+    for number, (start, word) in enumerate(words):
+        kind = "surname" if number == len(words) - 1 else f"given_{gender}" if gender else "given"
+        for part in re.finditer(r"[^.-]+(?![^-]*\.)", word):
+            entities.append(Entity(at + start + part.start(), at + start + part.end(), kind, part.group()))
     return entities
 
 
+def _named(kind: str, written: str, at: int) -> list[Entity]:
+    """The names in a match of a person, found by a form of address before or behind, or by a known given name."""
+    if kind == "han":
+        return [Entity(at, at + len(written), "surname", written)]
+    if kind == "person":
+        title, names = written.split(" ", 1)
+        return _people(names, TITLES[title.rstrip(".")], at + len(title) + 1)
+    return _people(written, "m" if written.split(" ", 1)[0] in KNOWN_GIVEN["m"] else "f", at)
+
+
+def _ipv6_holds(written: str) -> bool:
+    with suppress(ValueError):
+        return any(c.isdigit() for c in written) and ipaddress.IPv6Address(written) is not None
+    return False
+
+
 def _card_length(written: str, text: str, first: int) -> int:
     """Characters at the beginning that are a card, 0 if none are: the whole, else up to the end of a group of digits. Usual
     groupings and lengths come first, also one that begins at a later group, then the longest."""
@@ -165,7 +242,9 @@ def _checked(kind: str, written: str, text: str, first: int) -> tuple[int, str]:
         length = _card_length(written, text, first)
         return length, _digits(written[:length])
     if kind == "phone":
-        return len(written) * (8 <= len(_digits(written)) <= 15), _digits(written)
+        return len(written) * (8 <= len(_digits(written)) <= 15), "+" * written.startswith("+") + _digits(written)
+    if kind == "ipv6":
+        return len(written) * _ipv6_holds(written), written
     return len(written), _digits(written) if kind == "ssn" else written
 
 
@@ -180,8 +259,8 @@ def find_entities(text: str | None) -> list[Entity]:
         kind = next(k for k, v in m.groupdict().items() if v is not None)
         first, last = m.start(kind), m.end(kind)
         at = m.end()
-        if kind == "person":
-            found += _people(m.group(kind), first)
+        if kind in ("person", "named", "han"):
+            found += _named(kind, m.group(kind), first)
             continue
         length, value = _checked(kind, m.group(kind), text, first)
         if not length and kind in _CHECKED:  # another kind may begin at the same place
@@ -194,7 +273,7 @@ def find_entities(text: str | None) -> list[Entity]:
         elif kind in _CHECKED:
             at = first + length
         if length:
-            found.append(Entity(first, first + length, "secret" if kind in ("pem", "prefixed") else kind, value))
+            found.append(Entity(first, first + length, "secret" if kind in ("pem", "prefixed", "password") else kind, value))
     names = {e.value: e.kind for e in found if e.kind == "surname" or e.kind.startswith("given")}
     if names:  # the same names, mentioned without a form of address
         again = re.compile(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, names), reverse=True)) + r")(?!\w)")
@@ -241,25 +320,30 @@ class _Draw:
 
 
 def surrogate(kind: str, value: str, attempt: int, key: bytes) -> str:
-    """The ``attempt``-th surrogate of an entity."""
+    """The ``attempt``-th surrogate of an entity. Late attempts are wider, so that short entities don't run out of others."""
     draw = _Draw(key, kind, value, attempt)
+    wider = attempt // 16
     if kind == "email":
         local, domain = value.rsplit("@", 1)
         host, _, top = domain.rpartition(".")
-        return "".join(map(draw.like, local)) + "@" + "".join(map(draw.like, host)) + "." + top
+        return "".join(map(draw.like, local + "x" * wider)) + "@" + "".join(map(draw.like, host)) + "." + top
     if kind == "ip":
         return ".".join(str(1 + draw.below(254)) for _ in range(4))
     if kind == "card":
-        body = value[0] + "".join(map(draw.like, value[1:-1]))
+        body = value[0] + "".join(map(draw.like, value[1:-1] + "0" * wider))
         return next(body + d for d in "0123456789" if luhn(body + d))
     if kind == "phone":
-        return value[:1] + "".join(map(draw.like, value[1:]))
+        start = next((n for n in (2, 3) if value[1:n] in SHORT_CODES), 4) if value.startswith("+") else 1
+        return value[:start] + "".join(map(draw.like, value[start:] + "0" * wider))
     if kind == "iban":
         body = "".join(map(draw.like, value[4:]))
         rest = int("".join(str(int(c, 36)) for c in body + value[:2] + "00")) % 97
         return f"{value[:2]}{98 - rest:02d}{body}"
     if kind == "surname" or kind.startswith("given"):
         script = _script(value)
+        if script == "han":
+            given = "".join(HAN_GIVEN[draw.below(len(HAN_GIVEN))] for _ in range(len(value) - 1 + attempt // 4))
+            return HAN_SURNAMES[draw.below(len(HAN_SURNAMES))] + given
         if kind == "surname":
             syllables = SYLLABLES[script]
             return "".join(syllables[draw.below(len(syllables))] for _ in range(3 + attempt // 4)).capitalize()
@@ -269,16 +353,17 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes) -> str:
     if value.startswith("-----BEGIN"):
         head, body, foot = re.fullmatch(r"(-----BEGIN[^\n]*?-----)([\s\S]*)(-----END.*)", value).groups()
         return head + "".join(map(draw.like, body)) + foot
-    fixed = re.match(r"AKIA|gh[pousr]_|sk-|xox[abp]-", value)
+    fixed = re.match(r"AKIA|gh[pousr]_|sk-|xox[abp]-|eyJ", value)
     start = fixed.end() if fixed else 0
-    return value[:start] + "".join(draw.like(c, hexadecimal) for c in value[start:])
+    more = "" if kind == "ipv6" else ("0" if kind == "ssn" else "x") * wider
+    return value[:start] + "".join(draw.like(c, hexadecimal) for c in value[start:] + more)
 
 
 def written_like(kind: str, written: str, new: str) -> str:
     """The surrogate in the form in which the entity was written."""
     if kind in ("card", "phone", "ssn"):
-        digits = iter(new)
-        return "".join(next(digits) if c.isascii() and c.isdigit() else c for c in written)
+        digits = iter(_digits(new))
+        return "".join(next(digits) if c.isascii() and c.isdigit() else c for c in written) + "".join(digits)
     if kind == "iban" and " " in written:
         chars = iter(new)
         return "".join(c if c == " " else next(chars) for c in written)

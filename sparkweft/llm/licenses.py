@@ -1,4 +1,4 @@
-"""License scan: sparse TF-IDF cosine of lines and whole files to license templates, and inheritance along directories.
+"""License scan: sparse TF-IDF cosine of lines, paragraphs and whole files to license templates, and inheritance along directories.
 
 Terms are weighted by how few templates hold them, a term in no template most; function words are no terms. Only a passage with one of the anchor terms
 can reach the least cosine: anchors are chosen so that, for every template, all other terms together stay below it. So the
@@ -12,7 +12,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +45,42 @@ TEMPLATES = (
 )
 
 
+# Whole license texts, and titles of long ones, as they stand in license files.
+FILE_TEMPLATES = (
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to
+use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
+Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice
+shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF
+ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE
+AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY,
+WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+DEALINGS IN THE SOFTWARE."""),
+    ("BSD-3-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list
+of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived
+from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND
+CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE
+LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
+OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+)
+# Fixed value: names of files that hold a license.
+LICENSE_NAME = r"(?i)^(?:licen[cs]e|copying|notice|unlicense)(?:[._-].*)?$"
+
+# A line without ASCII letters and digits, such as a blank one or one of comment marks, ends a paragraph.
+_PARAGRAPH_END = r"\n[^A-Za-z0-9\n]*\n"
+
 # Function words, which are no terms.
 STOP_WORDS = frozenset(
     "a also an and any are as at be but by can do either for from has have if in is it its may met no not of on or other so such "
@@ -79,6 +116,11 @@ class Model:
                     anchors.add(term)
                     rest -= vector[term] ** 2
         self.anchors = sorted(anchors)
+        # Terms that a passage can't share with a template count for nothing, so it must hold this many of the template's.
+        self.needed = []
+        for vector in self.vectors:
+            reached, masses = 0.0, sorted((v * v for v in vector.values()), reverse=True)
+            self.needed.append(next(n for n, mass in enumerate(masses, 1) if (reached := reached + mass) >= (least - 1e-3) ** 2))
 
 
 def _has_anchor(text: Column, model: Model) -> Column:
@@ -86,14 +128,41 @@ def _has_anchor(text: Column, model: Model) -> Column:
     return F.coalesce(text.rlike(pattern), F.lit(False))
 
 
-def direct_licenses(texts: DataFrame, model: Model) -> DataFrame:
+def _holds_enough(text: Column, model: Model) -> Column:
+    """Whether a passage holds as many different terms of a template as the least cosine takes."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), 1))
+
+    def enough(held: Column) -> Column:
+        each = [
+            F.size(F.array_intersect(held, F.array(*map(F.lit, sorted(vector))))) >= needed
+            for vector, needed in zip(model.vectors, model.needed, strict=True)
+        ]
+        return reduce(lambda a, b: a | b, each)
+
+    return F.exists(F.array(words), enough)  # one element, so that the words are found once
+
+
+def _passages(text: Column, model: Model) -> Column:
+    """Lines, paragraphs of several lines, and the whole, as structs of text and ``whole``; parts only with an anchor."""
+    lines, paragraphs = F.split(text, "\n", -1), F.split(text, _PARAGRAPH_END, -1)
+    parts = F.concat(lines, F.filter(paragraphs, lambda part: part.contains("\n")))
+    marked = F.transform(F.filter(parts, lambda part: _has_anchor(part, model)), lambda part: F.struct(part.alias("t"), F.lit(False).alias("whole")))
+    return F.concat(marked, F.array(F.struct(text.alias("t"), F.lit(True).alias("whole"))))
+
+
+def _openings(text: Column, model: Model) -> Column:
+    """The whole and its first paragraph, either of which may show that a text is a license file."""
+    first = F.get(F.split(F.regexp_replace(text, r"^[^A-Za-z0-9]+", ""), _PARAGRAPH_END, 2), F.lit(0))
+    parts = F.filter(F.array(text, first), lambda part: _has_anchor(part, model))
+    return F.transform(parts, lambda part: F.struct(part.alias("t"), F.lit(True).alias("whole")))
+
+
+def direct_licenses(texts: DataFrame, model: Model, passages_of: Callable[[Column, Model], Column] = _passages) -> DataFrame:
     """For ``id`` and ``text``: the best template of each text with a passage that reaches the least cosine (``license``,
-    ``cosine``), and whether the text as a whole does (``whole``). Passages are the lines and the whole."""
+    ``cosine``), and whether the text as a whole does (``whole``). Passages are the lines, paragraphs and the whole."""
     spark = texts.sparkSession
-    lines = F.transform(F.filter(F.split("text", "\n", -1), lambda line: _has_anchor(line, model)), lambda line: F.struct(line.alias("t"), F.lit(False).alias("whole")))
-    whole = F.array(F.struct(F.col("text").alias("t"), F.lit(True).alias("whole")))
-    passages = texts.where(_has_anchor(F.col("text"), model)).select("id", F.posexplode(F.concat(lines, whole)).alias("at", "p"))
-    passages = passages.repartition("id", "at")  # terms of a passage are then summed where they are found
+    passages = texts.where(_has_anchor(F.col("text"), model)).select("id", F.posexplode(passages_of(F.col("text"), model)).alias("at", "p"))
+    passages = passages.where(_holds_enough(F.col("p.t"), model)).repartition("id", "at")  # terms of a passage are then summed where they are found
     found = passages.select("id", "at", "p.whole", F.explode(F.regexp_extract_all(F.lower("p.t"), F.lit(f"({TERM})"), 1)).alias("term"))
     found = found.where(~F.col("term").isin(*sorted(STOP_WORDS)))
     counts = found.groupBy("id", "at", "whole", "term").agg(F.count(F.lit(1)).alias("n"))
@@ -132,30 +201,40 @@ def inherited(files: DataFrame, owners: DataFrame) -> DataFrame:
 
 
 def scan_licenses(
-    df: DataFrame, path: Column, text: str = "text", carry: Sequence[str] | None = None, model: Model | None = None
+    df: DataFrame, path: Column, text: str = "text", carry: Sequence[str] | None = None, model: Model | None = None,
+    file_model: Model | None = None,
 ) -> DataFrame:
     """Every row with ``path``, ``license``, ``cosine``, ``evidence`` (``file``, ``header``, ``inherited`` or ``none``) and
     ``origin`` (the directory an inherited license comes from). ``carry`` names the columns to keep, all of them if None.
 
-    A text that as a whole is close to a template is a license file and speaks for its directory; a line that is gives the
-    text a header of its own. Of several license files in a directory the one with the greatest cosine, then the name that
+    A text is a license file and speaks for its directory if it is close as a whole to a template or a license text, if its first
+    paragraph is close to the title of one, or if its name says so and a passage is close. Otherwise a line or paragraph that is
+    close gives the text a header of its own. Of several license files in a directory the one with the greatest cosine, then the name that
     sorts first, counts. A null or empty text has no license of its own; a null path lies in no directory. Ties between
     templates go to the first. Repeated rows are scanned each. No rows give no rows. Columns named like results are replaced.
     """
-    model = model or Model()
+    model, file_model = model or Model(), file_model or Model(FILE_TEMPLATES)
     names = [c for c in others(df, "path", "license", "cosine", "evidence", "origin") if carry is None or c in carry]
     held = F.struct(*[column(c) for c in names], F.lit(0).alias("__filler"))
     rows = stage(
         df.select(held.alias("row"), path.alias("path"), F.monotonically_increasing_id().alias("id"),
-                  F.when(_has_anchor(column(text), model), column(text)).alias("text"))
+                  F.when(_has_anchor(column(text), model) | _has_anchor(column(text), file_model), column(text)).alias("text"))
+    )
+    texts = rows.where(F.col("text").isNotNull()).select("id", "text")
+    found = direct_licenses(texts, model).withColumn("as_file", F.lit(False)).unionByName(
+        direct_licenses(texts, file_model, _openings).withColumn("as_file", F.lit(True))
+    )
+    # What a text is as a file counts before what it says in passing.
+    direct = stage(
+        found.groupBy("id").agg(
+            F.max_by(F.struct("license", "cosine"), F.col("as_file")).alias("best"), F.bool_or("whole").alias("whole")
+        ).select("id", "best.*", "whole")
     )
-    direct = stage(direct_licenses(rows.where(F.col("text").isNotNull()).select("id", "text"), model))
-    known = stage(rows.drop("text").join(direct, "id", "left"))
-    owner = F.struct(F.col("cosine"), F.col("license").alias("license"))
+    named = F.coalesce(F.regexp_extract("path", "([^/]*)$", 1).rlike(LICENSE_NAME), F.lit(False))
+    known = stage(rows.drop("text").join(direct, "id", "left").withColumn("whole", F.col("whole") | (F.col("license").isNotNull() & named)))
     files = known.where("whole").where(F.col("path").isNotNull()).withColumn("directory", parent(F.col("path")))
-    owners = files.groupBy("directory").agg(F.max("cosine").alias("most"), F.collect_set(owner).alias("all"))
-    first = F.array_min(F.transform(F.filter("all", lambda o: o["cosine"] == F.col("most")), lambda o: o["license"]))
-    owners = stage(owners.select("directory", first.alias("license")))
+    first = F.min(F.struct((-F.col("cosine")).alias("order"), F.col("license").alias("license")))
+    owners = stage(files.groupBy("directory").agg(first.alias("first")).select("directory", "first.license"))
     open_files = known.where(F.col("license").isNull() & F.col("path").isNotNull()).select("id", "path")
     came = inherited(open_files, owners).withColumnRenamed("license", "from_above")
     evidence = (

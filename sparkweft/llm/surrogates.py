@@ -135,7 +135,7 @@ def _known_given() -> str:
     by_first: dict[str, list[str]] = {}
     for name in KNOWN_GIVEN["m"] + KNOWN_GIVEN["f"]:
         by_first.setdefault(name[0], []).append(name[1:])
-    return "(?<![A-Za-z])(?:" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in sorted(by_first.items())) + r") \p{L}"
+    return "(?=[A-Z])(?<![A-Za-z])(?:" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in sorted(by_first.items())) + r") \p{L}"
 
 
 def may_hold(text: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 from typing import NamedTuple
 
 import numpy as np
@@ -99,10 +100,13 @@ def _step(points: DataFrame, tasks: int, centres: dict[int, np.ndarray]) -> dict
     return totals
 
 
-def _converged(points: DataFrame, tasks: int, centres: dict[int, np.ndarray], max_iter: int, tol: float) -> dict[int, float]:
-    """Moves the centres of all runs until no centre of a run moves by more than ``tol``, and gives the cost of each run."""
+def _converged(
+    points: DataFrame, tasks: int, centres: dict[int, np.ndarray], max_iter: int | None, tol: float
+) -> dict[int, float]:
+    """Moves the centres of all runs until no centre of a run moves by more than ``tol`` (or ``max_iter`` steps are taken,
+    if given), and gives the cost of each run."""
     moving = set(centres)
-    for _ in range(max_iter):
+    for _ in count() if max_iter is None else range(max_iter):
         if not moving:
             break
         for run, totals in _step(points, tasks, {run: centres[run] for run in sorted(moving)}).items():
@@ -122,13 +126,14 @@ def fit_kmeans(
     k: int | None = None,
     seed: int = 42,
     restarts: int = 10,
-    max_iter: int = 300,
+    max_iter: int | None = 300,
     tol: float = 1e-4,
 ) -> KMeansGroups:
     """Centres of the cheapest of ``restarts`` runs of k-means over all vectors that are not NULL.
 
     All runs advance together: a step is one scan, which sends the centres of every run that still moves to the tasks and
-    sums rows by run and cluster there; a run drops out once none of its centres moves by more than ``tol``. Only centres
+    sums rows by run and cluster there; a run drops out once none of its centres moves by more than ``tol``, or after
+    ``max_iter`` steps; with ``max_iter`` None every run goes on until it has ended (Lloyd's steps end). Only centres
     reach the driver. If those of all runs are more than ``BLOCK_VALUES`` components, runs go in groups that fit.
 
     Each run starts from ``k`` rows drawn by their distance to each other from ``START_ROWS`` rows, those with the lowest

@@ -195,7 +195,7 @@ def kmeans_optimum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """That k-means ended: no vector has a nearer centre than its own, each centre is the mean of its vectors, the cost is
     the sum of squared distances and the least of all runs. Distances and means are taken anew by built-in functions."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    found = fit_kmeans(vectors, tol=1e-9)
+    found = fit_kmeans(vectors, tol=1e-9, max_iter=None)  # ended: no step cut
     grouped = vectors.join(nearest_centres(vectors, found.centres), "vec_id")
     ids = list(range(len(found.centres)))  # at most ten
     square = lambda x, c: (x.cast("double") - c) * (x.cast("double") - c)

@@ -126,6 +126,18 @@ def test_kmeans_runs_match_single_runs(spark, monkeypatch, most):
     assert found.centres == pytest.approx(single[best][0]) and found.cost == min(found.costs)
 
 
+
+def test_kmeans_without_step_limit_ends(spark):
+    rng = np.random.default_rng(7)
+    rows = rng.normal(size=(300, 2)).astype(np.float32).astype(float)
+    frame = vector_frame(spark, rows.tolist()).repartition(3)
+    ordered = np.array([r["embedding"] for r in frame.orderBy(F.xxhash64("vec_id", F.lit(42)), "vec_id").collect()], dtype=float)
+    ended, cost = lloyd(rows, kmeans.spread_starts(ordered, 6, np.random.default_rng(42)))
+    cut = kmeans.fit_kmeans(frame, k=6, restarts=1, max_iter=2, tol=0.0)
+    assert cut.centres != pytest.approx(ended)  # two steps do not end it: a limit leaves centres that are no means
+    found = kmeans.fit_kmeans(frame, k=6, restarts=1, max_iter=None, tol=0.0)
+    assert found.centres == pytest.approx(ended) and found.cost == pytest.approx(cost)
+
 def test_kmeans_odd_rows(spark):
     assert kmeans.kmeans(vector_frame(spark, [[1.0]]).limit(0)).collect() == []
     same = vector_frame(spark, [[1.0, 2.0]] * 40).withColumn("other", F.lit("x"))

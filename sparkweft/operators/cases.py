@@ -2,24 +2,44 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sparkweft.operators.blocks import VectorBlock, matrix, row_slices, score, vector_blocks
+from sparkweft.operators.blocks import matrix, row_slices, score
 from sparkweft.operators.ordinal import with_group_ordinal, with_ordinal
-from sparkweft.operators.similarity import best_per_row, each_block, rank_top
+from sparkweft.operators.similarity import best_per_row, rank_top
 
 # Fixed value: the class of items no case is close enough to.
 UNCLASSIFIED = "未分类"
 EMPTY_CLASS_SCORE = -1.0
 MAX_LIBRARY_BLOCK = 50_000
+ITEM_BLOCK = 8192
+SAMPLE_BLOCKS_PER_TASK = 64
+MERGE_EVERY = 16
+
+
+def _block_count(rows: int, max_rows: int) -> int:
+    """Hash buckets of about four fifths of a block each."""
+    return max(1, -(-5 * rows // (4 * max_rows)))
+
+
+def _packed(df: DataFrame, key: str, columns: list[str], max_rows: int, name: str) -> tuple[DataFrame, int]:
+    """Rows as blocks of at most ``max_rows``: one row per block with column ``block`` and the rows as list ``name``.
+    Rows go to hash buckets by ``key``; a bucket that is too full is cut in numbered pieces."""
+    rows = df.count()
+    bucket = F.pmod(F.xxhash64(key), F.lit(_block_count(rows, max_rows)))
+    numbered = df.withColumn("__bucket", bucket).withColumn(
+        "__piece", F.floor((F.row_number().over(W.partitionBy("__bucket").orderBy(key)) - 1) / max_rows)
+    )
+    packed = numbered.groupBy("__bucket", "__piece").agg(F.collect_list(F.struct(*columns)).alias(name))
+    return packed.select(F.concat_ws("-", "__bucket", "__piece").alias("block"), name), rows
 
 
 def _class_scores(vectors: np.ndarray, samples: np.ndarray, owner: np.ndarray, classes: int) -> np.ndarray:
@@ -34,6 +54,46 @@ def _class_scores(vectors: np.ndarray, samples: np.ndarray, owner: np.ndarray, c
     return best
 
 
+def _block_best(
+    vectors: np.ndarray, case_no: pa.Array, samples: np.ndarray, top_k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Item rows, case numbers and scores of the ``top_k`` best classes of each item within one block of samples."""
+    cases, owner = np.unique(case_no.to_numpy(zero_copy_only=False).astype(np.int64), return_inverse=True)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for part in row_slices(len(vectors), max(len(samples), len(cases))):
+        scores = _class_scores(vectors[part], samples, owner, len(cases))
+        rows, cols = best_per_row(scores, top_k)
+        found.append((rows + part.start, cases[cols], scores[rows, cols]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(column) for column in zip(*found))  # type: ignore[return-value]
+
+
+def _merged(
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], top_k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Best score of each item and class over several blocks, cut to the ``top_k`` best classes of each item (ties to
+    the lower ``case_no``), with their ranks."""
+    rows, cases, scores = (np.concatenate(column) for column in zip(*found))
+    order = np.lexsort((-scores, cases, rows))
+    rows, cases, scores = rows[order], cases[order], scores[order]
+    first = np.r_[True, (np.diff(rows) != 0) | (np.diff(cases) != 0)]
+    rows, cases, scores = rows[first], cases[first], scores[first]
+    order = np.lexsort((cases, -scores, rows))
+    rows, cases, scores = rows[order], cases[order], scores[order]
+    ranks = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") + 1
+    keep = ranks <= top_k
+    return rows[keep], cases[keep], scores[keep], ranks[keep]
+
+
+def _batch(
+    ids: pa.Array, rows: np.ndarray, cases: np.ndarray, scores: np.ndarray, ranks: np.ndarray, schema: pa.Schema
+) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [ids.take(pa.array(rows)), pa.array(cases), pa.array(scores), pa.array(ranks)], schema=schema
+    )
+
+
 def nearest_classes(
     items: DataFrame,
     library: DataFrame,
@@ -45,8 +105,8 @@ def nearest_classes(
     """The ``top_k`` best classes of every item: ``item``, ``case_no``, ``case_name``, ``similarity``, ``rank``.
 
     A class scores its best sample; a class without vectors scores -1. Ties go to the lower ``case_no``. Items
-    without vector are left out. A block of samples is sent to every task, which emits only the best classes of its
-    items; a larger library is met block after block, each in one scan of the items.
+    without vector are left out. Items and samples are met block by block in Spark tasks, at most ``max_library_block``
+    samples at a time; nothing of the library passes through the driver.
     """
     items = items.where(F.col(vector).isNotNull()).select(item, vector)
     names = library.select("case_no", "case_name").distinct()
@@ -63,19 +123,37 @@ def nearest_classes(
     )
     arrow_schema = to_arrow_schema(schema)
 
-    def met(block: VectorBlock) -> tuple[DataFrame, Broadcast]:
-        cases, owner = np.unique(block.columns["case_no"].astype(np.int64), return_inverse=True)
-        held = items.sparkSession.sparkContext.broadcast((cases, block.vectors, owner))
-
-        def nearest(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-            for batch in batches:
-                yield from _best_classes(batch.column(item), batch.column(vector), *held.value, top_k, arrow_schema)
-
-        return items.mapInArrow(nearest, schema).select(item, "case_no", "similarity"), held
-
-    # The block that holds a class's best sample ranks the class at least as high as it ranks overall, so the best classes
-    # of each block are enough. Of classes without vectors, all of which score the same, the first few are.
-    partial = each_block(vector_blocks(samples, "sample", "embedding", max_library_block), met)
+    def nearest(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        # A task meets one item block after another, each with all sample blocks of the task; the best classes of
+        # every sample block are merged before the item block is left, so a task emits at most top_k rows per item.
+        held, ids, vectors, found = None, None, None, []
+        for batch in batches:
+            for row in range(batch.num_rows):
+                block = batch.column("item_block")[row].as_py()
+                if block != held:
+                    if found:
+                        yield _batch(ids, *_merged(found, top_k), arrow_schema)
+                    mine = batch.column("items")[row].values
+                    held, ids, vectors, found = block, mine.field(item), matrix(mine.field(vector)), []
+                theirs = batch.column("samples")[row].values
+                found.append(_block_best(vectors, theirs.field("case_no"), matrix(theirs.field("embedding")), top_k))
+                if len(found) >= MERGE_EVERY:
+                    found = [_merged(found, top_k)[:3]]
+        if found:
+            yield _batch(ids, *_merged(found, top_k), arrow_schema)
+
+    # Items and samples are packed into blocks of bounded rows; Spark pairs every item block with every sample block
+    # (a cartesian product of a few partitions on each side, no broadcast). The block that holds a class's best sample
+    # ranks the class at least as high as it ranks overall, so the best classes of each block are enough. Of classes
+    # without vectors, all of which score the same, the first few are.
+    item_blocks, item_count = _packed(items, item, [item, vector], ITEM_BLOCK, "items")
+    sample_blocks, sample_count = _packed(samples, "sample", ["case_no", "embedding"], max_library_block, "samples")
+    item_blocks = item_blocks.withColumnRenamed("block", "item_block").repartition(_block_count(item_count, ITEM_BLOCK))
+    sample_blocks = sample_blocks.drop("block").repartition(
+        max(1, -(-_block_count(sample_count, max_library_block) // SAMPLE_BLOCKS_PER_TASK))
+    )
+    pairs = item_blocks.crossJoin(sample_blocks.hint("shuffle_replicate_nl"))
+    partial = pairs.mapInArrow(nearest, schema).select(item, "case_no", "similarity")
     bare = names.select("case_no").join(samples, "case_no", "left_anti").distinct().orderBy("case_no").limit(top_k)
     empty = [row["case_no"] for row in bare.collect()]
     if empty:
@@ -86,32 +164,6 @@ def nearest_classes(
     return best.join(names, "case_no", "left").select(item, "case_no", "case_name", "similarity", "rank")
 
 
-def _best_classes(
-    ids: pa.Array,
-    vectors: pa.Array | pa.ChunkedArray,
-    cases: np.ndarray,
-    samples: np.ndarray,
-    owner: np.ndarray,
-    top_k: int,
-    schema: pa.Schema,
-) -> Iterator[pa.RecordBatch]:
-    """Best classes of each item, in slices that bound the score matrix."""
-    if not len(cases):
-        return
-    items = matrix(vectors)
-    for part in row_slices(len(ids), max(len(samples), len(cases))):
-        scores = _class_scores(items[part], samples, owner, len(cases))
-        rows, cols = best_per_row(scores, top_k)
-        ranks = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") + 1
-        found = [
-            ids.slice(part.start).take(pa.array(rows)),
-            pa.array(cases[cols]),
-            pa.array(scores[rows, cols]),
-            pa.array(ranks),
-        ]
-        yield pa.RecordBatch.from_arrays(found, schema=schema)
-
-
 def classify(
     items: DataFrame, library: DataFrame, threshold: float = 0.0, item: str = "item_id", vector: str = "embedding"
 ) -> DataFrame:

@@ -233,6 +233,25 @@ def test_nearest_classes_equal_brute_force(spark, sizes, k):
     assert got == class_rule(items, classes, k)
 
 
+def test_nearest_classes_keep_the_library_off_the_driver(spark, monkeypatch):
+    rnd = random.Random(9)
+    classes = [(f"c{n}", list(unit_rows(rnd.randint(3, 9), 4, 40 + n))) for n in range(6)]
+    items = unit_rows(23, 4, 78)
+    library = library_frame(spark, classes)
+
+    def refused(self, *args, **kwargs):
+        raise AssertionError("a frame of vectors was taken to the driver")
+
+    monkeypatch.setattr(type(library), "toArrow", refused)
+    frame = cases.nearest_classes(vector_frame(spark, items, "item_id"), library, 3, max_library_block=4)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    got = {}
+    for r in frame.orderBy("item_id", "rank").collect():
+        got.setdefault(r["item_id"], []).append(r["case_no"])
+    assert got == class_rule(items, classes, 3)
+
+
 def test_classify_below_threshold_without_vector_and_without_library(spark):
     library = library_frame(spark, [("a", [[1.0, 0.0]]), ("b", [[0.0, 1.0]])])
     items = vector_frame(spark, [[1.0, 0.0], [0.0, -1.0], None], "item_id")

@@ -142,17 +142,20 @@ def nearest_classes(
         if found:
             yield _batch(ids, *_merged(found, top_k), arrow_schema)
 
-    # Items and samples are packed into blocks of bounded rows; Spark pairs every item block with every sample block
-    # (a cartesian product of a few partitions on each side, no broadcast). The block that holds a class's best sample
-    # ranks the class at least as high as it ranks overall, so the best classes of each block are enough. Of classes
-    # without vectors, all of which score the same, the first few are.
+    # Items and samples are packed into blocks of bounded rows. Item blocks fall into parts i and sample blocks into a
+    # few parts j; each block is copied to every part of the other side, and a join on (i, j) pairs every item block
+    # with every sample block, no broadcast. The block that holds a class's best sample ranks the class at least as high
+    # as it ranks overall, so the best classes of each block are enough. Of classes without vectors, all of which score
+    # the same, the first few are.
     item_blocks, item_count = _packed(items, item, [item, vector], ITEM_BLOCK, "items")
     sample_blocks, sample_count = _packed(samples, "sample", ["case_no", "embedding"], max_library_block, "samples")
-    item_blocks = item_blocks.withColumnRenamed("block", "item_block").repartition(_block_count(item_count, ITEM_BLOCK))
-    sample_blocks = sample_blocks.drop("block").repartition(
-        max(1, -(-_block_count(sample_count, max_library_block) // SAMPLE_BLOCKS_PER_TASK))
-    )
-    pairs = item_blocks.crossJoin(sample_blocks.hint("shuffle_replicate_nl"))
+    item_parts = _block_count(item_count, ITEM_BLOCK)
+    sample_parts = max(1, -(-_block_count(sample_count, max_library_block) // SAMPLE_BLOCKS_PER_TASK))
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    part = lambda parts: F.pmod(F.xxhash64("block"), F.lit(parts))
+    item_blocks = item_blocks.select(part(item_parts).alias("i"), every(sample_parts).alias("j"), F.col("block").alias("item_block"), "items")
+    sample_blocks = sample_blocks.select(every(item_parts).alias("i"), part(sample_parts).alias("j"), "samples")
+    pairs = item_blocks.join(sample_blocks.hint("merge"), ["i", "j"])
     partial = pairs.mapInArrow(nearest, schema).select(item, "case_no", "similarity")
     bare = names.select("case_no").join(samples, "case_no", "left_anti").distinct().orderBy("case_no").limit(top_k)
     empty = [row["case_no"] for row in bare.collect()]

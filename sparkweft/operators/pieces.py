@@ -157,23 +157,33 @@ def partners(left: DataFrame, right: DataFrame, method: str, wanted: Column | fl
 
 
 def compare(
-    left: DataFrame, right: DataFrame, pairs: DataFrame, work: Callable[[int, int, pa.Table, pa.Table], pa.Table], schema: str
+    left: DataFrame, right: DataFrame, pairs: DataFrame, work: Callable[[int, int, pa.Table, pa.Table], pa.Table], schema: str,
+    group: int = 1,
 ) -> DataFrame:
     """``work`` on the rows of both pieces of every pair where both have rows. Both frames have ``PIECE`` and, but for it, may
-    differ in columns."""
-    sides = []
-    for frame, at in ((left, "p"), (right, "q")):
-        rows = F.struct(*[F.col(c) for c in frame.columns if c != PIECE]).alias(at + "_row")
-        sides.append(frame.select(F.col(PIECE).alias(at), rows).join(pairs.select("p", "q"), at))
+    differ in columns. A right piece meets ``group`` consecutive left pieces in one task, so that it is shuffled once for
+    all of them; ``work`` still runs on each pair on its own."""
+    meets = pairs.select("p", "q", F.floor(F.col("p") / group).cast("long").alias("g"))
+    left_rows = F.struct(*[F.col(c) for c in left.columns if c != PIECE]).alias("p_row")
+    right_rows = F.struct(*[F.col(c) for c in right.columns if c != PIECE]).alias("q_row")
+    sides = [
+        left.select(F.col(PIECE).alias("p"), left_rows).join(meets, "p"),
+        right.select(F.col(PIECE).alias("q"), right_rows).join(meets.select("g", "q").distinct(), "q"),
+    ]
     empty = to_arrow_schema(T.StructType.fromDDL(schema)).empty_table()
     both = sides[0].unionByName(sides[1], allowMissingColumns=True)
 
+    def rows_of(table: pa.Table, name: str) -> pa.Table:
+        rows = table.column(name).combine_chunks()
+        return pa.Table.from_arrays(rows.flatten(), names=[f.name for f in rows.type])
+
     def meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        parts = []
-        for name in ("p_row", "q_row"):
-            rows = table.column(name).combine_chunks()
-            rows = rows.filter(rows.is_valid())
-            parts.append(pa.Table.from_arrays(rows.flatten(), names=[f.name for f in rows.type]))
-        return work(key[0].as_py(), key[1].as_py(), *parts) if all(part.num_rows for part in parts) else empty
-
-    return both.groupBy("p", "q").applyInArrow(meet, schema)
+        q = key[1].as_py()
+        own, others = table.filter(table.column("p_row").is_valid()), table.filter(table.column("q_row").is_valid())
+        if not own.num_rows or not others.num_rows:
+            return empty
+        others, of = rows_of(others, "q_row"), own.column("p").to_numpy()
+        found = [work(int(p), q, rows_of(own.filter(pa.array(of == p)), "p_row"), others) for p in np.unique(of)]
+        return pa.concat_tables(found) if found else empty
+
+    return both.groupBy("g", "q").applyInArrow(meet, schema)

@@ -151,7 +151,9 @@ def _pruned(
     pivots = choose_pivots(held, "vector")
     if not len(pivots):
         return queries.sparkSession.createDataFrame([], schema.add("rank", T.LongType()))
-    left = cut(asked, "vector", pivots, "id", min(piece_rows, piece_size(asked, "vector")))
+    size = piece_size(asked, "vector")
+    left = cut(asked, "vector", pivots, "id", min(piece_rows, size))
+    group = max(1, size // piece_rows)  # small pieces of queries meet a candidate piece together
     right = cut(held, "vector", pivots, "id", piece_size(held, "vector"))
     left_heads, right_heads = heads(left, "vector", pivots), heads(right, "vector", pivots)
 
@@ -175,14 +177,14 @@ def _pruned(
     nearest = everything.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0)))
     nearest = stage(nearest.where(F.col("before") < k).select("p", "q"))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    near = stage(compare(left.withColumn("floor", F.lit(float("-inf"))), right, nearest, best, ddl))
+    near = stage(compare(left.withColumn("floor", F.lit(float("-inf"))), right, nearest, best, ddl, group))
     ranked = rank_top(near, [query], ["score desc", candidate], k)
     bounds = ranked.where(F.col("rank") == k).select(F.col(query).alias("id"), F.col("score").alias("floor"))
     bounded = left.join(bounds, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
     bounded = stage(bounded)
     least = bounded.groupBy(PIECE).agg(F.min("floor").alias("least")).withColumnRenamed(PIECE, "p")
     rest = everything.join(least, "p").where(F.col("highest") >= F.col("least")).join(nearest, ["p", "q"], "left_anti")
-    far = compare(bounded, right, stage(rest.select("p", "q")), best, ddl)
+    far = compare(bounded, right, stage(rest.select("p", "q")), best, ddl, group)
     return rank_top(near.unionAll(far), [query], ["score desc", candidate], k)
 
 

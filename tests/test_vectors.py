@@ -402,3 +402,18 @@ def test_pruned_search_scores_few_pairs(spark, method, monkeypatch):
         found.setdefault(row["query_id"], []).append(row["candidate_id"])
     assert found == top_rule(rows[::2], rows, 7, method)
     assert sum(scored) < 0.4 * 20 * 40  # pairs of pieces, of all there are
+
+
+def test_small_query_pieces_meet_a_candidate_piece_together(spark):
+    left = spark.createDataFrame([(i, i // 2) for i in range(8)], f"id long, {pieces.PIECE} long")  # pieces 0 to 3
+    right = spark.createDataFrame([(10 + i, i // 3) for i in range(6)], f"id long, {pieces.PIECE} long")  # pieces 0, 1
+    pairs = spark.createDataFrame([(0, 0), (1, 0), (3, 0), (2, 1)], "p long, q long")
+
+    def work(p, q, own, others):
+        import pyarrow as pa
+
+        return pa.table({"p": [p], "q": [q], "own": [sorted(own.column("id").to_pylist())], "others": [sorted(others.column("id").to_pylist())]})
+
+    found = pieces.compare(left, right, pairs, work, "p long, q long, own array<long>, others array<long>", 4)
+    got = sorted((r["p"], r["q"], r["own"], r["others"]) for r in found.collect())
+    assert got == [(0, 0, [0, 1], [10, 11, 12]), (1, 0, [2, 3], [10, 11, 12]), (2, 1, [4, 5], [13, 14, 15]), (3, 0, [6, 7], [10, 11, 12])]

@@ -108,6 +108,7 @@ def _rounds(classes: DataFrame, state: DataFrame, threshold: float, block_rows:
     """Peels until no row is undecided, or few rows are undecided or leaders; gives the state and how many are undecided."""
     pivots = choose_pivots(classes, "vector")
     pieces = cut(classes.select("place", "vector"), "vector", pivots, "place", piece_size(classes, "vector", block_rows))
+    group = max(1, piece_size(classes, "vector") // block_rows)  # pieces meet in groups, each shuffled once for a group pair
     ends = heads(pieces, "vector", pivots)
     pairs = partners(ends, ends, "cosine", threshold)
 
@@ -131,7 +132,7 @@ def _rounds(classes: DataFrame, state: DataFrame, threshold: float, block_rows:
         asking = state.where(F.col("status") == _OPEN).select("place", F.coalesce("met", F.lit(0)).alias("after"))
         left = pieces.join(asking, "place")
         right = pieces.join(state.where(F.col("status") != _CLOSED).select("place"), "place", "left_semi")
-        found = compare(left, right, pairs, earliest, "place long, met long, near double")
+        found = compare(left, right, pairs, earliest, "place long, met long, near double", group, group)
         return found.groupBy("place").agg(F.min(F.struct("met", "near")).alias("f")).select("place", F.col("f.met").alias("new"), F.col("f.near").alias("new_near"))
 
     while True:

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -158,32 +159,39 @@ def partners(left: DataFrame, right: DataFrame, method: str, wanted: Column | fl
 
 def compare(
     left: DataFrame, right: DataFrame, pairs: DataFrame, work: Callable[[int, int, pa.Table, pa.Table], pa.Table], schema: str,
-    group: int = 1,
+    group: int = 1, right_group: int = 1,
 ) -> DataFrame:
     """``work`` on the rows of both pieces of every pair where both have rows. Both frames have ``PIECE`` and, but for it, may
-    differ in columns. A right piece meets ``group`` consecutive left pieces in one task, so that it is shuffled once for
-    all of them; ``work`` still runs on each pair on its own."""
-    meets = pairs.select("p", "q", F.floor(F.col("p") / group).cast("long").alias("g"))
+    differ in columns. ``group`` consecutive left pieces and ``right_group`` consecutive right pieces meet in one task, so
+    that a piece is shuffled once for all pairs of the two groups; ``work`` still runs on each listed pair on its own."""
+    meets = pairs.select(
+        "p", "q", F.floor(F.col("p") / group).cast("long").alias("gp"), F.floor(F.col("q") / right_group).cast("long").alias("gq")
+    )
     left_rows = F.struct(*[F.col(c) for c in left.columns if c != PIECE]).alias("p_row")
     right_rows = F.struct(*[F.col(c) for c in right.columns if c != PIECE]).alias("q_row")
     sides = [
-        left.select(F.col(PIECE).alias("p"), left_rows).join(meets, "p"),
-        right.select(F.col(PIECE).alias("q"), right_rows).join(meets.select("g", "q").distinct(), "q"),
+        left.select(F.col(PIECE).alias("p"), left_rows).join(meets.select("p", "gp", "gq").distinct(), "p"),
+        right.select(F.col(PIECE).alias("q"), right_rows).join(meets.select("q", "gp", "gq").distinct(), "q"),
+        meets,
     ]
     empty = to_arrow_schema(T.StructType.fromDDL(schema)).empty_table()
-    both = sides[0].unionByName(sides[1], allowMissingColumns=True)
+    both = sides[0].unionByName(sides[1], allowMissingColumns=True).unionByName(sides[2], allowMissingColumns=True)
 
     def rows_of(table: pa.Table, name: str) -> pa.Table:
         rows = table.column(name).combine_chunks()
         return pa.Table.from_arrays(rows.flatten(), names=[f.name for f in rows.type])
 
     def meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        q = key[1].as_py()
         own, others = table.filter(table.column("p_row").is_valid()), table.filter(table.column("q_row").is_valid())
+        listed = table.filter(pc.and_(table.column("p_row").is_null(), table.column("q_row").is_null()))
         if not own.num_rows or not others.num_rows:
             return empty
-        others, of = rows_of(others, "q_row"), own.column("p").to_numpy()
-        found = [work(int(p), q, rows_of(own.filter(pa.array(of == p)), "p_row"), others) for p in np.unique(of)]
+        of, at = own.column("p").to_numpy(), others.column("q").to_numpy()
+        found = []
+        for p, q in sorted(set(zip(listed.column("p").to_pylist(), listed.column("q").to_pylist(), strict=True))):
+            mine, theirs = of == p, at == q
+            if mine.any() and theirs.any():
+                found.append(work(p, q, rows_of(own.filter(pa.array(mine)), "p_row"), rows_of(others.filter(pa.array(theirs)), "q_row")))
         return pa.concat_tables(found) if found else empty
 
-    return both.groupBy("g", "q").applyInArrow(meet, schema)
+    return both.groupBy("gp", "gq").applyInArrow(meet, schema)

@@ -417,3 +417,20 @@ def test_small_query_pieces_meet_a_candidate_piece_together(spark):
     found = pieces.compare(left, right, pairs, work, "p long, q long, own array<long>, others array<long>", 4)
     got = sorted((r["p"], r["q"], r["own"], r["others"]) for r in found.collect())
     assert got == [(0, 0, [0, 1], [10, 11, 12]), (1, 0, [2, 3], [10, 11, 12]), (2, 1, [4, 5], [13, 14, 15]), (3, 0, [6, 7], [10, 11, 12])]
+
+
+def test_groups_of_pieces_meet_once_and_work_only_listed_pairs(spark):
+    left = spark.createDataFrame([(i, i // 2) for i in range(8)], f"id long, {pieces.PIECE} long")  # pieces 0 to 3
+    right = spark.createDataFrame([(10 + i, i // 2) for i in range(8)], f"id long, {pieces.PIECE} long")  # pieces 0 to 3
+    pairs = spark.createDataFrame([(0, 1), (1, 0), (1, 1), (3, 2), (2, 3), (1, 1)], "p long, q long")
+
+    def work(p, q, own, others):
+        import pyarrow as pa
+
+        return pa.table({"p": [p], "q": [q], "own": [sorted(own.column("id").to_pylist())], "others": [sorted(others.column("id").to_pylist())]})
+
+    found = pieces.compare(left, right, pairs, work, "p long, q long, own array<long>, others array<long>", 2, 2)
+    got = sorted((r["p"], r["q"], r["own"], r["others"]) for r in found.collect())
+    assert got == [
+        (0, 1, [0, 1], [12, 13]), (1, 0, [2, 3], [10, 11]), (1, 1, [2, 3], [12, 13]), (2, 3, [4, 5], [16, 17]), (3, 2, [6, 7], [14, 15]),
+    ]

@@ -141,8 +141,11 @@ def unfenced(text: Column) -> Column:
 
 
 def parse_answer(text: Column, fields: T.StructType) -> Column:
-    """A model answer, fenced or bare, as a struct; NULL when it is no JSON object."""
-    return parse_object(unfenced(text), fields)
+    """A model answer, fenced or bare, as a struct; NULL when it is no JSON object.
+
+    Both steps use their input several times, so the answer and its unfenced body are each evaluated once per row.
+    """
+    return let(text, lambda answer: let(unfenced(answer), lambda body: parse_object(body, fields)))
 
 
 # The fields of a trip answer.

@@ -162,6 +162,14 @@ def test_answers(spark):
     assert got[3] is got[4] is got[5] is None
 
 
+def test_answer_is_built_once_per_row(spark):
+    body = '{"start_point": "s", "vehicles": [{"supplier": "v", "price": 3}]}'
+    answer = F.format_string("```json\n%s\n```", F.col("value"))
+    parsed = frame(spark, [body]).select(json_text.parse_answer(answer, json_text.TRIP_ANSWER).alias("a"))
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("format_string(") == 1
+    assert parsed.head()["a"]["vehicles"][0]["price"] == "3"
+
+
 def test_parse_object_keeps_good_fields(spark):
     fields = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType())])
     row = frame(spark, ['{"a": "text", "b": "ok"}']).select(json_text.parse_object(F.col("value"), fields).alias("p")).head()

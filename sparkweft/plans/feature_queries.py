@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweft.functions.json_text import has_wanted_member, rewrite_members
+from sparkweft.functions.json_text import rewrite_members
 from sparkweft.functions.text import parent_name
 from sparkweft.operators.audit import audit_paths, lacking_paths, member_facts, nth_line, probe_marker
 from sparkweft.operators.diff import (
@@ -142,9 +142,9 @@ def feature_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def feature_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that parse, that fail, and that have a wanted member."""
-    lines = feature_lines(spark, sf_dir).select("value", has_wanted_member(F.col("value")).alias("has_member"))
-    return parse_failures(extract_features(lines), member_lines=F.count_if("has_member"))
+    """Lines that parse, that fail, and that have a wanted member; each line is parsed once."""
+    features = extract_features(feature_lines(spark, sf_dir).select("value"))
+    return parse_failures(features, member_lines=F.count_if(F.size("merge_fields") > 0))
 
 
 DIFF_SQL = f"""

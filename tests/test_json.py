@@ -187,3 +187,10 @@ def test_forged_ends_are_refused(spark):
     got = dict(frame.select("id", json_text.parse_object(F.col("value"), fields)["a"]).collect())
     assert [got[i] for i in range(len(forged))] == [None] * len(forged)
     assert [got[len(forged) + i] for i in range(len(right))] == ["1"] * len(right)
+
+
+def test_feature_failures_parse_each_line_once(spark):
+    from sparkweft.plans.catalog import QUERIES
+
+    plan = QUERIES["feature_failures"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1

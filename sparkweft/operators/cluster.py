@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkweft.operators.blocks import SCORE_DIGITS, matrix, row_slices, score
@@ -14,6 +18,9 @@ from sparkweft.staging import recorded, release, stage
 
 DEFAULT_THRESHOLD = 0.85
 LAST_ROWS = 8_192  # undecided rows and leaders that one task scans to the end
+LEAST_SWEPT = 8  # a sweep that closes less than one row of so many is the last
+
+_CUT_BINS = 4_096
 
 _OPEN, _WAITING, _LEADER, _CLOSED = range(4)
 
@@ -33,6 +40,11 @@ def leader_clusters(
     is a leader, the row is its member, since nothing earlier can be its leader; if that belongs to another leader, the row
     looks for the next one. So the rounds follow the longest chain of rows that wait for each other, not the number of rows.
 
+    Of more than ``LAST_ROWS`` classes most are settled before that by sweeps: one task scans the first rows that are left, and
+    all later rows are compared with the leaders among them only, not with each other. What matches none is left for the
+    next sweep. Sweeps end when one closes less than an eighth of the rows it looks at, as rows without clusters are all
+    leaders.
+
     Rows whose vector matches itself are one class with their copies, compared once. Classes are cut into pieces of
     ``block_rows`` at most around pivots, and only pairs of pieces that can hold a match are scored (see
     :mod:`sparkweft.operators.pieces`); rows that belong to a leader are compared no more. Once no more rows are left than a
@@ -50,14 +62,19 @@ def _peeled(vectors: DataFrame, key: str, vector: str, threshold: float, block_r
     itself = F.round(F.aggregate("vector", F.lit(0.0), lambda total, x: total + x.cast("double") * x), SCORE_DIGITS)
     usable = usable.withColumn("sole", F.when(itself >= threshold, None).otherwise(F.col("key")))
     classes = stage(with_ordinal(usable.groupBy("vector", "sole").agg(F.min("key").alias("least")), ["least"], "place"))
-    state = classes.select("place", F.lit(_OPEN).alias("status"), F.lit(None).cast("long").alias("met"), F.lit(None).cast("double").alias("near"))
     size = classes.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("vector")).alias("width")).head()
     few = min(2 * block_rows, LAST_ROWS, 2 * PIECE_VALUES // max(size["width"] or 1, 1))
-    undecided = size["rows"]
+    head = max(1, min(LAST_ROWS, 2 * PIECE_VALUES // max(size["width"] or 1, 1)))
+    swept, rest, undecided = _swept(classes.select("place", "vector"), size["rows"], threshold, head)
+    if swept and undecided <= head:
+        few = head
+    state = rest.select("place", F.lit(_OPEN).alias("status"), F.lit(None).cast("long").alias("met"), F.lit(None).cast("double").alias("near"))
     if undecided > few:
-        state, undecided = _rounds(classes, state, threshold, block_rows, few)
+        state, undecided = _rounds(rest, state, threshold, block_rows, few)
     if undecided:
-        state = stage(_settled(state, _last_scan(classes, state, threshold)))
+        state = stage(_settled(state, _last_scan(rest, state, threshold)))
+    for found in swept:
+        state = state.unionByName(found)
     leaders = with_ordinal(state.where(F.col("status") == _LEADER).select("place"), ["place"], "cluster_id", start=0)
     names = leaders.join(classes, "place").select(F.col("place").alias("met"), "cluster_id", F.col("least").alias("leader"))
     of = state.select("place", F.when(F.col("status") == _LEADER, F.col("place")).otherwise(F.col("met")).alias("met"), F.when(F.col("status") == _CLOSED, F.col("near")).alias("near"))
@@ -76,8 +93,77 @@ def _settled(state: DataFrame, found: DataFrame) -> DataFrame:
     return state.join(new, "place", "left").select("place", pick("status"), pick("met"), pick("near"))
 
 
+def _cut(rows: DataFrame, most: int) -> int:
+    """The place that at most ``most`` of the rows, and some, come before. Rows are counted by ranges of places."""
+    ends = rows.agg(F.min("place").alias("low"), F.max("place").alias("high")).head()
+    low, high = ends["low"], ends["high"] + 1
+    while True:
+        width = -(-(high - low) // _CUT_BINS)
+        bins = rows.where(F.col("place").between(low, high - 1)).groupBy(F.floor((F.col("place") - low) / width).alias("bin")).count()
+        taken, end = 0, low
+        for row in sorted(bins.collect(), key=lambda row: row["bin"]):
+            if taken + row["count"] > most:
+                break
+            taken, end = taken + row["count"], low + (row["bin"] + 1) * width
+        if taken:
+            return end
+        low, high = low + row["bin"] * width, low + (row["bin"] + 1) * width  # this range alone has too many
+
+
+def _earliest(leaders: Broadcast, threshold: float) -> Callable[[str], Column]:
+    """The first of the leaders (places and vectors) that a vector matches, and the score."""
+    kind = pa.struct([("met", pa.int64()), ("near", pa.float64())])
+
+    @F.arrow_udf("struct<met:long,near:double>")
+    def earliest(vectors: pa.Array) -> pa.Array:
+        places, leading = leaders.value
+        rows, met, near = matrix(vectors), np.zeros(len(vectors), dtype=np.int64), np.full(len(vectors), np.nan)
+        for part in row_slices(len(rows), len(places)):
+            scores = score(rows[part], leading, "cosine")
+            hits = scores >= threshold
+            at = hits.argmax(axis=1)[:, None]
+            found = np.take_along_axis(hits, at, 1)[:, 0]
+            met[part], near[part] = places[at[:, 0]], np.where(found, np.take_along_axis(scores, at, 1)[:, 0], np.nan)
+        none = np.isnan(near)
+        return pa.StructArray.from_arrays([pa.array(met, mask=none), pa.array(near, mask=none)], fields=list(kind))
+
+    return earliest.asNondeterministic()
+
+
+def _swept(rest: DataFrame, undecided: int, threshold: float, head: int) -> tuple[list[DataFrame], DataFrame, int]:
+    """Settles the first ``head`` rows and whatever matches their leaders, again and again. Gives what was settled (place,
+    status, met, near), the rows that match none of the leaders so far, and how many these are."""
+    spark, swept, written = rest.sparkSession, [], []
+    while undecided > head:
+        end = _cut(rest, head)
+        first = rest.where(F.col("place") < end)
+        scanned = stage(_scan(first.withColumn("status", F.lit(_OPEN)), threshold))
+        leaders = first.join(scanned.where(F.col("status") == _LEADER).select("place"), "place").toArrow().sort_by("place")
+        held = spark.sparkContext.broadcast((leaders.column("place").to_numpy(), matrix(leaders.column("vector"))))
+
+        with recorded(made := []):
+            later = rest.where(F.col("place") >= end).withColumn("f", _earliest(held, threshold)("vector"))
+            later = stage(later.select("place", F.when(F.col("f.met").isNull(), F.col("vector")).alias("vector"), F.col("f.met"), F.col("f.near")))
+            closed = later.where(F.col("met").isNotNull()).select("place", F.lit(_CLOSED).alias("status"), "met", "near")
+            counts = later.agg(F.count(F.lit(1)).alias("rows"), F.count("met").alias("closed")).head()
+            swept += [scanned, stage(closed)]
+            rest = stage(later.where(F.col("met").isNull()).select("place", "vector"))
+        held.destroy()
+        written = release(spark, [*written, *made], reduce(DataFrame.unionAll, [rest.select("place"), *[x.select("place") for x in swept]]))
+        undecided = counts["rows"] - counts["closed"]
+        if counts["closed"] * LEAST_SWEPT < counts["rows"]:
+            break
+    return swept, rest, undecided
+
+
 def _last_scan(classes: DataFrame, state: DataFrame, threshold: float) -> DataFrame:
     """What becomes of open and waiting rows, once so few rows are left that one task can scan them in order."""
+    active = classes.select("place", "vector").join(state.where(F.col("status") != _CLOSED).select("place", "status"), "place")
+    return _scan(active, threshold)
+
+
+def _scan(active: DataFrame, threshold: float) -> DataFrame:
+    """What becomes of rows (place, vector, status), all held by one task, in their order."""
 
     def scan(table: pa.Table) -> pa.Table:
         table = table.sort_by("place")
@@ -100,7 +186,6 @@ def _last_scan(classes: DataFrame, state: DataFrame, threshold: float) -> DataFr
             }
         )
 
-    active = classes.select("place", "vector").join(state.where(F.col("status") != _CLOSED).select("place", "status"), "place")
     return active.withColumn("all", F.lit(True)).groupBy("all").applyInArrow(scan, "place long, status int, met long, near double")
 
 

@@ -434,3 +434,20 @@ def test_groups_of_pieces_meet_once_and_work_only_listed_pairs(spark):
     assert got == [
         (0, 1, [0, 1], [12, 13]), (1, 0, [2, 3], [10, 11]), (1, 1, [2, 3], [12, 13]), (2, 3, [4, 5], [16, 17]), (3, 2, [6, 7], [14, 15]),
     ]
+
+
+@pytest.mark.parametrize(("spread", "searched"), [(0.05, False), (2.0, True)])
+def test_leader_sweeps_compare_rows_with_leaders_only(spark, monkeypatch, spread, searched):
+    """Rows of a few clusters are settled without a search among all rows; rows without clusters are not."""
+    rng = np.random.default_rng(21)
+    rows = [v / np.linalg.norm(v) for v in np.eye(8)[rng.integers(0, 8, 300)] + rng.normal(0, spread, (300, 8))]
+    rows = [row.astype(np.float32) for row in rows]
+    rows[11], rows[50:60] = None, [rows[3]] * 10
+    searches = []
+    monkeypatch.setattr(cluster, "compare", lambda *args: searches.append(1) or pieces.compare(*args))
+    monkeypatch.setattr(cluster, "LAST_ROWS", 40)
+    monkeypatch.setattr(cluster, "_CUT_BINS", 3)
+    threshold = 0.9 if not searched else 0.97
+    got = cluster.leader_clusters(vector_frame(spark, rows), threshold=threshold, block_rows=64)
+    assert {r["vec_id"]: (r["cluster_id"], r["leader"]) for r in got.collect()} == leader_rule(rows, threshold)
+    assert bool(searches) == searched

@@ -21,12 +21,14 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from sparkweft.functions.vectors import check_method
-from sparkweft.operators.blocks import SCORE_DIGITS, VectorBlock, key_array, matrix, raw_score, row_slices, score, take_block
+from sparkweft.operators.blocks import SCORE_DIGITS, VectorBlock, check_dimension, key_array, matrix, raw_score, row_slices, score, take_block
 from sparkweft.operators.pieces import PIECE, choose_pivots, compare, cut, heads, partners, piece_size
 from sparkweft.staging import stage
 
 MAX_QUERY_BLOCK = 4096
 
+_FLOOR_SLACK = 1e-8  # above the rounding of scores and products
+_REACH_COLUMNS = 2_048
 _FEW = 4  # times k: more hits per query than this are cut to k before they are sorted
 
 
@@ -44,6 +46,54 @@ def best_per_row(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[sort], cols[sort]
 
 
+def _reaching(left: np.ndarray, right: np.ndarray, floor: np.ndarray, method: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """Row and column numbers of all pairs that can reach the row's floor, and few others; None where single precision may
+    overflow."""
+    own, sq = np.einsum("ij,ij->i", left, left), np.einsum("ij,ij->i", right, right)
+    least, half, size = floor - _FLOOR_SLACK, np.zeros(len(sq)), own + sq.max()
+    if method == "euclidean":  # a distance is r at most where 2 ab - bb >= aa - rr
+        size = size + least * least
+        least, half = (own - least * least) / 2, sq / 2
+    if not max(size.max(), np.abs(least).max()) < 1e30:
+        return None
+    least = least - (left.shape[1] + 16) * 2.0**-22 * size - _FLOOR_SLACK
+    a = np.concatenate([left, np.ones((len(left), 1))], axis=1).astype(np.float32)
+    b = np.concatenate([right, -half[:, None]], axis=1).astype(np.float32)
+    least, rows, cols = least.astype(np.float32)[:, None], [], []
+    for first in range(0, len(b), _REACH_COLUMNS):
+        part = b[first : first + _REACH_COLUMNS]
+        row, col = np.divmod(np.flatnonzero(a @ part.T >= least), len(part))
+        rows.append(row)
+        cols.append(col + first)
+    return np.concatenate(rows), np.concatenate(cols)
+
+
+def best_above(left: np.ndarray, right: np.ndarray, floor: np.ndarray, k: int, method: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and column numbers and scores of the k best columns of each row, less those under the row's ``floor``.
+
+    Where every row has a floor, products in single precision tell the few columns that can reach it, with room for their
+    rounding, and only these are scored, rounded and sorted."""
+    check_dimension(left, right)
+    found = _reaching(left, right, floor, method) if left.size and right.size and np.isfinite(floor).all() else None
+    if found is not None and len(found[0]) <= _FEW * k * len(left):
+        rows, cols = found
+        scores = np.einsum("ij,ij->i", left[rows], right[cols])
+        if method == "euclidean":  # the same steps as in raw_score
+            scores = scores * -2 + (left * left).sum(1)[rows] + (right * right).sum(1)[cols]
+            scores = -np.sqrt(np.maximum(scores, 0.0))
+        scores = np.round(scores, SCORE_DIGITS)
+        good = scores >= floor[rows]
+        rows, cols, scores = rows[good], cols[good], scores[good]
+        order = np.lexsort((cols, -scores, rows))
+        rows, cols, scores = rows[order], cols[order], scores[order]
+        keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
+        return rows[keep], cols[keep], scores[keep]
+    scores = score(left, right, method)
+    rows, cols = best_per_row(scores, k)
+    good = scores[rows, cols] >= floor[rows]
+    return rows[good], cols[good], scores[rows, cols][good]
+
+
 class _Best:
     """Running best k candidates of each query within one task."""
 
@@ -164,11 +214,8 @@ def _pruned(
         order = np.argsort(keys, kind="stable")
         b, keys, parts = b[order], keys[order], []
         for part in row_slices(len(a), len(b)):
-            scores = score(a[part], b, method)
-            rows, cols = best_per_row(scores, k)
-            good = scores[rows, cols] >= floor[part][rows]
-            rows, cols = rows[good], cols[good]
-            parts.append((ids[part][rows], keys[cols], scores[rows, cols]))
+            rows, cols, scores = best_above(a[part], b, floor[part], k, method)
+            parts.append((ids[part][rows], keys[cols], scores))
         columns = [np.concatenate(x).tolist() for x in zip(*parts, strict=True)]
         return pa.table([pa.array(x, type=field.type) for x, field in zip(columns, arrow_schema, strict=True)], schema=arrow_schema)
 

@@ -451,3 +451,22 @@ def test_leader_sweeps_compare_rows_with_leaders_only(spark, monkeypatch, spread
     got = cluster.leader_clusters(vector_frame(spark, rows), threshold=threshold, block_rows=64)
     assert {r["vec_id"]: (r["cluster_id"], r["leader"]) for r in got.collect()} == leader_rule(rows, threshold)
     assert bool(searches) == searched
+
+
+@pytest.mark.parametrize("method", ["cosine", "dot", "euclidean"])
+def test_bounded_rows_are_not_scored_in_full(monkeypatch, method):
+    """Rows with a floor score only what can reach it, and find the same as a full score."""
+    rng = np.random.default_rng(17)
+    for spread in (1.0, 1e-3, 300.0):
+        left, right = rng.normal(0, spread, (40, 16)), rng.normal(0, spread, (5000, 16))
+        right[7] = right[4000] = left[3]
+        scores = blocks.score(left, right, method)
+        floor = np.sort(scores, axis=1)[:, -9]
+        rows, cols = similarity.best_per_row(scores, 5)
+        with monkeypatch.context() as patch:
+            patch.setattr(similarity, "score", None)
+            got = similarity.best_above(left, right, floor, 5, method)
+        assert got[0].tolist() == rows.tolist() and got[1].tolist() == cols.tolist()
+        assert got[2] == pytest.approx(scores[rows, cols], abs=2e-9 * spread**2, rel=1e-9)
+    free = similarity.best_above(left, right, np.full(40, -np.inf), 5, method)
+    assert free[1].tolist() == cols.tolist()

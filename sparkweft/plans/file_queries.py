@@ -136,8 +136,8 @@ def feature_files_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feature_files_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The key-by-key diff job with its JSON report."""
     backup, data, report = (stage_path(spark) for _ in range(3))
-    write_text(feature_lines(spark, sf_dir).select("value"), backup)
-    write_text(feature_lines(spark, sf_dir, changed=True).select("value"), data)
+    write_text(feature_lines(spark, sf_dir).select("value"), backup, "gzip")
+    write_text(feature_lines(spark, sf_dir, changed=True).select("value"), data, "gzip")
     compare_features(spark, backup, data, report)
     return spark.read.schema("key string, status string").json(report)
 

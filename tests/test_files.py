@@ -5,6 +5,7 @@ import gzip
 import io
 import json
 import os
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -13,8 +14,11 @@ from pyspark.sql import functions as F
 from sparkweft.operators import audit
 from sparkweft.operators.diff import BOTH, ONLY_LEFT, ONLY_RIGHT, line_diff
 from sparkweft.plans import jobs
+from sparkweft.plans.feature_queries import feature_lines
+from sparkweft.plans.file_queries import feature_files_diff
 from sparkweft.sinks import files as sinks
 from sparkweft.sources import case_files, csv_files, inventory, paths, spread, text_files
+from sparkweft.staging import recorded
 from sparkweft.streaming import intake
 
 M = "merge_field\t"
@@ -461,3 +465,22 @@ def test_log_statistics_of_a_stream(spark, tmp_path):
     intake.follow_log(spark, str(tmp_path / "in"), "log_totals", str(tmp_path / "state")).awaitTermination(60)
     row = spark.table("log_totals").head()
     assert (row["records"], row["total_images"], row["images_per_second"]) == (2, 6, 2.0)
+
+
+def test_diff_job_writes_its_versions_compressed(spark, tmp_path):
+    """Both versions of the feature lines are read back whole from small files."""
+    items = spark.range(400).selectExpr(
+        "id div 4 as l_orderkey", "(id % 4)::int as l_linenumber", "id * 7 as l_partkey", "id as l_suppkey", "1.5 as l_extendedprice", "'R' as l_returnflag", "'F' as l_linestatus"
+    )
+    items.write.parquet(f"{tmp_path}/lineitem.parquet")
+    with recorded(made := []):
+        found = {r["key"]: r["status"] for r in feature_files_diff(spark, str(tmp_path)).collect()}
+    valid = [i for i in range(400) if i * 7 % 11 not in (0, 2, 3)]  # the others are broken or have no key
+    renamed, altered = [i for i in valid if i % 13 == 0], [i for i in valid if i % 13 and i % 7 == 0 and i * 7 % 11 != 1]
+    name = lambda i: f"{i // 4}-{i % 4}"
+    assert {k for k, v in found.items() if v == "only_in_backup"} >= {name(i) for i in renamed}
+    assert {k for k, v in found.items() if v == "only_in_data"} >= {f"new-{name(i)}" for i in renamed}
+    assert {k for k, v in found.items() if v == "diff"} == {name(i) for i in altered}
+    size = lambda path: sum(f.stat().st_size for f in Path(path.removeprefix("file:")).rglob("part-*"))
+    lines = feature_lines(spark, str(tmp_path)).selectExpr("sum(octet_length(value) + 1)").head()[0]
+    assert sum(lines * 0.5 < size(path) for path in made[:2]) == 0
